@@ -38,7 +38,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     from_here = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     level = ranked.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(from_here))
-    level = level.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(everything))
+    level = level.withColumn("k", F.row_number().over(by_ratio))
+    level = level.withColumn("level", F.min_by("level", F.when(F.col("ratio") >= F.col("level"), F.col("k"))).over(everything))
     return level.select("source", "source_size", "source_rows", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
