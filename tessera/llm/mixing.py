@@ -19,7 +19,7 @@ WEIGHTS = (1, 2, 3)
 #: No source gives more than this many times its own size.
 MAX_EPOCHS = 3
 #: Documents aimed at in one range bucket.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
