@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import language_id, mixing, near_dedup, quality_rules, tokens
+from tessera.llm import decontamination, language_id, mixing, near_dedup, quality_rules, tokens
 from tessera.llm.common import load
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_minhash_near_dedup, op6_token_counts, op7_quality_rules, op9_language_id, op10_mixing)
+    f.__name__: f for f in (op1_decontamination, op3_minhash_near_dedup, op6_token_counts, op7_quality_rules, op9_language_id, op10_mixing)
 }
 
 #: DuckDB SQL for those that SQL can express.
