@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, language_id, mixing, near_dedup, quality_rules, tokens
+from tessera.llm import chat_format, decontamination, language_id, mixing, near_dedup, quality_rules, tokens, url_filter
 from tessera.llm.common import load
 
 
@@ -18,6 +18,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(load(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +32,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(load(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(load(spark, sf_dir, "conversations"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(load(spark, sf_dir, "documents"))
 
@@ -36,9 +44,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_minhash_near_dedup, op6_token_counts, op7_quality_rules, op9_language_id, op10_mixing)
-}
+_ALL = (
+    op1_decontamination, op3_minhash_near_dedup, op4_url_filters, op6_token_counts, op7_quality_rules, op8_chat_format, op9_language_id, op10_mixing,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_url_filters": url_filter.ORACLE, "op8_chat_format": chat_format.ORACLE}
