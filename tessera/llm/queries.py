@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat_format, decontamination, language_id, mixing, near_dedup, quality_rules, tokens, url_filter
+from tessera.llm import chat_format, decontamination, language_id, mixing, near_dedup, quality_rules, tokens, url_filter, warc
 from tessera.llm.common import load
 
 
@@ -22,6 +22,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(load(spark, sf_dir, "pages"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf_dir, "pages"), spark)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,9 +49,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_decontamination, op3_minhash_near_dedup, op4_url_filters, op6_token_counts, op7_quality_rules, op8_chat_format, op9_language_id, op10_mixing,
+    op1_decontamination, op3_minhash_near_dedup, op4_url_filters, op5_warc, op6_token_counts, op7_quality_rules, op8_chat_format, op9_language_id, op10_mixing,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {"op4_url_filters": url_filter.ORACLE, "op8_chat_format": chat_format.ORACLE}
+ORACLES: dict[str, str] = {"op4_url_filters": url_filter.ORACLE, "op5_warc": warc.ORACLE, "op8_chat_format": chat_format.ORACLE}
