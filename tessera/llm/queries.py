@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat_format, decontamination, language_id, mixing, near_dedup, quality_rules, tokens, url_filter, warc
+from tessera.llm import chat_format, decontamination, language_id, mixing, near_dedup, perplexity, quality_rules, tokens, url_filter, warc
 from tessera.llm.common import load
 
 
@@ -14,6 +14,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_decontamination, op3_minhash_near_dedup, op4_url_filters, op5_warc, op6_token_counts, op7_quality_rules, op8_chat_format, op9_language_id, op10_mixing,
+    op1_decontamination, op2_perplexity, op3_minhash_near_dedup, op4_url_filters, op5_warc, op6_token_counts, op7_quality_rules, op8_chat_format, op9_language_id, op10_mixing,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
