@@ -7,11 +7,13 @@
    left out at once; the others post their rarest alone. Passages that many documents share are frequent tokens, and frequent tokens end
    outside the prefix: that is what keeps lists of unrelated classes short.
 3. Collisions are counted on the signatures; pairs below M, or of sizes that rule out the threshold, end there.
-4. What is left is confirmed on the full sets, recomputed from the texts. First every class meets the head of its lists only; components are taken, and then
-   all pairs of a list that still lie in different components are compared. A list within one component has nothing more to say about
-   components, so no pair that could join two components is left out, and a large group of copies is not expanded into its pairs.
+4. What is left is confirmed on the full sets, recomputed from the texts. First every class meets the head of each of its lists only: the class with the longest lists, which
+   is the one that most copies resemble. Components are taken, and in ROUNDS further rounds every list that still has several meets a head from outside its main
+   component. Then all pairs of a list that still lie in different components are compared, each at the first token that they share, by sketches of BITS bits (one of
+   each of as many further coordinates), which tell a similarity of 0.7 from one of 0.75; those at most MAX_BITS_APART apart are confirmed. A list within one component has
+   nothing more to say about components, so no pair that could join two components is left out, and a large group of copies is not expanded into its pairs.
 
-A pair at the threshold of 0.75 agrees in fewer than M = 13 of K = 32 coordinates with a probability of about 2e-5.
+A pair at the threshold of 0.75 agrees in fewer than M = 13 of K = 32 coordinates with a probability of about 2e-5, and differs in more than 324 of 2048 bits with one of about 5e-6.
 """
 
 from __future__ import annotations
@@ -36,8 +38,9 @@ PERCENT = 75
 #: Rows compared with one head in one task.
 SALT_ROWS = 2_000
 MEMO = 1_000_000
+BITS, MAX_BITS_APART, MAX_BITS_APART_FIRST, ROUNDS = 2048, 324, 58, 1
 
-_ODD = np.random.RandomState(5).randint(0, 2**63, SHINGLE + 2 * K, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.RandomState(5).randint(0, 2**63, SHINGLE + 2 * K + BITS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _Hashes(dict):
@@ -80,6 +83,16 @@ def signature(hashes: np.ndarray) -> list[int] | None:
     return [int(((hashes ^ _ODD[SHINGLE + k]) * _ODD[SHINGLE + K + k]).min() & np.uint64(0x7FFFFFFF)) for k in range(K)]
 
 
+def sketch(hashes: np.ndarray) -> list[int] | None:
+    """One bit of the least of each of BITS further hashes, as longs."""
+    if not len(hashes):
+        return None
+    least = np.full(BITS, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 64):
+        least = np.minimum(least, (hashes[i : i + 64, None] * _ODD[None, SHINGLE + 2 * K :]).min(0))
+    return np.packbits(((least >> np.uint64(21)) & np.uint64(1)).astype(np.uint8)).view("<i8").tolist()
+
+
 def digest(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
@@ -100,20 +113,40 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def lists(classes: DataFrame) -> DataFrame:
-    """(token, node, first) for the prefix of each class, tokens of at least two classes."""
+    """(token, node, rank) for the prefix of each class, tokens of at least two classes, and as rank a struct that is greatest for the class with the
+    longest lists and then the smallest doc_id; with order, what places the token in a prefix."""
     posts = classes.select("node", "first", F.posexplode("sig").alias("k", "value")).select("node", "first", F.col("k").cast("long").bitwiseOR(F.shiftleft(F.col("value").cast("long"), 8)).alias("token"))
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     found = posts.join(shared, "token")
-    rarest = Window.partitionBy("node").orderBy("size", "token")
-    q = F.count(F.lit(1)).over(Window.partitionBy("node"))
-    return found.withColumn("q", q).where(F.col("q") >= M).withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("q") - (M - 1)).select("token", "node", "first")
+    own = Window.partitionBy("node")
+    found = found.withColumns({"q": F.count(F.lit(1)).over(own), "weight": F.sum("size").over(own)})
+    found = found.where(F.col("q") >= M).withColumn("place", F.row_number().over(own.orderBy("size", "token"))).where(F.col("place") <= F.col("q") - (M - 1))
+    return found.select("token", "node", F.struct("weight", (-F.col("first")).alias("first"), "node").alias("rank"), F.struct("size", "token").alias("order"))
+
+
+def sketches(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, bits) for nodes (node, first), from the texts of docs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(node, sketch(h)) for node, text in zip(*(c.to_pylist() for c in b.columns), strict=True) if digest(h := shingle_hashes(text)) == node]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["node", "bits"])
+
+    texts = docs.join(nodes.withColumnRenamed("first", "doc_id"), "doc_id").select("node", "text")
+    return texts.mapInArrow(run, "node binary, bits array<bigint>").dropDuplicates(["node"])
+
+
+def _sizes(a: str, b: str):
+    return 100 * F.least(f"{a}_n", f"{b}_n") >= PERCENT * F.greatest(f"{a}_n", f"{b}_n")
 
 
-def _near(a: str, b: str):
-    """Sizes and signatures of two classes allow a link."""
-    agree = sum((F.get(f"{a}_sig", F.lit(k)) == F.get(f"{b}_sig", F.lit(k))).cast("int") for k in range(K))
-    sizes = (100 * F.least(f"{a}_n", f"{b}_n") >= PERCENT * F.greatest(f"{a}_n", f"{b}_n"))
-    return sizes & (agree >= M)
+def _agree(a: str, b: str):
+    return sum((F.get(f"{a}_sig", F.lit(k)) == F.get(f"{b}_sig", F.lit(k))).cast("int") for k in range(K)) >= M
+
+
+def _close(a: str, b: str):
+    """Few enough bits apart; an eighth of them, with a wider margin, ends most comparisons early."""
+    apart = [F.bit_count(F.get(f"{a}_bits", F.lit(i)).bitwiseXOR(F.get(f"{b}_bits", F.lit(i)))) for i in range(BITS // 64)]
+    return (sum(apart[: BITS // 512]) <= MAX_BITS_APART_FIRST) & (sum(apart) <= MAX_BITS_APART)
 
 
 def _named(classes: DataFrame, a: str) -> DataFrame:
@@ -123,7 +156,7 @@ def _named(classes: DataFrame, a: str) -> DataFrame:
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The (u, v) of pairs whose full sets meet the threshold. Rows with a common v are compared with v's set in
     slices of about SALT_ROWS, the text of v being sent to each slice."""
-    near = pairs.join(_named(classes, "u"), "u").join(_named(classes, "v"), "v").where(_near("u", "v"))
+    near = pairs.join(_named(classes, "u"), "u").join(_named(classes, "v"), "v").where(_sizes("u", "v") & _agree("u", "v"))
     near = materialize(near.select("u", "u_first", "v", "v_first"), "candidates")
     heads = near.groupBy("v", "v_first").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("slices"))
     salt = F.pmod(F.xxhash64("u"), F.col("slices")).cast("int")
@@ -155,9 +188,12 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u binary, v binary")
 
 
-def _ties(links: DataFrame, posts: DataFrame) -> DataFrame:
-    """posts with the root of each class's component so far (itself if it has no link)."""
-    return posts.join(components(links).withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+def _open(links: DataFrame, posts: DataFrame) -> DataFrame:
+    """posts of the lists that hold several components so far, with root and main (whether root is the largest of the list)."""
+    tied = posts.join(components(links).withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+    tied = materialize(tied, "tied")
+    main = tied.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count(F.lit(1)).alias("roots"))
+    return materialize(tied.join(main.where("roots > 1"), "token").select(*posts.columns, "root", (F.col("root") == F.col("largest")).alias("main")), "open")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -171,20 +207,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = rows.where("node is not null and doc_id is not null")
     classes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     posts = materialize(lists(classes), "lists")
-    heads = posts.groupBy("token").agg(F.min(F.struct("first", "node")).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    heads = posts.groupBy("token").agg(F.max("rank").alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
     stars = posts.join(heads, "token").where("node <> h.node").select(F.col("node").alias("u"), F.col("h.node").alias("v")).distinct()
     links = materialize(confirm(stars, classes, docs), "links")
-
-    tied = materialize(_ties(links, posts), "tied")
-    open_ = tied.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
-    tied = tied.join(open_, "token")
-    main = tied.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    tied = materialize(tied.join(main, "token").select("token", "node", "root", (F.col("root") == F.col("main")).alias("main")), "open")
-    facts = classes.select("node", "n", "sig")
-    left = tied.where("not main").join(facts, "node").select("token", F.col("node").alias("u"), F.col("root").alias("u_root"), F.col("n").alias("u_n"), F.col("sig").alias("u_sig"))
-    right = tied.join(facts, "node").select(F.col("token").alias("t"), F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("main").alias("v_main"), F.col("n").alias("v_n"), F.col("sig").alias("v_sig"))
-    across = left.join(right, (F.col("token") == F.col("t")) & (F.col("u_root") != F.col("v_root")) & (F.col("v_main") | (F.col("u") < F.col("v"))) & _near("u", "v"))
-    more = confirm(across.select("u", "v").distinct(), classes, docs)
+    for _ in range(ROUNDS):
+        tied = _open(links, posts)
+        heads = tied.where("not main").groupBy("token").agg(F.max_by(F.struct("node", "root"), "rank").alias("h"))
+        stars = tied.join(heads, "token").where("root <> h.root").select(F.col("node").alias("u"), F.col("h.node").alias("v")).distinct()
+        links = materialize(links.unionByName(confirm(stars, classes, docs)), "links")
+
+    tied = _open(links, posts)
+    prefixes = tied.select("node").distinct().join(posts, "node").groupBy("node").agg(F.transform(F.array_sort(F.collect_list("order")), lambda o: o["token"]).alias("prefix"))
+    facts = prefixes.join(classes.select("node", "first", "n"), "node")
+    facts = materialize(facts.join(sketches(facts.select("node", "first"), docs), "node").drop("first"), "facts")
+    def side(rows: DataFrame, a: str) -> DataFrame:
+        return rows.join(facts, "node").select(F.col("token").alias(f"{a}_token"), *[F.col(c).alias(f"{a}_{c}") for c in ("node", "root", "main", "prefix", "n", "bits")])
+
+    once = F.get(F.array_intersect("u_prefix", "v_prefix"), F.lit(0)) == F.col("u_token")
+    apart = (F.col("u_root") != F.col("v_root")) & (F.col("v_main") | (F.col("u_node") < F.col("v_node")))
+    across = side(tied.where("not main"), "u").join(side(tied, "v"), (F.col("u_token") == F.col("v_token")) & apart & _sizes("u", "v") & _close("u", "v") & once)
+    more = confirm(across.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct(), classes, docs)
     links = materialize(links.unionByName(more), "links")
 
     comps = components(links).join(classes.select("node", "first"), "node")
