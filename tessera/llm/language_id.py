@@ -186,6 +186,8 @@ class Models:
         self.unknown = np.full((1, n_langs), -np.log(vocabulary), np.float32)
         self.orders: dict[int, Order] = {}
         self.backoffs: dict[int, Order] = {}
+        if not n_langs:
+            return
         lower = lambda keys: np.repeat(self.unknown.astype(np.float64), len(keys), 0)
         for k in range(1, ORDER + 1):
             keys = np.unique(np.concatenate([x[k][0] for x in by]))

@@ -1,0 +1,357 @@
+"""Each operator against a brute-force version, and on the hard cases: nulls in any column, empty and very long texts, ties and repeated rows,
+empty tables, extra columns with clashing names."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from tessera.llm import chat_format, decontamination, language_id, mixing, near_dedup, perplexity, quality_rules, tokens, url_filter, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def prose(rng, n, lang="en"):
+    common = {"en": "the of and to in a is that", "fr": "de la le et les des en un"}[lang].split()
+    rare = ["ba", "lo", "mi", "ter", "ven", "ski", "dro", "pel"]
+    return " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice(rare) for _ in range(3)) for _ in range(n))
+
+
+def hard_documents():
+    rng = random.Random(3)
+    base = prose(rng, 120)
+    words = base.split()
+    near = " ".join(words[:60] + ["changed"] + words[61:])
+    texts = [base, near, base, base.upper(), None, "", " \n\t", "one two", "one two", "a b c d e", "A B C D E", "...", "word " * 3000, prose(rng, 4000)]
+    texts += [prose(rng, 80, lang) for lang in ("en", "fr") for _ in range(30)]
+    rows = [(i, t, None if i == 5 else "fr" if i >= 44 else "en", None if i % 7 == 0 else f"s{i % 3}", None) for i, t in enumerate(texts)]
+    return [*rows, (None, base, "en", "s0", 1), (None, None, None, None, None), rows[0], rows[6]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(hard_documents(), SCHEMA)
+    return df.withColumnsRenamed({"n_chars": "n"}).withColumn("score", df["doc_id"]).withColumn("node", df["source"]).withColumn("size", df["doc_id"]).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_quality_counts(docs, empty):
+    got = collections.Counter(tuple(r)[:7] for r in quality_rules.quality(docs).drop("kept", "class_distance", "common_distance").collect())
+    want = collections.Counter()
+    for doc_id, text, *_ in hard_documents():
+        w = WORD.findall(text or "")
+        seen, dup = set(), 0
+        for line in (text or "").split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        windows = collections.Counter(zip(w, w[1:], w[2:]))
+        cover = {j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+        want[(doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w))] += 1
+    assert got == want
+    assert quality_rules.quality(empty).count() == 0
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    assert quality_rules.keep_good(empty).count() == 0
+
+
+def test_mixing_meets_targets(spark, docs, empty):
+    rows = mixing.mix(docs, bucket_rows=5).collect()
+    assert len(rows) == docs.count()
+    assert sorted(r.size for r in rows) == sorted(len(WORD.findall(t or "")) for _, t, *_ in hard_documents())
+    by = collections.defaultdict(list)
+    source = {d: s for d, _, _, s, _ in hard_documents()}
+    for r in rows:
+        if r.doc_id is not None:
+            by[source[r.doc_id]].append(r)
+    for rs in by.values():
+        assert len({(r.source_size, r.target) for r in rs}) == 1
+        assert all(0 <= r.taken <= 3 * r.size for r in rs)
+    assert abs(sum(r.taken for r in rows) - sum(r.size for r in rows)) <= 4
+    again = sorted(map(tuple, mixing.mix(docs.repartition(3), bucket_rows=5).collect()), key=repr)
+    assert again == sorted(map(tuple, rows), key=repr)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_targets_reshare(spark):
+    sizes = [("a", 10), ("b", 1000), ("c", 10), ("d", 5), (None, 975)]
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame([(s, n, 1) for s, n in sizes], "source string, source_size bigint, source_rows bigint")).collect()}
+    weight, size = dict(zip([s for s, _ in sizes], (1, 2, 3, 1, 2))), dict(sizes)
+    total, capped = sum(size.values()), set()
+    while True:
+        left = total - sum(3 * size[s] for s in capped)
+        share = {s: left * weight[s] / sum(weight[x] for x in weight if x not in capped) for s in weight if s not in capped}
+        more = {s for s in share if share[s] > 3 * size[s]}
+        if not more:
+            break
+        capped |= more
+    for s in weight:
+        assert got[s] == pytest.approx(3 * size[s] if s in capped else share[s])
+
+
+def shingles(text):
+    w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(text or "")]
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
+
+
+def test_near_duplicates_against_all_pairs(spark, docs, empty):
+    rng = random.Random(7)
+    extra = []
+    for g in range(12):  # groups whose members are similar to a greater or lesser degree
+        words = prose(rng, 150).split()
+        for _ in range(8):
+            w = list(words)
+            for _ in range(rng.choice([0, 1, 3, 6, 9])):
+                w[rng.randrange(150)] = "x" + str(rng.random())
+            extra.append((1000 + len(extra), " ".join(w), None, None, None))
+    rows = hard_documents() + extra
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("n_chars", "first")).collect()
+    sets = {d: shingles(t) for d, t, *_ in rows if d is not None}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is None:
+            assert (r.component_id, r.kept) == (None, True)
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
+    assert near_dedup.near_duplicates(empty).count() == 0
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({r.doc_id for r in near_dedup.near_duplicates(docs).where("kept").collect()} - {None})
+
+
+def test_decontamination(spark, docs, empty):
+    rng = random.Random(5)
+    items = [(i, prose(rng, rng.randint(3, 60))) for i in range(150)] + [(150, None), (151, ""), (None, prose(rng, 30)), (0, "one repeated item that stands twice here")]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    leak = prose(rng, 200) + "\n" + items[7][1].upper().replace(" ", " , ") + " " + prose(rng, 300) + " " + items[8][1]
+    question_only = prose(rng, 90) + " " + " ".join(items[9][1].split()[: len(items[9][1].split()) // 2]) + " " + prose(rng, 90)
+    rows = [(0, leak, None, None, None), (1, question_only, None, None, None), (2, None, None, None, None), (3, "", None, None, None), (4, prose(rng, 20000), None, None, None)]
+    got = {r.doc_id: r for r in decontamination.decontaminate(spark.createDataFrame(rows, SCHEMA), benchmark).collect()}
+    assert {7, 8} <= set(got[0].item_ids) and got[0].contaminated
+    assert 9 not in got[1].item_ids
+    assert not got[2].contaminated and not got[3].contaminated
+    assert decontamination.decontaminate(empty, benchmark).count() == 0
+    assert not any(r.contaminated for r in decontamination.decontaminate(docs, benchmark.limit(0)).collect())
+    kept = decontamination.keep_clean(docs, benchmark)
+    assert kept.columns == docs.columns
+
+
+def test_search_finds_all_above_the_threshold():
+    rng = random.Random(11)
+    index = decontamination.Index([decontamination.make_item(i, prose(rng, rng.randint(3, 60))) for i in range(400)])
+    for _ in range(300):
+        terms = sorted(rng.sample(range(len(index.ids)), rng.choice([3, 10, 40, 100])))
+        least = rng.choice([0.05, 0.1, 0.3])
+        score = collections.Counter()
+        for t in terms:
+            for place, share in zip(index.places[t], index.shares[t]):
+                score[place] += share
+        found = dict(index.search(terms, least))
+        assert set(found) == {p for p, s in score.items() if s >= least - 1e-9}
+        assert all(found[p] == pytest.approx(score[p]) for p in found)
+
+
+def test_passages_skip_nothing():
+    rng = random.Random(13)
+    items = [decontamination.make_item(i, prose(rng, rng.randint(3, 60))) for i in range(60)]
+    index = decontamination.Index(items)
+    for _ in range(40):
+        parts = [prose(rng, rng.randint(0, 150))] + [" ".join(rng.choice(items).words) + " " + prose(rng, rng.randint(0, 150)) for _ in range(2)]
+        words = decontamination.tokens(" ".join(parts))
+        want = {}
+        for lo in range(0, max(1, len(words) - index.half), index.half):
+            index._passage(words[lo : lo + 2 * index.half], [index.ids[w] for w in sorted(set(words[lo : lo + 2 * index.half]) & set(index.ids), key=index.ids.get)], want)
+        assert index.leaks([None, " ".join(parts), ""])[1].keys() == want.keys()
+
+
+def test_language(spark, docs, empty):
+    rows = language_id.identify(docs).collect()
+    assert len(rows) == docs.count()
+    texts = dict((d, (t, lang)) for d, t, lang, *_ in hard_documents())
+    for r in rows:
+        text = texts[r.doc_id][0] if r.doc_id is not None else "a"
+        assert r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1
+        if r.doc_id is not None and (text is None or not any(map(str.isalpha, text))):
+            assert r.lang_pred == "und"
+        elif r.doc_id is not None and r.doc_id >= 14:
+            assert r.lang_pred == texts[r.doc_id][1]
+    assert language_id.identify(empty).count() == 0
+    none = language_id.identify(docs.withColumn("lang", docs["lang"].isNull().cast("string").substr(9, 9)).replace("", None, "lang")).collect()
+    assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
+
+
+def test_language_models_are_distributions():
+    rng = random.Random(2)
+    train = {lang: [prose(rng, 60, lang) for _ in range(10)] for lang in ("en", "fr")}
+    import numpy as np
+
+    counts = {}
+    for lang, texts in train.items():
+        u, begins = language_id.units(texts)
+        g = language_id.grams(u)
+        counts[lang] = np.unique(g[language_id.inside(begins, len(g))], return_counts=True)
+    models = language_id.Models(counts)
+    seen = np.unique(np.concatenate([k for k, _ in counts.values()]) & np.uint64(0xFFFF))
+    for context in ("the", " of", "zzz", "\x01 t"):
+        base = np.uint64(sum(ord(c) << 16 * (3 - i) for i, c in enumerate(context)))
+        total = np.exp(models.log_p(np.array([base | w for w in seen], np.uint64)).astype(float)).sum(0)
+        unknown = np.exp(models.log_p(np.array([base | np.uint64(0x4E00)], np.uint64)).astype(float))[0]
+        assert total + unknown == pytest.approx(1, abs=1e-3)
+
+
+def test_units_do_not_join_texts():
+    alone = [language_id.units([t])[0].tolist() for t in ("Ab  c", "", "x1y", "\0\x01z", "日 😀")]
+    joined, begins = language_id.units(["Ab  c", "", "x1y", "\0\x01z", "日 😀"])
+    assert [joined[i:j].tolist() for i, j in zip(begins, begins[1:])] == alone
+
+
+def test_tokens(spark, docs, empty):
+    public = pytest.importorskip("public_tokenizers")
+    from sentencepiece import SentencePieceProcessor
+
+    model = public.path("piece_bpe_32k.model")
+    sp = SentencePieceProcessor(model_file=model)
+    got = collections.Counter(tuple(r) for r in tokens.count_tokens(docs, model).collect())
+    want = collections.Counter((d, len((t or "").encode()), n := len(sp.encode(t or "")), n > 4096) for d, t, *_ in hard_documents())
+    assert got == want
+    assert tokens.count_tokens(empty, model).count() == 0
+    rng = random.Random(1)
+    parts = [" ", "  ", "a", "the", "\n", "▁", "<s>", "</s>", "\t", "é", "日本", "😀", "<0x0A>", "   ", " x", "\x00", "ing"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(3000)]
+    assert tokens.Counts(model, memo=50).of(texts) == [len(x) for x in sp.encode(texts)]
+
+
+def test_perplexity(spark, docs, empty):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(14, 74)] + [(3, 0, 0), (None, 1, 0), (12, 1, 1)], "doc_id bigint, quality int, toxic int")
+    rows = perplexity.classify(docs, labels).collect()
+    assert len(rows) == docs.count()
+    by = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert by[4].perplexity is None and not by[4].kept and not by[5].kept
+    assert by[12].perplexity > max(by[i].perplexity for i in range(14, 74))
+    assert perplexity.classify(empty, labels).count() == 0
+    assert all(r.kept for r in perplexity.classify(docs, labels.limit(0)).where("perplexity is not null").collect())
+
+
+def test_perplexity_is_that_of_the_model(spark):
+    """The sharded joins against the formula on plain dictionaries."""
+    import math
+
+    rng = random.Random(9)
+    texts = [prose(rng, 40) for _ in range(60)] + ["!!", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    vocab = perplexity.vocabulary(docs, 50)
+    got = {r.doc_id: r for r in perplexity.perplexities(docs, docs, 50).collect()}
+    ids = perplexity.Ids(vocab)
+    runs = {i: [perplexity.EDGE, *(ids[w] for w in WORD.findall(t)), perplexity.EDGE] for i, t in enumerate(texts) if t}
+    c = collections.Counter(p for r in runs.values() for p in zip(r, r[1:]))
+    of = collections.Counter(c.values())
+    y = of[1] / (of[1] + 2 * of[2])
+    d = [min(max(v, 0.1), top) for v, top in zip((1 - 2 * y * of[2] / of[1], 2 - 3 * y * of[3] / of[2], 3 - 4 * y * of[4] / of[3]), (0.95, 1.95, 2.95))]
+    total, kinds, left = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), collections.Counter()
+    for (a, b), n in c.items():
+        total[a] += n
+        kinds[a][min(n, 3) - 1] += 1
+        left[b] += 1
+    m = collections.Counter(left.values())
+    dl = min(0.95, max(0.1, m[1] / (m[1] + 2 * m[2]))) if m[1] else 0.5
+    every, size = sum(left.values()), perplexity.FIRST_WORD + len(vocab)
+    uni = lambda w: max(left[w] - dl, 0) / every + dl * len(left) / every / size
+    for i, r in runs.items():
+        log_p = sum(math.log(max(c[p] - d[min(c[p], 3) - 1], 0) / total[p[0]] + sum(x * k for x, k in zip(d, kinds[p[0]])) / total[p[0]] * uni(p[1])) for p in zip(r, r[1:]))
+        assert (got[i].n, got[i].log_p) == (len(r) - 1, pytest.approx(log_p, rel=1e-6))
+
+
+def test_urls(spark):
+    urls = ["http://A.net/x?y", "https://www.example.net/en/1", "https://xexample.net/en/1", "http://example.com/de/#z", "http://a.org/fr/", "http://org", None, "no scheme", "a://b://c/d", "://", "http://h.com", "x\n://q.com/p\nq?r", "http://net", "http://a.net"]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0]), (None, urls[1])], "page_id bigint, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, spark.createDataFrame([("h.com",), ("gone",)], "k string")).collect() if r.page_id is not None}
+    assert got == {
+        0: ("a.net", "/x", "net/", "block"), 1: ("www.example.net", "/en/1", "example.net/en/", "allow"), 2: ("xexample.net", "/en/1", "net/", "block"), 3: ("example.com", "/de/", "example.com/de/", "block"),
+        4: ("a.org", "/fr/", "org/fr/", "allow"), 5: ("org", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("", "", None, "allow"), 8: ("b:", "//c/d", None, "allow"), 9: ("", "", None, "allow"),
+        10: ("h.com", "", None, "block"), 11: ("q.com", "/p\nq", None, "allow"), 12: ("net", "", None, "allow"), 13: ("a.net", "", None, "allow"),
+    }
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("max_bits", [1 << 23, 64])
+def test_cascade_is_exact(spark, max_bits):
+    universe = spark.range(3000).selectExpr("concat('h', id) as k")
+    listed = universe.where("hash(k) % 5 = 0").union(spark.sql("select 'elsewhere' as k"))
+    cascade = url_filter.Cascade(listed, universe, max_bits)
+    assert cascade.small == (max_bits > 64) and (not cascade.small or len(cascade.levels) > 2)
+    assert cascade.with_listed(universe.withColumnRenamed("k", "key"), "key", "out").where("out <> (hash(key) % 5 = 0)").count() == 0
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "<p>" + "x" * 2000
+    pages = [(1, "http://a/ %\n", "<p>é</p>"), (2, None, None), (3, "u", big), (4, "u", big), (5, "u", big), (None, "u", "n"), (6, "u", "small"), (7, "u", "small"), (7, "u", "small"), (8, "u", "\r\n\r\nWARC/1.1\r\n\x1f\x8b\x08 " + "".join(chr(i) for i in range(1, 3000)) * 30)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("size", pytest.importorskip("pyspark").sql.functions.lit(1))
+    manifest = warc.write_archives(df, f"file://{tmp_path}/w")
+    for step in (1 << 22, 997):
+        read = warc.read_archives(manifest, range_bytes=step).collect()
+        want = collections.Counter()
+        for i, u, h in pages:
+            p = (h or "").encode()
+            revisit = h == big and i != 5
+            want[(i, u, "revisit" if revisit else "response", 5 if revisit else None, len(p), hashlib.sha1(p).hexdigest(), None if revisit else p)] += 1
+        assert collections.Counter((r.page_id, r.url, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, None if r.payload is None else bytes(r.payload)) for r in read) == want
+    assert warc.round_trip(df.limit(0), spark).count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 2, "assistant", "b\\|<|im_end|>"), (1, 1, "user", None), (2, 1, None, "x"), (2, 1, None, "x"), (3, 5, "od\nd\\_<|r", "\\\\<\\|\n<|im_start|>user\n"), (None, 1, "assistant", ""), (4, None, "assistant", "y")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    d = chat_format.parsed(chat_format.formatted(chat_format.canonical(df))).collect()
+    for r in d:
+        assert [tuple(t) for t in r.read] == [tuple(t) for t in r.turns]
+        at, under = 0, []
+        for m in r.loss_mask:
+            if m.loss:
+                under.append(r.formatted[at + m.head : at + m.head + m.length])
+            at += m.head + m.length + len(chat_format.END) + 1
+        assert at == len(r.formatted)
+        assert "".join(x.replace("<\\|", "<|").replace("\\\\", "\\") if "\\\\" not in x else re.sub(r"\\([\\|])", r"\1", x) for x in under) == r.loss
+    got = {r.conv_id: r for r in chat_format.digests(df.withColumn("read", df["turn"])).collect()}
+    said = "user\n" + chat_format.PROBE + "\nassistant\n" + chat_format.PROBE + "\n"
+    assert got[-1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[-1].n_turns == 2
+    assert got[2].n_turns == 2 and got[2].loss_chars == 0 and got[1].loss_chars == len(rows[0][3])
+    assert [r.conv_id for r in chat_format.digests(df.limit(0)).collect()] == [-1]
+
+
+def test_layouts(spark):
+    records = [
+        '{"messages":[{"role":"user","content":"a"},{"content":"b","role":"assistant"}]}', '{"prompt":"a","response":"b"}', '{"output":"b","instruction":"a","input":""}',
+        '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}', '{"other":1}', "no json", None,
+    ]
+    got = {r.conv_id: r for r in chat_format.canonical_json(spark.createDataFrame(list(enumerate(records)), "conv_id bigint, record string")).collect()}
+    for i in range(4):
+        assert [tuple(t) for t in got[i].turns] == [("user", "a"), ("assistant", "b")], i
+    assert all(got[i].turns is None and got[i].layout is None for i in (4, 5, 6))
+    df = spark.createDataFrame([(1, "a", "b")], "conv_id bigint, prompt string, completion string")
+    assert [tuple(t) for t in chat_format.canonical(df).first().turns] == [("user", "a"), ("assistant", "b")]
+    with pytest.raises(ValueError):
+        chat_format.canonical(df.withColumnRenamed("prompt", "unknown"))
