@@ -1,0 +1,127 @@
+"""Per-mesh coders: a range variant of asymmetric numeral systems for symbols, and a bit-by-bit tree coder for integer points. Both are
+sequential within a group and run as one call for each, over many groups at once."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+PRECISION = 12
+LOW = 1 << 23
+
+
+def probabilities(counts: dict[int, int], precision: int = PRECISION) -> dict[int, int]:
+    """Counts scaled to add up to 2^precision, each at least 1: rounded, and the remainder settled on the largest."""
+    whole, total = 1 << precision, sum(counts.values())
+    if len(counts) > whole:
+        raise ValueError("more symbols than the table holds")
+    p = {s: max(1, round(n * whole / total)) for s, n in sorted(counts.items())}
+    off = whole - sum(p.values())
+    for s in sorted(p, key=lambda s: (-p[s], s)):
+        step = max(off, 1 - p[s]) if off < 0 else off
+        p[s] += step
+        off -= step
+        if not off:
+            break
+    return p
+
+
+def varint(n: int) -> bytes:
+    out = bytearray()
+    while n >= 128:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def read_varint(data: bytes, at: int) -> tuple[int, int]:
+    n = shift = 0
+    while True:
+        b = data[at]
+        n |= (b & 127) << shift
+        at, shift = at + 1, shift + 7
+        if b < 128:
+            return n, at
+
+
+def encode_symbols(symbols: list[int]) -> bytes:
+    """Number of symbols, table, state and bytes. Symbols are natural numbers."""
+    counts = Counter(symbols)
+    precision = max(PRECISION, (2 * len(counts)).bit_length())
+    p = probabilities(counts, precision) if counts else {}
+    begins, at = {}, 0
+    head = bytearray(varint(len(symbols)) + varint(precision) + varint(len(p)))
+    last = 0
+    for s, n in p.items():
+        begins[s], at = at, at + n
+        head += varint(s - last) + varint(n)
+        last = s
+    state, tail = LOW, bytearray()
+    for s in reversed(symbols):
+        limit = ((LOW >> precision) << 8) * p[s]
+        while state >= limit:
+            tail.append(state & 255)
+            state >>= 8
+        state = (state // p[s] << precision) + state % p[s] + begins[s]
+    return bytes(head) + varint(state) + bytes(reversed(tail))
+
+
+def decode_symbols(data: bytes) -> list[int]:
+    n, at = read_varint(data, 0)
+    precision, at = read_varint(data, at)
+    kinds, at = read_varint(data, at)
+    table, begins, symbol, total = [], {}, 0, 0
+    for _ in range(kinds):
+        step, at = read_varint(data, at)
+        p, at = read_varint(data, at)
+        symbol += step
+        begins[symbol] = (total, p)
+        table += [symbol] * p
+        total += p
+    state, at = read_varint(data, at)
+    out, mask = [], (1 << precision) - 1
+    for _ in range(n):
+        s = table[state & mask]
+        begin, p = begins[s]
+        out.append(s)
+        state = p * (state >> precision) + (state & mask) - begin
+        while state < LOW and at < len(data):
+            state, at = state << 8 | data[at], at + 1
+    return out
+
+
+def encode_points(points: list[tuple[int, ...]]) -> bytes:
+    """A multiset of points of natural numbers: at each cell the number of points in its lower half, axis after axis and bit after bit."""
+    axes = len(points[0]) if points else 0
+    bits = max((x.bit_length() for p in points for x in p), default=0)
+    numbers, stack = [], [(points, 0)]
+    while stack:
+        own, level = stack.pop()
+        if not own or level == bits * axes:
+            continue
+        axis, bit = level % axes, bits - 1 - level // axes
+        lower = [p for p in own if not p[axis] >> bit & 1]
+        numbers.append(len(lower))
+        stack += [([p for p in own if p[axis] >> bit & 1], level + 1), (lower, level + 1)]
+    return varint(len(points)) + varint(axes) + varint(bits) + encode_symbols(numbers)
+
+
+def decode_points(data: bytes) -> list[tuple[int, ...]]:
+    """The points in ascending order of their interleaved bits."""
+    n, at = read_varint(data, 0)
+    axes, at = read_varint(data, at)
+    bits, at = read_varint(data, at)
+    numbers = iter(decode_symbols(data[at:]))
+    out, stack = [], [(n, 0, (0,) * axes)]
+    while stack:
+        own, level, cell = stack.pop()
+        if not own:
+            continue
+        if level == bits * axes:
+            out += [cell] * own
+            continue
+        axis, bit = level % axes, bits - 1 - level // axes
+        lower = next(numbers)
+        upper = tuple(x | 1 << bit if i == axis else x for i, x in enumerate(cell))
+        stack += [(own - lower, level + 1, upper), (lower, level + 1, cell)]
+    return out

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.operators import attributes as A
-from tessera.operators import scene
+from tessera.operators import codecs, scene
 from tessera.operators import sequences as Q
 from tessera.operators import topology as G
 from tessera.plans import rules as R
+from tessera.sources import meshes
 
 BITS, OCTA = 11, 10
 
@@ -361,5 +362,72 @@ def kd_cells(spark, d):
     return A.cells(values(spark, d), "vec_id", BITS, levels=2, axes=3)
 
 
+def _coded(rows: DataFrame, column: str, key: str, check: Callable[[list], bool]) -> DataFrame:
+    """(key, n, same): whether each list comes back from its code. Lists are coded where they are, many to a batch."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array([check(x) for x in lists], pa.bool_())], [key, "n", "same"])
+
+    return rows.select(key, column).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, n bigint, same boolean")
+
+
+@query("SELECT user_id, count(*) AS n, true AS same FROM events GROUP BY user_id")
+def symbol_coder_roundtrip(spark, d):
+    rows = residuals(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "u"))), lambda x: x["u"]).alias("symbols"))
+    return _coded(rows, "symbols", "user_id", lambda x: codecs.decode_symbols(codecs.encode_symbols(x)) == x)
+
+
+@query("SELECT label, count(*) AS n, true AS same FROM embeddings GROUP BY label")
+def tree_coder_roundtrip(spark, d):
+    q = A.quantized(values(spark, d).where("c < 3"), BITS).groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "q"))), lambda x: x["q"]).alias("p"))
+    rows = table(spark, d, "embeddings").select("vec_id", "label").join(q, "vec_id").groupBy("label").agg(F.collect_list("p").alias("points"))
+    return _coded(rows, "points", "label", lambda x: sorted(codecs.decode_points(codecs.encode_points([tuple(p) for p in x]))) == sorted(map(tuple, x)))
+
+
+def order_meshes(spark: SparkSession, d: str) -> DataFrame:
+    """A mesh for each order: its parts as points, in the order of their first corner."""
+    f = faces(spark, d)
+    new = G.renumbered(f)
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("point"), F.array(F.col("p_size").cast("double"), F.round("p_retailprice").cast("double"), F.lit(0.5)).alias("position"))
+    positions = new.join(part, "point").groupBy("m").agg(F.transform(F.array_sort(F.collect_list(F.struct("new", "position"))), lambda x: x["position"]).alias("positions"))
+    renamed = f
+    for i in range(3):
+        renamed = renamed.join(new.select("m", F.col("point").alias(f"p{i}"), F.col("new").alias(f"q{i}")), ["m", f"p{i}"])
+    rings = renamed.groupBy("m").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", F.array("q0", "q1", "q2").alias("q")))), lambda x: x["q"]).alias("faces"))
+    none = lambda kind: F.array().cast(f"array<array<{kind}>>")
+    return positions.join(rings, "m").select(
+        F.lit("").alias("file"), F.lit(0).alias("mesh"), F.col("m").cast("string").alias("name"), "positions", none("double").alias("normals"), none("int").alias("colors"), none("double").alias("uvs"), "faces", F.lit(None).cast("string").alias("error"),
+    )
+
+
+def _format_query(form: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        back = meshes.parsed(meshes.encoded(order_meshes(spark, d), form))
+        m = F.substring_index(F.element_at(F.split("file", "/"), -1), "-", 1).cast("long")
+        total = F.aggregate("positions", F.lit(0.0), lambda a, p: a + F.get(p, F.lit(0)))
+        return back.select(m.alias("m"), F.size("positions").cast("long").alias("points"), F.size("faces").cast("long").alias("triangles"), total.cast("long").alias("total"))
+
+    run.__name__ = f"{form}_roundtrip"
+    return run
+
+
+for _form in ("obj", "ply", "ply_little", "ply_big", "glb"):
+    query(f"""WITH {RING}, a AS (SELECT m, p0 AS p FROM f UNION SELECT m, p1 FROM f UNION SELECT m, p2 FROM f)
+SELECT x.m, points, triangles, total FROM (SELECT m, count(*) AS points, CAST(sum(p_size) AS BIGINT) AS total FROM a JOIN part ON p = p_partkey GROUP BY m) x JOIN (SELECT m, count(*) AS triangles FROM f GROUP BY m) y ON x.m = y.m""")(_format_query(_form))
+
+
+@query("SELECT i AS id, 'MESH' AS magic, i % 3 AS major, i % 7 AS minor, i % 2 AS geometry, i % 4 AS method, i AS flags, i >= 32768 AS has_metadata FROM range(0, 65536, 97) t(i)")
+def header_parse(spark, d):
+    i = F.col("id")
+    byte = lambda v: F.unhex(F.lpad(F.hex(v), 2, "0"))
+    content = F.concat(F.lit(b"MESH"), byte(i % 3), byte(i % 7), byte(i % 2), byte(i % 4), byte(i % 256), byte(F.floor(i / 256)))
+    number = lambda at: F.conv(F.hex(F.substring("content", at, 1)), 16, 10).cast("long")
+    flags = number(9) + 256 * number(10)
+    return spark.range(0, 65536, 97).withColumn("content", content).select("id", F.substring("content", 1, 4).cast("string").alias("magic"), number(5).alias("major"), number(6).alias("minor"), number(7).alias("geometry"), number(8).alias("method"), flags.alias("flags"), (flags >= 32768).alias("has_metadata"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f, _ in _ENTRIES}
 ORACLES: dict[str, str] = {name: sql for name, _, sql in _ENTRIES if sql}
