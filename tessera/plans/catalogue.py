@@ -414,7 +414,7 @@ def _format_query(form: str):
     return run
 
 
-for _form in ("obj", "ply", "ply_little", "ply_big", "glb"):
+for _form in ("obj", "ply", "ply_little", "ply_big", "glb", "fbx"):
     query(f"""WITH {RING}, a AS (SELECT m, p0 AS p FROM f UNION SELECT m, p1 FROM f UNION SELECT m, p2 FROM f)
 SELECT x.m, points, triangles, total FROM (SELECT m, count(*) AS points, CAST(sum(p_size) AS BIGINT) AS total FROM a JOIN part ON p = p_partkey GROUP BY m) x JOIN (SELECT m, count(*) AS triangles FROM f GROUP BY m) y ON x.m = y.m""")(_format_query(_form))
 

@@ -10,7 +10,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources import formats
+from tessera.sources import fbx, formats
 
 MESH = "file string, mesh int, name string, positions array<array<double>>, normals array<array<double>>, colors array<array<int>>, uvs array<array<double>>, faces array<array<int>>, error string"
 _ARROW = pa.schema([("file", pa.string()), ("mesh", pa.int32()), ("name", pa.string()), *[(k, pa.list_(pa.list_(t))) for k, t in (("positions", pa.float64()), ("normals", pa.float64()), ("colors", pa.int32()), ("uvs", pa.float64()), ("faces", pa.int32()))], ("error", pa.string())])
@@ -21,6 +21,8 @@ def parse(path: str, content: bytes, **options) -> list[dict]:
     stem, ending = os.path.splitext(os.path.basename(path))
     if content[:4] == b"glTF" or ending == ".gltf":
         return formats.read_gltf(content)
+    if content[: len(fbx.MAGIC)] == fbx.MAGIC:
+        return fbx.read_fbx(content)
     if content.lstrip()[:3] == b"ply":
         return [formats.read_ply(content, stem)]
     if ending == ".obj":
@@ -61,7 +63,7 @@ def faces(meshes: DataFrame) -> DataFrame:
 
 
 WRITERS = {
-    "obj": lambda m: formats.write_obj([m]), "ply": formats.write_ply, "glb": lambda m: formats.write_glb([m]),
+    "obj": lambda m: formats.write_obj([m]), "ply": formats.write_ply, "glb": lambda m: formats.write_glb([m]), "fbx": lambda m: fbx.write_fbx([m]),
     "ply_little": lambda m: formats.write_ply(m, "binary_little_endian"), "ply_big": lambda m: formats.write_ply(m, "binary_big_endian"),
 }
 

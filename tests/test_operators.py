@@ -10,7 +10,7 @@ from tessera.functions import scalar as S
 from tessera.operators import codecs, scene
 from tessera.operators import sequences as Q
 from tessera.operators import topology as G
-from tessera.sources import formats, meshes
+from tessera.sources import fbx, formats, meshes
 from tessera.sources.session import checkpoint_folder
 from tessera.streaming import symbols
 
@@ -167,6 +167,26 @@ def test_glb():
     assert len(formats.read_gltf(json.dumps(doc).encode())) == 2
 
 
+def test_fbx():
+    many = formats.mesh([(i, i * i, 0.5) for i in range(60)], [(i, i + 1, i + 2) for i in range(58)], name="many")
+    plain = {**SHAPE, "normals": [], "colors": []}
+    for compress in (True, False):
+        data = fbx.write_fbx([plain, many], compress)
+        assert fbx.read_fbx(data) == [plain, many]
+        assert fbx.connections(fbx.parse(data)[1]) == [(1000, 1001), (1001, 0), (1002, 1003), (1003, 0)]
+    assert fbx.polygons([0, 1, -3, 4, 5, 6, -8]) == [[0, 1, 2], [4, 5, 6, 7]]
+    rng = random.Random(6)
+    for _ in range(300):
+        broken = bytearray(data[: rng.randint(0, len(data))])
+        for _ in range(3):
+            if broken:
+                broken[rng.randrange(len(broken))] = rng.randrange(256)
+        try:
+            fbx.read_fbx(bytes(broken))
+        except (ValueError, TypeError, MemoryError, OverflowError):
+            pass
+
+
 def test_files(spark, tmp_path):
     rows = [("a", 0, "one", *[SHAPE[k] for k in ("positions", "normals", "colors", "uvs", "faces")], None)]
     df = spark.createDataFrame(rows, meshes.MESH)
