@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import scalar as S
+
 
 def fan(polygons: DataFrame) -> DataFrame:
     """(m, ring) -> faces: ring (a0, a1, ...) as (a0, aj, aj+1); rings of fewer than three points give none."""
@@ -96,14 +98,13 @@ def parallelogram(faces: DataFrame, values: DataFrame) -> DataFrame:
     return d.select("m", "corner", (F.col("x_tip") - (F.col("x_src") + F.col("x_snk") - F.col("x_far"))).alias("residual"))
 
 
-def components(faces: DataFrame, rounds: int = 64) -> DataFrame:
-    """(m, v, component): each vertex with the least vertex it is connected to within its mesh.
+def connected(links: DataFrame, rounds: int = 64) -> DataFrame:
+    """links (m, a, b), in both directions -> (m, v, component): each node with the least it is connected to within its mesh.
 
     Labels fall to the least of the neighbours' labels; with each round the label of the label is taken, too, so that the
     number of rounds grows with the logarithm of the longest path. Every round is written to the checkpoint folder.
     """
-    e = edges(faces).select("m", "a", "b")
-    both = e.unionByName(e.select("m", F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+    both = links.checkpoint()
     labels = both.select("m", F.col("a").alias("v")).distinct().withColumn("label", F.col("v"))
     for _ in range(rounds):
         near = both.join(labels.select("m", F.col("v").alias("b"), "label"), ["m", "b"]).groupBy("m", F.col("a").alias("v")).agg(F.min("label").alias("near"))
@@ -113,5 +114,58 @@ def components(faces: DataFrame, rounds: int = 64) -> DataFrame:
         done = new.where("label <> next").isEmpty()
         labels = new.select("m", "v", F.col("next").alias("label"))
         if done:
-            break
-    return labels.select("m", "v", F.col("label").alias("component"))
+            return labels.select("m", "v", F.col("label").alias("component"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def _both(edges_: DataFrame) -> DataFrame:
+    e = edges_.select("m", "a", "b")
+    return e.unionByName(e.select("m", F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def components(faces: DataFrame) -> DataFrame:
+    """(m, v, component): each vertex with the least vertex it is connected to within its mesh."""
+    return connected(_both(edges(faces)))
+
+
+def boundary_loops(faces: DataFrame) -> DataFrame:
+    """(m, loops): connected runs of border edges; meshes without a border are left out."""
+    return connected(_both(edges(faces).where("times = 1"))).groupBy("m").agg(F.countDistinct("component").alias("loops"))
+
+
+def vertex_fans(faces: DataFrame) -> DataFrame:
+    """(m, corner, tip, fan): corners at a vertex that follow from each other over shared edges, by the least of them. A vertex with
+    several fans is one that a mesh of manifold vertices has to split."""
+    c = corners(faces.where(~degenerate())).select("m", "corner", "tip")
+    step = lambda x: F.col(x) - F.col(x) % 3 + (F.col(x) + 1) % 3
+    o = opposites(faces)  # a corner n and the one across: the corner before n has the same tip as the one after that across
+    links = o.select("m", (F.col("corner") - F.col("corner") % 3 + (F.col("corner") + 2) % 3).alias("a"), step("opposite").alias("b"))
+    own = c.select("m", F.col("corner").alias("a"), F.col("corner").alias("b"))
+    found = connected(_both(links).unionByName(own))
+    return c.join(found.withColumnRenamed("v", "corner"), ["m", "corner"]).withColumnRenamed("component", "fan")
+
+
+def split_vertices(faces: DataFrame) -> DataFrame:
+    """(m, v, fans) of the vertices with more than one fan."""
+    return vertex_fans(faces).groupBy("m", F.col("tip").alias("v")).agg(F.countDistinct("fan").alias("fans")).where("fans > 1")
+
+
+def vertex_normals(faces: DataFrame, positions: DataFrame) -> DataFrame:
+    """(m, v, x, y, z): sums of the cross products of the faces around each vertex, so larger faces weigh more. positions: (v, x, y, z), integers."""
+    d = faces
+    for i in range(3):
+        d = d.join(positions.select(F.col("v").alias(f"p{i}"), *[F.col(c).alias(f"{c}{i}") for c in "xyz"]), f"p{i}")
+    u, w = ({c: F.col(f"{c}{k}") - F.col(f"{c}0") for c in "xyz"} for k in (1, 2))
+    cross = {"x": u["y"] * w["z"] - u["z"] * w["y"], "y": u["z"] * w["x"] - u["x"] * w["z"], "z": u["x"] * w["y"] - u["y"] * w["x"]}
+    each = d.select("m", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("v"), *[v.alias(c) for c, v in cross.items()])
+    return each.groupBy("m", "v").agg(*[F.sum(c).alias(c) for c in "xyz"])
+
+
+def plain_index_bytes(faces: DataFrame) -> DataFrame:
+    """(m, points, bytes): size of face indices as they stand, by the number of points one byte each, two, a varint, or four."""
+    new = renumbered(faces)
+    points = new.groupBy("m").agg(F.count(F.lit(1)).alias("points"))
+    used = corners(faces).join(new.withColumnRenamed("point", "tip"), ["m", "tip"]).join(points, "m")
+    n = F.col("points")
+    width = F.when(n < 256, 1).when(n < 65536, 2).when(n < 2**21, S.varint_length(F.col("new"))).otherwise(4)
+    return used.groupBy("m", "points").agg(F.sum(width).alias("bytes"))

@@ -319,6 +319,39 @@ def mesh_components(spark, d):
     return G.components(faces(spark, d))
 
 
+@query(f"""WITH RECURSIVE {EDGE}, y AS (SELECT m, a, b FROM e WHERE times = 1 UNION SELECT m, b, a FROM e WHERE times = 1), w AS (SELECT DISTINCT m, a AS v, a AS r FROM y UNION SELECT w.m, y.b, w.r FROM w JOIN y ON y.m = w.m AND y.a = w.v)
+SELECT m, count(DISTINCT component) AS loops FROM (SELECT m, v, min(r) AS component FROM w GROUP BY m, v) GROUP BY m""")
+def boundary_loops(spark, d):
+    from tessera.sources.session import checkpoint_folder
+
+    checkpoint_folder(spark)
+    return G.boundary_loops(faces(spark, d))
+
+
+@query(f"""WITH RECURSIVE {OPP}, l AS (SELECT m, corner - corner % 3 + (corner + 2) % 3 AS a, opposite - opposite % 3 + (opposite + 1) % 3 AS b FROM o), y AS (SELECT m, a, b FROM l UNION SELECT m, b, a FROM l),
+w AS (SELECT m, corner AS v, corner AS r FROM k UNION SELECT w.m, y.b, w.r FROM w JOIN y ON y.m = w.m AND y.a = w.v), h AS (SELECT m, v, min(r) AS fan FROM w GROUP BY m, v)
+SELECT k.m, tip AS v, count(DISTINCT fan) AS fans FROM k JOIN h ON k.m = h.m AND k.corner = h.v GROUP BY k.m, tip HAVING count(DISTINCT fan) > 1""")
+def split_vertices(spark, d):
+    from tessera.sources.session import checkpoint_folder
+
+    checkpoint_folder(spark)
+    return G.split_vertices(faces(spark, d))
+
+
+@query(f"""WITH {RING}, q AS (SELECT p_partkey AS v, CAST(p_size AS BIGINT) AS x, CAST(floor(p_retailprice) AS BIGINT) AS y, p_partkey % 100 AS z FROM part),
+t AS (SELECT f.m, p0, p1, p2, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS wx, c.y - a.y AS wy, c.z - a.z AS wz FROM f JOIN q a ON a.v = p0 JOIN q b ON b.v = p1 JOIN q c ON c.v = p2),
+n AS (SELECT m, p0, p1, p2, uy * wz - uz * wy AS x, uz * wx - ux * wz AS y, ux * wy - uy * wx AS z FROM t), e AS (SELECT m, p0 AS v, x, y, z FROM n UNION ALL SELECT m, p1, x, y, z FROM n WHERE p1 <> p0 UNION ALL SELECT m, p2, x, y, z FROM n WHERE p2 <> p0 AND p2 <> p1)
+SELECT m, v, CAST(sum(x) AS BIGINT) AS x, CAST(sum(y) AS BIGINT) AS y, CAST(sum(z) AS BIGINT) AS z FROM e GROUP BY m, v""")
+def vertex_normals(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("v"), F.col("p_size").cast("long").alias("x"), F.floor("p_retailprice").alias("y"), (F.col("p_partkey") % 100).alias("z"))
+    return G.vertex_normals(faces(spark, d), part)
+
+
+@query(f"""WITH {RING}, a AS (SELECT m, p0 AS p FROM f UNION ALL SELECT m, p1 FROM f UNION ALL SELECT m, p2 FROM f) SELECT m, count(DISTINCT p) AS points, count(*) AS bytes FROM a GROUP BY m""")
+def plain_index_bytes(spark, d):
+    return G.plain_index_bytes(faces(spark, d))
+
+
 @query("""SELECT 'r' || r_regionkey AS node, 0 AS level, r_name AS path FROM region UNION ALL SELECT 'n' || n_nationkey, 1, r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT 'c' || c_custkey, 2, r_name || '/' || n_name || '/' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def scene_flatten(spark, d):

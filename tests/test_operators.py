@@ -53,6 +53,17 @@ def test_components(spark):
     assert {got[v] for v in range(42)} == {0} and {got[v] for v in (100, 101, 102)} == {100}
 
 
+def test_fans_and_loops(spark):
+    checkpoint_folder(spark)
+    bow = [(0, 1, 2), (0, 3, 4)]  # two triangles that share a point alone
+    assert [tuple(r) for r in G.split_vertices(faces_of(spark, bow)).collect()] == [(1, 0, 2)]
+    assert G.split_vertices(faces_of(spark, torus())).count() == 0
+    assert G.vertex_fans(faces_of(spark, torus())).select("fan").distinct().count() == 25
+    hole = [t for i, t in enumerate(grid(6, 6)) if i // 2 != 12]
+    assert G.boundary_loops(faces_of(spark, hole)).first().loops == 2
+    assert G.boundary_loops(faces_of(spark, torus())).count() == 0
+
+
 def test_fan_and_renumber(spark):
     p = spark.createDataFrame([(1, [5, 6, 7, 8]), (2, [1, 2]), (3, []), (4, [9, 9, 9])], "m bigint, ring array<bigint>")
     f = G.fan(p)
