@@ -41,11 +41,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns whose names cannot clash with the caller's: each gets the prefix `__t_`."""
-    return df.withColumns({f"__t_{k}": v for k, v in columns.items()})
-
-
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null, without building the words."""
     squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), NOT_WS + "+", "w")
