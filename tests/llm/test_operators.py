@@ -63,6 +63,17 @@ def test_quality_counts(docs, empty):
     assert quality_rules.keep_good(empty).count() == 0
 
 
+def test_quality_drops_fragments_and_texts_without_common_words(spark):
+    rng = random.Random(5)
+    rare = ["ba", "lo", "mi", "ter", "ven", "ski", "dro", "pel"]
+    word = lambda common: rng.choice("the of and to in a is that".split()) if rng.random() < common else "".join(rng.choice(rare) for _ in range(2))
+    text = lambda common, n=400: " ".join(word(common) + (". And" if i % 10 == 9 else "") for i in range(n))
+    fragments = [" | ".join(" ".join(word(0.05) for _ in range(rng.choice((1, 2)))) for _ in range(150)) for _ in range(3)]
+    texts = [text(0.2) for _ in range(60)] + fragments + [" ".join(word(0) for _ in range(400)) for _ in range(3)]
+    rows = quality_rules.quality(spark.createDataFrame([(i, t, "en", None, None) for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert {r.doc_id for r in rows if r.kept} == set(range(60))
+
+
 def test_mixing_meets_targets(spark, docs, empty):
     rows = mixing.mix(docs, bucket_rows=5).collect()
     assert len(rows) == docs.count()
