@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize
 
 ORDER = 4
-#: Grams kept of each language, by count: the bound of the model's size. Lesser counts go together, so ties stay or go together.
-MAX_GRAMS = 200_000
 #: Languages at most; more is an error, not a silent cut.
 MAX_LANGUAGES = 200
 #: Training texts (about) that calibrate the limits, taken by the hash of their doc_id; quantile and slack of a limit.
@@ -233,24 +231,18 @@ class Models:
         return out
 
 
-def train(training: DataFrame, max_grams: int = MAX_GRAMS) -> Models:
-    """Models of all languages in training (text and lang, neither null). Only grams of the largest counts come to the
-    driver, max_grams of a language at most (all with a count go or stay together)."""
+def train(training: DataFrame) -> Models:
+    """Models of all languages in training (text and lang, neither null). The whole table of counts comes to the driver as
+    Arrow columns: discounts, context totals and continuation counts are those of every gram, and none is left out."""
     counts = materialize(gram_counts(training.select(F.col("text").cast("string").alias("text"), "lang")), "language-grams")
-    of_count = counts.groupBy("lang", "n").count().orderBy("lang", F.desc("n")).toPandas()
-    if of_count["lang"].nunique() > MAX_LANGUAGES:
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    least = {}
-    for lang, x in of_count.groupby("lang"):
-        within = x["count"].cumsum() <= max_grams
-        least[lang] = int(x["n"][within].min()) if within.any() else int(x["n"].max())
-    if not least:
-        return Models({})
-    floor = F.lit(None).cast("long")
-    for lang, n in least.items():
-        floor = F.when(F.col("lang") == lang, F.lit(n)).otherwise(floor)
-    kept: pd.DataFrame = counts.filter(F.col("n") >= floor).toPandas()
-    return Models({lang: _summed(x["gram"].to_numpy().view(np.uint64), x["n"].to_numpy()) for lang, x in kept.groupby("lang")})
+    found = {}
+    for lang in langs:
+        own = counts.filter(F.col("lang") == lang).select("gram", "n").toArrow()
+        found[lang] = _summed(own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy())
+    return Models(found)
 
 
 def _scored(docs: DataFrame, models: Models, limits: dict[str, float]) -> DataFrame:

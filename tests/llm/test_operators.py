@@ -234,6 +234,20 @@ def test_language_models_are_distributions():
         assert total + unknown == pytest.approx(1, abs=1e-3)
 
 
+def test_language_model_keeps_every_gram(spark):
+    """Rare grams of a language with many distinct ones, and the counts from which discounts come."""
+    import numpy as np
+
+    rng = random.Random(8)
+    texts = ["".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(1000)) for _ in range(210)] + ["一丁丂七一丁丂七"] * 5
+    models = language_id.train(spark.createDataFrame([(t, "zh") for t in texts] + [(prose(rng, 50), "en")], "text string, lang string"))
+    u, begins = language_id.units(texts)
+    g = language_id.grams(u)
+    g = np.unique(g[language_id.inside(begins, len(g))])
+    assert len(g) > 200_000
+    assert (models.orders[language_id.ORDER].find(g) >= 0).all()
+
+
 def test_units_do_not_join_texts():
     alone = [language_id.units([t])[0].tolist() for t in ("Ab  c", "", "x1y", "\0\x01z", "日 😀")]
     joined, begins = language_id.units(["Ab  c", "", "x1y", "\0\x01z", "日 😀"])
