@@ -7,7 +7,7 @@ folded into sorted hash arrays: for each order the sorted hashes of all grams an
 each place of a text up once; a gram unknown to all languages backs off with the weight of its context.
 
 The prediction is the language of the lowest cross-entropy per unit. It is accepted unless that is above a limit of
-the language, calibrated on training texts.
+the language, calibrated on all its training texts.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from tessera.llm.common import materialize
 ORDER = 4
 #: Languages at most; more is an error, not a silent cut.
 MAX_LANGUAGES = 200
-#: Training texts (about) that calibrate the limits, taken by the hash of their doc_id; quantile and slack of a limit.
-CALIBRATION_TEXTS, QUANTILE, SLACK = 20_000, 0.995, 1.25
+#: Quantile of the cross-entropies of a language's training texts, and slack of its limit.
+QUANTILE, SLACK = 0.995, 1.25
 #: How sharply differences of cross-entropy (nats per unit) turn into the score.
 SHARPNESS = 12.0
 UNDETERMINED = "und"
@@ -273,22 +273,23 @@ def _scored(docs: DataFrame, models: Models, limits: dict[str, float]) -> DataFr
     return docs.mapInArrow(score, out)
 
 
-def calibrate(training: DataFrame, models: Models, n_texts: int = CALIBRATION_TEXTS, quantile: float = QUANTILE, slack: float = SLACK) -> dict[str, float]:
-    """The limit of each language: slack times the quantile of the cross-entropy of its training texts, over a bounded sample by hash."""
-    total = training.count()
-    modulus = 1_000_000
-    share = min(modulus, max(1, modulus * n_texts // max(total, 1)))
-    sample = training.filter(F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id").cast("string")), F.lit(modulus)) < share).select("doc_id", "lang", "text")
-    own = _scored(sample, models, {}).filter(F.col("lang") == F.col("__t_lang"))
+def calibrate(scored: DataFrame, models: Models, quantile: float = QUANTILE, slack: float = SLACK) -> dict[str, float]:
+    """The limit of each language: slack times the quantile of the cross-entropy of all its training texts that are identified as of it
+    (scored: lang, __t_lang and __t_entropy). A language without any takes the largest limit of the others."""
+    own = scored.filter(F.col("lang") == F.col("__t_lang"))
     found = own.groupBy("lang").agg(F.percentile_approx("__t_entropy", quantile, 10_000).alias("q")).toPandas()
     limits = {lang: slack * q for lang, q in zip(found["lang"], found["q"], strict=True)}
     return {lang: limits.get(lang, max(limits.values(), default=float("inf"))) for lang in models.langs}
 
 
+def in_training():
+    return ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()
+
+
 def fit(docs: DataFrame) -> tuple[Models, dict[str, float]]:
-    training = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    training = docs.filter(in_training()).select("doc_id", "text", "lang")
     models = train(training)
-    return models, calibrate(training, models)
+    return models, calibrate(_scored(training, models, {}), models)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -302,9 +303,15 @@ def identify(docs: DataFrame) -> DataFrame:
     text when there is nothing to learn from; ties go to the first language by name. A row with a null doc_id is held out. Repeated rows are
     predicted each; other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select("doc_id", "text")
-    scored = _scored(rows, *fit(docs))
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("__t_lang").alias("lang_pred"), F.col("__t_score").alias("score"), F.col("__t_accepted").alias("accepted"), F.col("__t_entropy").alias("cross_entropy"))
+    models = train(docs.filter(in_training()).select("doc_id", "text", "lang"))
+    rows = docs.select("doc_id", "text", F.when(in_training(), F.col("lang")).alias("lang"))
+    # each text is scored once: the limits come from the same scores, without the texts
+    scored = materialize(_scored(rows, models, {}).select("doc_id", "lang", "__t_lang", "__t_score", "__t_entropy"), "language-scores")
+    limit = F.lit(None).cast("double")
+    for lang, value in calibrate(scored, models).items():
+        limit = F.when(F.col("__t_lang") == lang, F.lit(value)).otherwise(limit)
+    accepted = F.coalesce(F.col("__t_entropy") <= limit, F.lit(False))
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("__t_lang").alias("lang_pred"), F.col("__t_score").alias("score"), accepted.alias("accepted"), F.col("__t_entropy").alias("cross_entropy"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

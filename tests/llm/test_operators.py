@@ -248,6 +248,19 @@ def test_language_model_keeps_every_gram(spark):
     assert (models.orders[language_id.ORDER].find(g) >= 0).all()
 
 
+def test_limits_come_from_all_training_texts(spark):
+    rng = random.Random(6)
+    some = [prose(rng, 12) for _ in range(50)]
+    rows = [(i, some[i % 50], "en") for i in range(60_000)] + [(60_000 + i, prose(rng, 12, "fr"), "fr") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    models, limits = language_id.fit(docs)
+    for lang in ("en", "fr"):
+        seen = sorted(models.cross_entropies([t for i, t, x in rows if x == lang and zlib.crc32(str(i).encode()) % 3 != 1])[:, models.langs.index(lang)])
+        assert limits[lang] == pytest.approx(language_id.SLACK * seen[-(-len(seen) * 995 // 1000) - 1], rel=1e-3)
+    rows = language_id.identify(docs).where("lang_pred = 'fr' or doc_id < 100").collect()
+    assert rows and all(r.accepted == (r.cross_entropy <= limits[r.lang_pred]) for r in rows)
+
+
 def test_units_do_not_join_texts():
     alone = [language_id.units([t])[0].tolist() for t in ("Ab  c", "", "x1y", "\0\x01z", "日 😀")]
     joined, begins = language_id.units(["Ab  c", "", "x1y", "\0\x01z", "日 😀"])
