@@ -30,8 +30,6 @@ FILE_BYTES, RANGE_BYTES, BROADCAST_ROWS = 64 << 20, 4 << 20, 500_000
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 STEP = 1 << 18
-#: Bytes of a header within which its end must be.
-HEADER_BYTES = 1 << 20
 
 MANIFEST = "path string, bytes bigint, records bigint"
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
@@ -116,7 +114,7 @@ class _Window:
 def member(window: _Window, at: int) -> tuple[bytes, int] | None:
     """What the gzip member at a place decodes to, and where it ends; None if there is none or it is no WARC record."""
     unpack = zlib.decompressobj(31)
-    parts, have, done = [], 0, False
+    parts, start, tail, done = [], b"", b"", False
     p = at - window.start
     while True:
         if p >= len(window.data) and not window.more():
@@ -128,14 +126,13 @@ def member(window: _Window, at: int) -> tuple[bytes, int] | None:
             return None
         p += len(piece)
         parts.append(out)
-        have += len(out)
         if not done:
-            head = b"".join(parts)
-            parts = [head]
-            if not head.startswith(b"WARC/1."[: len(head)]):
+            # whatever starts like a record is read on until its header ends, or the member does
+            start, tail = (start + out)[:7], tail + out
+            if not start.startswith(b"WARC/1."[: len(start)]):
                 return None
-            done = b"\r\n\r\n" in head
-            if not done and (have > HEADER_BYTES or unpack.eof):
+            done, tail = b"\r\n\r\n" in tail, tail[-3:]
+            if not done and unpack.eof:
                 return None
         if unpack.eof:
             return b"".join(parts), window.start + p - len(unpack.unused_data)

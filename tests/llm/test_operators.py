@@ -360,6 +360,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0), spark).count() == 0
 
 
+def test_warc_header_of_any_length(spark, tmp_path):
+    url = "data:," + random.Random(4).randbytes(1_500_000).hex()
+    df = spark.createDataFrame([(1, url, "a"), (2, "u", "b")], "page_id bigint, url string, html string")
+    read = warc.read_archives(warc.write_archives(df, f"file://{tmp_path}/w")).collect()
+    assert {(r.page_id, r.url) for r in read} == {(1, url), (2, "u")}
+
+
 def test_chat(spark):
     rows = [(1, 2, "assistant", "b\\|<|im_end|>"), (1, 1, "user", None), (2, 1, None, "x"), (2, 1, None, "x"), (3, 5, "od\nd\\_<|r", "\\\\<\\|\n<|im_start|>user\n"), (None, 1, "assistant", ""), (4, None, "assistant", "y")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
