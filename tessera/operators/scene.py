@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def flatten(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """nodes (node, parent, name) -> (node, level, path): from the roots (parent null) down, at most depth levels.
+    """nodes (node, parent, name) -> (node, level, path): from the roots (parent null) down, depth levels; nodes below them (or a cycle) are an error.
 
     One equi-join a level; a node that is reached on two ways is an error of the scene, as is one that is its own ancestor: both show as a path
     count above one (see shared).
@@ -17,8 +17,10 @@ def flatten(nodes: DataFrame, depth: int = 8) -> DataFrame:
     for k in range(1, depth):
         level = nodes.join(level.select(F.col("node").alias("parent"), F.col("path").alias("above")), "parent").select("node", F.lit(k).alias("level"), F.concat_ws("/", "above", "name").alias("path"))
         if k > 3 and level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
+    if not nodes.join(level.select(F.col("node").alias("parent")), "parent", "left_semi").isEmpty():
+        raise ValueError(f"the scene has nodes below its first {depth} levels")
     return out
 
 

@@ -108,6 +108,14 @@ def test_octahedral_is_near(spark):
         S.octahedral(F.col("x"), F.col("y"), F.col("z"), 1)
 
 
+def test_deeper_scenes_raise(spark):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}") for i in range(9)], "node int, parent int, name string")
+    assert scene.flatten(nodes, depth=9).count() == 9
+    assert scene.flatten(nodes.where("node < 8")).count() == 8
+    with pytest.raises(ValueError):
+        scene.flatten(nodes)
+
+
 def test_scene(spark):
     nodes = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 1, "d"), (3, 4, "c")], "node int, parent int, name string")
     flat = scene.flatten(nodes)
