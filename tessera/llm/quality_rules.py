@@ -1,40 +1,38 @@
 """Quality rules: base counts, and the distance of a text's histograms from those of its language.
 
 A text is described by two histograms: code points by character class, and words by the commonest words of its
-language. Jensen-Shannon distances to the language's reference (medians over all texts of that language that are long
+language, which are learned from all texts: the N_COMMON words that the most texts of the language have REPEATS times or more. Jensen-Shannon distances to the
+language's reference (medians over all texts of that language that are long
 enough) decide, unless the text is too short for its histogram to mean anything. Everything is a DataFrame
-expression; nothing is exploded, and nothing is shuffled but one row of sketches for each language and task.
+expression. A text is exploded into its repeated words only, and nothing else is shuffled but one row of sketches for each language and task.
 
-Nulls and ties: a null text counts as empty (and so fails the base rule); a null or unknown language is compared with the
-medians over all languages, by classes only. Rows are judged one by one, so repeated rows and columns of any other name
-(save the prefix `__t_`) pass through. An empty table gives no rows.
+Nulls and ties: a null text counts as empty (and so fails the base rule); a null language, or one of which no text repeats a word, is compared with the
+medians over all languages, by classes only. Words that equally many texts have go by their hash. Rows are judged one by one, so repeated rows are judged alike, and
+columns of any other name pass through. A very long text is judged whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NOT_WS, WS, materialize
 
-#: The commonest words looked for in each language.
-COMMON = {
-    "de": ("der", "die", "und", "den", "von", "zu", "das", "in"),
-    "en": ("the", "of", "and", "to", "in", "a", "is", "that"),
-    "es": ("de", "la", "que", "en", "y", "el", "los", "se"),
-    "fr": ("de", "la", "le", "et", "les", "des", "en", "un"),
-}
-N_COMMON = 8
+#: Commonest words of a language that are looked for, and how often a text has to have a word to count for it.
+N_COMMON, REPEATS = 50, 3
+#: Words that are counted in one step of a plan.
+STEP = 5
 SYMBOLS = r"[#*$%&|<>]"
 CLASSES = ("lower", "upper", "digit", "space", "stop", "other")
 #: Words from which the histograms are judged; texts below this are judged by the base rule alone.
 MIN_WORDS = 60
-#: Largest distances (square roots of the divergence to base 2, so 0 to 1) of a kept text, from the distances of labelled texts of
-#: MIN_WORDS words or more (sf0.1): 99.9 % of the good ones have at most 0.205 and 0.227; junk has 0.223 and 0.272 in the median for
-#: fragments between bars, and a text without a common word is about 0.27 from its reference.
-MAX_CLASS, MAX_COMMON = 0.21, 0.25
+#: Words from which the histogram of common words is judged, too: with fewer, its distance is mostly that of a small sample.
+MIN_COMMON_WORDS = 200
+#: Largest distances (square roots of the divergence to base 2, so 0 to 1) of a kept text, from the distances of labelled texts (sf0.1): 99.9 % of the good
+#: ones have at most 0.205, and of those long enough 0.281; of the others 95 % have more than 0.207, and of those long enough 0.294.
+MAX_CLASS, MAX_COMMON = 0.21, 0.29
 #: Rows of references that are broadcast.
 MAX_LANGUAGES = 10_000
 #: The base rule.
@@ -46,32 +44,37 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def repeat_words(words: Column) -> Column:
-    """Words in 3-word windows that occur at least twice.
+def repeat_words(hashes: Column) -> Column:
+    """Words in 3-word windows that occur at least twice, from the words' hashes.
 
     Each window is a 64-bit hash. Sorting longs made of the upper 40 bits of the hash and the window's place (24 bits)
     brings equal windows together; neighbours are confirmed on the whole hash. The result is the size of the union of
-    [p, p + 2] over the confirmed places p. A text of 2^24 words or more would not fit the places and raises.
+    [p, p + 2] over the confirmed places p. Places of texts of 2^24 words or more do not fit, so these are sorted as pairs of hash and place.
     """
     low = (1 << 24) - 1
-    place = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
-
-    def confirmed(h: Column, near: Column) -> Column:
-        def same(x: Column, y: Column) -> Column:
-            return F.coalesce((F.shiftright(x, 24) == F.shiftright(y, 24)) & (F.get(h, place(x)) == F.get(h, place(y))), F.lit(False))
-
-        return F.sort_array(F.transform(F.filter(near, lambda x, j: same(x, F.get(near, j - 1)) | same(x, F.get(near, j + 1))), place))
 
     def union(p: Column) -> Column:
         return F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, x: F.struct((a["n"] + F.least(F.lit(3), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
 
+    def repeated(near: Column, same, place) -> Column:
+        equal = lambda x, y: F.coalesce(same(x, y), F.lit(False))
+        return F.sort_array(F.transform(F.filter(near, lambda x, j: equal(x, F.get(near, j - 1)) | equal(x, F.get(near, j + 1))), place))
+
+    def packed(h: Column) -> Column:
+        place = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
+        same = lambda x, y: (F.shiftright(x, 24) == F.shiftright(y, 24)) & (F.get(h, place(x)) == F.get(h, place(y)))
+        return let(F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))), lambda s: let(repeated(s, same, place), union))
+
+    def wide(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return let(pairs, lambda s: let(repeated(s, lambda x, y: x["h"] == y["h"], lambda x: x["i"]), union))
+
     def of(one: Column) -> Column:
         windows = F.transform(F.slice(one, 1, F.size(one) - 2), lambda x, i: F.xxhash64(x, F.get(one, i + 1), F.get(one, i + 2)))
-        packed = lambda h: F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
-        found = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(packed(h), lambda s: let(confirmed(h, s), union))))
-        return F.when(F.size(one) < 3, F.lit(0)).when(F.size(one) > low, F.raise_error(F.lit("a text of 2^24 words or more")).cast("int")).otherwise(found)
+        found = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).when(F.size(h) > low, wide(h)).otherwise(packed(h)))
+        return F.when(F.size(one) < 3, F.lit(0)).otherwise(found)
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), of).cast("long")
+    return let(hashes, of).cast("long")
 
 
 def then(df: DataFrame, **columns: Column) -> DataFrame:
@@ -80,30 +83,57 @@ def then(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[v.alias(f"__t_{k}") for k, v in columns.items()]))))
 
 
-def _among(words: tuple[str, ...]) -> Callable[[Column], Column]:
-    return lambda w: w.isin(*words)
+def split_words(text: Column) -> Column:
+    return F.filter(F.split(text, WS + "+"), lambda w: w != "")
+
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def common_words(docs: DataFrame) -> DataFrame:
+    """(__t_lang, __t_top): for each language of docs (text, lang) the hashes of its N_COMMON commonest words, one row a language."""
+    last = lambda s: lambda w, i: (w == F.get(s, i + (REPEATS - 1))) & ~F.coalesce(w == F.get(s, i - 1), F.lit(False))
+    rows = docs.where("lang is not null and text is not null")
+    often = let(F.sort_array(word_hashes(split_words(F.col("text")))), lambda s: F.filter(s, last(s)))
+    seen = rows.select("lang", F.explode(often).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    best = seen.withColumn("place", F.row_number().over(first)).where(F.col("place") <= N_COMMON)
+    top = best.groupBy(F.col("lang").alias("__t_lang")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("__t_top"))
+    return materialize(top, "common-words")
+
 
+def _few(table: DataFrame) -> DataFrame:
+    """One row a language: broadcast while there are at most MAX_LANGUAGES of them (counted), and left to the optimizer beyond."""
+    return F.broadcast(table) if table.count() <= MAX_LANGUAGES else table
 
-def with_histograms(docs: DataFrame) -> DataFrame:
-    """Add __t_words, __t_n_words, __t_word_chars, __t_n_symbols, __t_classes and __t_common (null for languages without
-    a list). Each class of characters is taken out of the text before the next is counted."""
+
+def with_histograms(docs: DataFrame, top: DataFrame) -> DataFrame:
+    """Add __t_top, __t_words, __t_hashes, __t_n_words, __t_word_chars, __t_n_symbols and __t_classes. Each class of characters is taken out of the text before the next is counted."""
+    docs = docs.join(_few(top), F.col("lang") == F.col("__t_lang"), "left").drop("__t_lang")
     d = then(docs, text=F.coalesce(F.col("text"), F.lit("")))
-    d = then(d, a=F.regexp_replace("__t_text", "[a-z]+", ""), words=F.filter(F.split("__t_text", WS + "+"), lambda w: w != ""))
-    own = F.lit(None).cast("array<string>")
-    for lang, words in COMMON.items():
-        own = F.when(F.col("lang") == lang, F.filter("__t_words", _among(words))).otherwise(own)
-    d = then(d, b=F.regexp_replace("__t_a", WS + "+", ""), n_words=F.size("__t_words").cast("long"), own=F.concat(F.lit(" "), F.array_join(own, "  "), F.lit(" ")))
+    d = then(d, a=F.regexp_replace("__t_text", "[a-z]+", ""), words=split_words(F.col("__t_text")))
+    d = then(d, b=F.regexp_replace("__t_a", WS + "+", ""), n_words=F.size("__t_words").cast("long"), hashes=word_hashes(F.col("__t_words")))
     d = then(d, c=F.regexp_replace("__t_b", r"\p{Ll}+", ""))
     d = then(d, d=F.regexp_replace("__t_c", r"\p{Lu}+", ""))
     d = then(d, e=F.regexp_replace("__t_d", r"\p{Nd}+", ""), n_symbols=F.length("__t_d").cast("long") - F.length(F.regexp_replace("__t_d", SYMBOLS, "")))
     d = then(d, f=F.regexp_replace("__t_e", "[.,]+", ""), **{f"n_{c}": F.length(f"__t_{c}").cast("long") for c in ("text", "a", "b", "c", "d", "e")})
     n = {c: F.col(f"__t_n_{c}") for c in ("text", "a", "b", "c", "d", "e")}
     by = {"lower": n["text"] - n["a"] + n["b"] - n["c"], "space": n["a"] - n["b"], "upper": n["c"] - n["d"], "digit": n["d"] - n["e"], "stop": n["e"] - F.length("__t_f"), "other": F.length("__t_f").cast("long")}
-    common = F.lit(None).cast("array<bigint>")
-    for lang, words in COMMON.items():
-        found = [((F.length("__t_own") - F.length(F.replace("__t_own", F.lit(f" {w} ")))) / F.lit(len(w) + 2)).cast("long") for w in words]
-        common = F.when(F.col("lang") == lang, F.array(*found)).otherwise(common)
-    return then(d, word_chars=n["text"] - by["space"], classes=F.array(*[by[c] for c in CLASSES]), common=common)
+    return then(d, word_chars=n["text"] - by["space"], classes=F.array(*[by[c] for c in CLASSES]))
+
+
+def with_common(d: DataFrame) -> DataFrame:
+    """Add __t_common, how often each of the words of __t_top is among those of __t_hashes; null for languages without common words. A few words at
+    a time, so that the code made for each step stays small enough to be compiled."""
+    names = []
+    for start in range(0, N_COMMON, STEP):
+        left = [F.size(F.array_remove("__t_hashes", F.get("__t_top", F.lit(i)))) for i in range(start, start + STEP)]
+        names.append(f"common_{start}")
+        d = then(d, **{names[-1]: F.array(*[(F.size("__t_hashes") - x).cast("long") for x in left])})
+    # beyond the end of a short list there is no word
+    whole = F.transform(F.concat(*[f"__t_{c}" for c in names]), lambda n, i: F.when(i < F.size("__t_top"), n).otherwise(F.lit(0).cast("long")))
+    return d.withColumn("__t_common", F.when(F.col("__t_top").isNotNull(), whole)).drop(*[f"__t_{c}" for c in names])
 
 
 def references(counted: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -135,27 +165,30 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def with_reference(d: DataFrame, refs: DataFrame) -> DataFrame:
-    """Add the reference of each row's language, or that of all languages. One row a language: it is broadcast while
-    there are at most MAX_LANGUAGES of them (counted), and left to the optimizer beyond."""
-    few = refs.count() <= MAX_LANGUAGES
-    hint = F.broadcast if few else lambda x: x
+    """Add the reference of each row's language, or that of all languages."""
     own = refs.filter(F.col("__t_lang").isNotNull())
     every = refs.filter(F.col("__t_lang").isNull()).select(F.col("__t_ref_classes").alias("__t_all_classes"))
-    d = d.join(hint(own), F.col("lang") == F.col("__t_lang"), "left").join(F.broadcast(every), F.lit(True), "left")
+    d = d.join(_few(own), F.col("lang") == F.col("__t_lang"), "left").join(F.broadcast(every), F.lit(True), "left")
     return d.withColumn("__t_known", F.col("__t_lang")).withColumn("__t_ref_classes", F.coalesce("__t_ref_classes", "__t_all_classes"))
 
 
-def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_class: float = MAX_CLASS, max_common: float = MAX_COMMON) -> DataFrame:
-    """docs (doc_id, text, lang, ...) with __t_ columns, among them __t_base_failed, __t_kept and both distances."""
-    counted = with_histograms(docs.select("text", "lang")).select("lang", "__t_n_words", "__t_classes", "__t_common")
-    refs = references(materialize(counted, "quality-histograms"), min_words)
-    return _verdict(with_reference(measured(docs), refs), min_words, max_class, max_common)
-
-
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, top: DataFrame) -> DataFrame:
     """docs with everything that is counted in a text."""
     lines = F.filter(F.split("__t_text", "\n"), lambda x: x.rlike(NOT_WS))
-    return then(with_histograms(docs), n_repeat_words=repeat_words(F.col("__t_words")), n_dup_lines=let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    d = then(with_histograms(docs, top), n_repeat_words=repeat_words(F.col("__t_hashes")), n_dup_lines=let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    return with_common(d.drop("text", *[f"__t_{c}" for c in ("text", "words", "a", "b", "c", "d", "e", "f")]))
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common")
+
+
+def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_class: float = MAX_CLASS, max_common: float = MAX_COMMON, keep: Column | None = None) -> DataFrame:
+    """keep (by default the whole row as a struct, as __t_row), lang, and the columns of COUNTS and RESULT with the prefix __t_. The texts are read twice, once for the common words
+    and once for the counts, which are written to the shared folder with keep; references and verdicts come from there."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep is None else keep
+    rows = docs.select(row.alias("__t_row"), F.col("text").cast("string").alias("text"), "lang")
+    counted = materialize(measured(rows, common_words(rows.select("text", "lang"))).select("__t_row", "lang", *[f"__t_{c}" for c in COUNTS]), "quality-counts")
+    return _verdict(with_reference(counted, references(counted, min_words)), min_words, max_class, max_common)
 
 
 def _verdict(d: DataFrame, min_words: int, max_class: float, max_common: float) -> DataFrame:
@@ -167,7 +200,7 @@ def _verdict(d: DataFrame, min_words: int, max_class: float, max_common: float)
         common_distance=F.when(F.col("__t_known").isNotNull() & F.col("__t_common").isNotNull(), js_distance(F.col("__t_all_common"), F.col("__t_ref_common"))),
     )
     d = d.withColumn("__t_base_failed", (F.col("__t_n_words") < BASE_MIN_WORDS) | (100 * F.col("__t_n_repeat_words") > BASE_MAX_REPEAT_PERCENT * F.col("__t_n_words")))
-    odd = (F.coalesce(F.col("__t_class_distance"), F.lit(0.0)) > max_class) | (F.coalesce(F.col("__t_common_distance"), F.lit(0.0)) > max_common)
+    odd = (F.coalesce(F.col("__t_class_distance"), F.lit(0.0)) > max_class) | ((F.col("__t_n_words") >= max(min_words, MIN_COMMON_WORDS)) & (F.coalesce(F.col("__t_common_distance"), F.lit(0.0)) > max_common))
     return d.withColumn("__t_kept", ~F.col("__t_base_failed") & ~((F.col("__t_n_words") >= min_words) & odd))
 
 
@@ -175,14 +208,11 @@ RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def quality(docs: DataFrame, min_words: int = MIN_WORDS, max_class: float = MAX_CLASS, max_common: float = MAX_COMMON) -> DataFrame:
-    """doc_id and the columns of RESULT for every row of docs. The texts are read once: the counts, a few numbers a
-    row, are written to the shared folder, and the references and verdicts come from there."""
-    kept = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common")
-    counted = materialize(measured(docs.select("doc_id", "text", "lang")).select("doc_id", "lang", *[f"__t_{c}" for c in kept]), "quality-counts")
-    judged = _verdict(with_reference(counted, references(counted, min_words)), min_words, max_class, max_common)
-    return judged.select("doc_id", *[F.col(f"__t_{c}").alias(c) for c in RESULT])
+    """doc_id and the columns of RESULT for every row of docs."""
+    judged = judge(docs, min_words, max_class, max_common, F.struct("doc_id"))
+    return judged.select("__t_row.doc_id", *[F.col(f"__t_{c}").alias(c) for c in RESULT])
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs."""
-    return judge(docs, **limits).filter("__t_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that the rules keep, with the columns of docs, whatever their names."""
+    return judge(docs, **limits).filter("__t_kept").select(*[F.col(f"__t_row.`{c}`") for c in docs.columns])
