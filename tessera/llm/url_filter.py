@@ -2,9 +2,9 @@
 
 Level 1 of the cascade encodes the listed keys. Level 2 encodes the keys of the corpus that level 1 takes for listed by mistake, level 3 the listed
 keys that level 2 takes for such mistakes, and so on until no mistake is left. As the levels were tried on every key of the corpus, walking them gives
-the exact answer for each, and the walk is an expression over literals: no join. Bits are set by bitmap aggregates, so building
-needs one row for each 32,768 bits on the driver and no more; a cascade of more than MAX_BITS bits is not broadcast, and membership comes from a
-shuffled join instead.
+the exact answer for each. The cascade is dealt into shards by the hash of the key, each with a row of bit arrays for its levels; a key finds its answer in the row of its shard, which comes by
+broadcast up to BROADCAST_BYTES of filters (their size is known) and by a shuffle of the keys beyond. Keys are never joined with the list. Everything is a DataFrame
+expression, and no bit comes to the driver.
 """
 
 from __future__ import annotations
@@ -18,9 +18,8 @@ from tessera.llm.common import materialize
 
 #: (verdict, rule): a rule fits its host and all subdomains where the path starts with the rule's; the longest wins.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: 1 MB of filters at most in a plan.
-MAX_BITS = 1 << 23
-BUCKET_BITS = 32_768
+#: Keys of the universe aimed at in a shard; bytes of all filters up to which they are broadcast; levels at most (each lets about half of the mistakes through).
+SHARD_KEYS, BROADCAST_BYTES, MAX_LEVELS = 1 << 20, 256 << 20, 128
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,78 +41,89 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-class Level:
-    """One Bloom filter: the size in bits, the number of hashes and the bits."""
+def _places(level: int, hashes: int, key: Column, words: Column) -> list[Column]:
+    """The bits of a key in a filter of so many longs."""
+    return [F.pmod(F.xxhash64(F.lit(level), F.lit(i), key), 64 * words.cast("long")) for i in range(hashes)]
 
-    def __init__(self, number: int, n_keys: int, rate: float):
-        self.number = number
-        self.hashes = max(1, round(-math.log2(rate)))
-        self.bits = max(64, math.ceil(n_keys * self.hashes / math.log(2)))
-        self.bytes = b""
 
-    def places(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(F.lit(self.number), F.lit(i), key), F.lit(self.bits)) for i in range(self.hashes)]
-
-    def build(self, keys: DataFrame) -> None:
-        """Bits of the keys (column k): one row for each bucket of bits is gathered."""
-        spread = keys.select(F.explode(F.array(*self.places(F.col("k")))).alias("p"))
-        rows = spread.groupBy(F.floor(F.col("p") / BUCKET_BITS).alias("b")).agg(F.bitmap_construct_agg(F.pmod("p", F.lit(BUCKET_BITS))).alias("bits")).collect()
-        whole = bytearray(-(-self.bits // BUCKET_BITS) * BUCKET_BITS // 8)
-        for r in rows:
-            whole[r["b"] * BUCKET_BITS // 8 : r["b"] * BUCKET_BITS // 8 + len(r["bits"])] = r["bits"]
-        self.bytes = bytes(whole[: -(-self.bits // 8)])
-
-    def has(self, key: Column) -> Column:
-        found = F.lit(True)
-        for p in self.places(key):
-            byte = F.conv(F.hex(F.substring(F.lit(self.bytes), (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-            found = found & (byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (p % 8 + 1).cast("int"))) != 0)
-        return found
+def _has(level: int, hashes: int, key: Column, bits: Column) -> Column:
+    """Whether all bits of the key are set; an empty filter (null) has nothing."""
+    found = F.lit(True)
+    for p in _places(level, hashes, key, F.size(bits)):
+        found = found & (F.getbit(F.get(bits, F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
+    return F.coalesce(F.when(F.size(bits) > 0, found), F.lit(False))
 
 
 class Cascade:
     """Exact membership in listed for every key of universe (DataFrames with a column k). None of the keys is null."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS):
-        inside = materialize(universe.select("k").distinct().join(listed.select("k").distinct().withColumn("listed", F.lit(True)), "k", "left").select("k", F.coalesce("listed", F.lit(False)).alias("listed")), "url-keys")
-        self.listed = inside.where("listed").select("k")
-        encoded, tried = self.listed, inside.where("not listed").select("k")
-        n_encoded, n_tried = encoded.count(), tried.count()
-        self.levels: list[Level] = []
-        self.small = True
-        while n_encoded:
+    def __init__(self, listed: DataFrame, universe: DataFrame, shard_keys: int = SHARD_KEYS, broadcast_bytes: int = BROADCAST_BYTES):
+        inside = universe.select("k").distinct().join(listed.select("k").distinct().withColumn("listed", F.lit(True)), "k", "left")
+        inside = materialize(inside.select("k", F.coalesce("listed", F.lit(False)).alias("listed")), "url-keys")
+        n, n_listed = inside.count(), inside.where("listed").count()
+        self.shards, self.broadcast_bytes = max(1, -(-n // shard_keys)), broadcast_bytes
+        inside = inside.withColumn("shard", self._shard(F.col("k")))
+        encoded, tried = inside.where("listed").select("shard", "k"), inside.where("not listed").select("shard", "k")
+        self.hashes: list[int] = []
+        levels, left = [], n_listed
+        while left:
+            if len(levels) == MAX_LEVELS:
+                raise RuntimeError("the cascade does not end")
             # the first filter weighs its size against the mistakes to come; the later ones let half through
-            rate = min(0.5, math.sqrt(n_encoded / max(1, n_tried))) if not self.levels else 0.5
-            level = Level(len(self.levels), n_encoded, rate)
-            if sum(x.bits for x in self.levels) + level.bits > max_bits:
-                self.small = False
-                return
-            level.build(encoded)
-            self.levels.append(level)
-            encoded, tried = materialize(tried.where(level.has(F.col("k"))), "url-mistakes"), encoded
-            n_encoded, n_tried = encoded.count(), n_encoded
+            rate = 0.5 if levels else min(0.5, math.sqrt(n_listed / max(1, n - n_listed)))
+            self.hashes.append(max(1, round(-math.log2(rate))))
+            own = self._filter(encoded, len(levels))
+            levels.append(own)
+            mistakes = tried.join(self._hinted(own), "shard").where(_has(len(levels) - 1, self.hashes[-1], F.col("k"), F.col("bits"))).select("shard", "k")
+            encoded, tried = materialize(mistakes, "url-mistakes"), encoded
+            left = encoded.count()
+        self.levels = len(levels)
+        rows = inside.sparkSession.range(self.shards).select(F.col("id").cast("int").alias("shard"))
+        for i, own in enumerate(levels):
+            rows = rows.join(own.withColumnRenamed("bits", f"bits_{i}"), "shard", "left")
+        self.filters = materialize(rows, "url-filters") if levels else rows
+
+    def _shard(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(self.shards)).cast("int")
+
+    def _filter(self, keys: DataFrame, level: int) -> DataFrame:
+        """(shard, bits): the bits of each shard's keys, as longs. The longs of a shard are a few per cent of SHARD_KEYS at most."""
+        size = keys.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) * self.hashes[level] / (64 * math.log(2))).cast("int").alias("words"))
+        size = materialize(size, "url-sizes")
+        place = F.explode(F.array(*_places(level, self.hashes[level], F.col("k"), F.col("words"))))
+        ones = keys.join(F.broadcast(size), "shard").select("shard", place.alias("p"))
+        ones = ones.select("shard", F.shiftright("p", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("bit"))
+        none = size.select("shard", F.explode(F.sequence(F.lit(0), F.col("words") - 1)).alias("word"), F.lit(0).cast("long").alias("bit"))
+        words = ones.unionByName(none).groupBy("shard", "word").agg(F.bit_or("bit").alias("bits"))
+        bits = F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"])
+        return materialize(words.groupBy("shard").agg(bits.alias("bits")), "url-level")
+
+    def _hinted(self, filters: DataFrame) -> DataFrame:
+        longs = [F.sum(F.greatest(F.size(c), F.lit(0))) for c in filters.columns if c != "shard"]
+        held = sum(x or 0 for x in filters.agg(*longs).first()) if longs else 0
+        return F.broadcast(filters) if 8 * held <= self.broadcast_bytes else filters
 
     def with_listed(self, df: DataFrame, key: str, out: str) -> DataFrame:
         """df with the boolean column out: whether the key is listed. A key that is null or empty is not."""
-        if not self.small:
-            marks = self.listed.withColumn(out, F.lit(True))
-            return df.join(marks, F.col(key) == F.col("k"), "left").drop("k").withColumn(out, F.coalesce(out, F.lit(False)))
-        answer = F.lit(len(self.levels) % 2 == 1)
-        for level in reversed(self.levels):
-            answer = F.when(level.has(F.col(key)), answer).otherwise(F.lit(level.number % 2 == 1))
-        return df.withColumn(out, F.coalesce(F.when(F.col(key) != "", answer), F.lit(False)))
+        if not self.levels:
+            return df.withColumn(out, F.lit(False))
+        answer = F.lit(self.levels % 2 == 1)
+        for i in reversed(range(self.levels)):
+            answer = F.when(_has(i, self.hashes[i], F.col(key), F.col(f"bits_{i}")), answer).otherwise(F.lit(i % 2 == 1))
+        d = df.withColumn("shard", F.coalesce(self._shard(F.col(key)), F.lit(0))).join(self._hinted(self.filters), "shard", "left")
+        return d.withColumn(out, F.coalesce(F.when(F.col(key) != "", answer), F.lit(False))).select(*df.columns, out)
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, max_bits: int = MAX_BITS) -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """page_id, host, path, rule, verdict, listed for every row of pages (page_id, url; other columns are ignored).
 
     listed has the blocked hosts in a column k; by default they are the hosts of pages that default_list takes. The verdict is that of the rule, or else
     block for a listed host and allow for another. A null url, or one without ://, has neither host nor path: no rule fits and it is allowed. Repeated
-    rows are judged each; an empty table gives no rows.
+    rows are judged each; very long urls are read whole; an empty table gives no rows.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     universe = rows.where("host <> ''").select(F.col("host").alias("k"))
-    cascade = Cascade(universe.where(default_list(F.col("k"))) if listed is None else listed, universe, max_bits)
+    cascade = Cascade(universe.where(default_list(F.col("k"))) if listed is None else listed, universe, shard_keys)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     out = cascade.with_listed(rows.withColumns({"rule": rule, "by_rule": verdict}), "host", "listed")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")

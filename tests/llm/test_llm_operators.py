@@ -335,12 +335,12 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("max_bits", [1 << 23, 64])
-def test_cascade_is_exact(spark, max_bits):
+@pytest.mark.parametrize(("shard_keys", "broadcast_bytes"), [(1 << 20, 1 << 20), (100, 1 << 20), (100, 0)])
+def test_cascade_is_exact(spark, shard_keys, broadcast_bytes):
     universe = spark.range(3000).selectExpr("concat('h', id) as k")
     listed = universe.where("hash(k) % 5 = 0").union(spark.sql("select 'elsewhere' as k"))
-    cascade = url_filter.Cascade(listed, universe, max_bits)
-    assert cascade.small == (max_bits > 64) and (not cascade.small or len(cascade.levels) > 2)
+    cascade = url_filter.Cascade(listed, universe, shard_keys, broadcast_bytes)
+    assert cascade.levels > 2 and cascade.shards == -(-3000 // shard_keys)
     assert cascade.with_listed(universe.withColumnRenamed("k", "key"), "key", "out").where("out <> (hash(key) % 5 = 0)").count() == 0
 
 
