@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         if own.isDefined():
             where = own.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             where = "file://" + tempfile.mkdtemp(prefix="tessera-")
             spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -41,6 +43,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key that holds more than one in HOT_SHARE of the rows of a lookup is hot, so there are at most HOT_SHARE hot keys.
+HOT_SHARE = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, name: str) -> DataFrame:
+    """rows (written tables) with the columns of table (unique in key) for their key, null where it has none: a left join that no hot key holds up.
+
+    The rows of hot keys meet theirs in a broadcast, of HOT_SHARE rows at most; the others are dealt by key. Rows with a null key are joined with nothing and not dealt at all.
+    """
+    of = [c for c in table.columns if c != key]
+    total = rows.count()
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__t_n")).where(F.col("__t_n") * HOT_SHARE > total)
+    hot = materialize(hot.select(key).join(table, key, "left"), f"{name}-hot")
+    first = rows.join(F.broadcast(hot), key)
+    rest = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key, "left")
+    none = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in of])
+    return first.unionByName(rest).unionByName(none)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null, without building the words."""
     squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), NOT_WS + "+", "w")

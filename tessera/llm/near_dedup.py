@@ -19,16 +19,16 @@ A pair at the threshold of 0.75 agrees in fewer than M = 13 of K = 32 coordinate
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tessera.llm.common import materialize
+from tessera.llm.common import lookup, materialize
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -37,9 +37,14 @@ K, M = 32, 13
 PERCENT = 75
 #: Rows compared with one head in one task.
 SALT_ROWS = 2_000
-MEMO = 1_000_000
+#: Words whose hashes a task remembers.
+MEMO = 200_000
+#: Characters of texts that are held as Python objects at a time; members of a list that are compared in one block.
+SLICE, BLOCK = 4_000_000, 500
 BITS, MAX_BITS_APART, MAX_BITS_APART_FIRST, ROUNDS = 2048, 324, 58, 1
 
+BRIEF = K // 8
+_BRIEF = [f"b{i}" for i in range(BRIEF)]
 _ODD = np.random.RandomState(5).randint(0, 2**63, SHINGLE + 2 * K + BITS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -51,25 +56,19 @@ class _Hashes(dict):
         return h
 
 
-@lru_cache(1)
-def _hashes() -> _Hashes:
-    """One to a worker process."""
-    return _Hashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; empty without words."""
+def shingle_hashes(text: str | None, memo: _Hashes | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's shingles; empty without words. memo remembers words for the length of a task."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     if len(words) < SHINGLE:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map((_Hashes() if memo is None else memo).__getitem__, words), np.uint64, len(words))
     n = len(h) - SHINGLE + 1
     s = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
@@ -93,23 +92,41 @@ def sketch(hashes: np.ndarray) -> list[int] | None:
     return np.packbits(((least >> np.uint64(21)) & np.uint64(1)).astype(np.uint8)).view("<i8").tolist()
 
 
+def brief(sig: list[int]) -> list[int]:
+    """The lowest eight bits of each coordinate, as longs: what agreement is counted on."""
+    return np.array(sig, np.int64).astype(np.uint8).view("<i8").tolist()
+
+
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """batch in parts of about SLICE characters of its text column, so that few texts are Python objects at a time."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).cumsum()
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + SLICE, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def digest(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), node (digest; null for an empty set), sig of every row of docs (doc_id, text)."""
+    """doc_id, n (set size), node (digest; null for an empty set), sig and its brief b0 to b3 of every row of docs (doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, node, sig = [], [], []
-            for t in b.column(1).to_pylist():
-                h = shingle_hashes(t)
-                n.append(len(h))
-                node.append(digest(h) if len(h) else None)
-                sig.append(signature(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n", "node", "sig"])
+        memo = _Hashes()
+        for whole in batches:
+            for b in slices(whole, 1):
+                n, node, sig = [], [], []
+                for t in b.column(1):
+                    h = shingle_hashes(t.as_py(), memo)
+                    n.append(len(h))
+                    node.append(digest(h) if len(h) else None)
+                    sig.append(signature(h))
+                short = zip(*((None,) * BRIEF if x is None else brief(x) for x in sig), strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.list_(pa.int32())), *[pa.array(x, pa.int64()) for x in short]], ["doc_id", "n", "node", "sig", *_BRIEF])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, node binary, sig array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, node binary, sig array<int>, {', '.join(f'{c} bigint' for c in _BRIEF)}")
 
 
 def lists(classes: DataFrame) -> DataFrame:
@@ -127,8 +144,9 @@ def lists(classes: DataFrame) -> DataFrame:
 def sketches(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, bits) for nodes (node, first), from the texts of docs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(node, sketch(h)) for node, text in zip(*(c.to_pylist() for c in b.columns), strict=True) if digest(h := shingle_hashes(text)) == node]
+        memo = _Hashes()
+        for b in (x for whole in batches for x in slices(whole, 1)):
+            found = [(node, sketch(h)) for node, text in zip(*(c.to_pylist() for c in b.columns), strict=True) if digest(h := shingle_hashes(text, memo)) == node]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["node", "bits"])
 
     texts = docs.join(nodes.withColumnRenamed("first", "doc_id"), "doc_id").select("node", "text")
@@ -140,7 +158,13 @@ def _sizes(a: str, b: str):
 
 
 def _agree(a: str, b: str):
-    return sum((F.get(f"{a}_sig", F.lit(k)) == F.get(f"{b}_sig", F.lit(k))).cast("int") for k in range(K)) >= M
+    """Equal bytes of the briefs, a few more than coordinates agree: in each byte of a difference all bits are folded into the lowest."""
+    def unequal(x):
+        for by in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return sum(unequal(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in _BRIEF) <= K - M
 
 
 def _close(a: str, b: str):
@@ -150,7 +174,7 @@ def _close(a: str, b: str):
 
 
 def _named(classes: DataFrame, a: str) -> DataFrame:
-    return classes.select(F.col("node").alias(a), F.col("n").alias(f"{a}_n"), F.col("sig").alias(f"{a}_sig"), F.col("first").alias(f"{a}_first"))
+    return classes.select(F.col("node").alias(a), F.col("n").alias(f"{a}_n"), F.col("first").alias(f"{a}_first"), *[F.col(c).alias(f"{a}_{c}") for c in _BRIEF])
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -167,13 +191,13 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     rows = rows.repartition(n, "v", "slice").sortWithinPartitions("v", "slice", F.desc("head"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, np.zeros(0, np.uint64)
-        for b in batches:
+        at, own, memo = None, np.zeros(0, np.uint64), _Hashes()
+        for b in (x for whole in batches for x in slices(whole, 4)):
             us, vs = [], []
             for v, piece, head, node, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (v, piece) == at and head:
                     continue
-                h = shingle_hashes(text)
+                h = shingle_hashes(text, memo)
                 if digest(h) != node:  # another row with the same doc_id
                     continue
                 if head:
@@ -203,9 +227,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own component. A row without a doc_id counts in no component: component_id is null and kept true. Rows that repeat a doc_id are judged each by their own text. An empty table gives no rows.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = materialize(signatures(docs), "signatures")
-    full = rows.where("node is not null and doc_id is not null")
-    classes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    written = materialize(signatures(docs), "signatures")
+    rows = written.select("doc_id", "n", "node")
+    full = written.where("node is not null and doc_id is not null")
+    classes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "sig", *_BRIEF)]), "classes")
     posts = materialize(lists(classes), "lists")
     heads = posts.groupBy("token").agg(F.max("rank").alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
     stars = posts.join(heads, "token").where("node <> h.node").select(F.col("node").alias("u"), F.col("h.node").alias("v")).distinct()
@@ -223,27 +248,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def side(rows: DataFrame, a: str) -> DataFrame:
         return rows.join(facts, "node").select(F.col("token").alias(f"{a}_token"), *[F.col(c).alias(f"{a}_{c}") for c in ("node", "root", "main", "prefix", "n", "bits")])
 
-    once = F.get(F.array_intersect("u_prefix", "v_prefix"), F.lit(0)) == F.col("u_token")
     apart = (F.col("u_root") != F.col("v_root")) & (F.col("v_main") | (F.col("u_node") < F.col("v_node")))
-    across = side(tied.where("not main"), "u").join(side(tied, "v"), (F.col("u_token") == F.col("v_token")) & apart & _sizes("u", "v") & _close("u", "v") & once)
+    # a long list is cut into blocks, and every pair of blocks is a key of its own
+    sizes = tied.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = tied.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    us = side(dealt.where("not main").withColumn("token", F.explode(F.transform(every, lambda j: F.struct("token", F.col("own").alias("i"), j.alias("j"))))), "u")
+    vs = side(dealt.withColumn("token", F.explode(F.transform(every, lambda i: F.struct("token", i.alias("i"), F.col("own").alias("j"))))), "v")
+    once = F.get(F.array_intersect("u_prefix", "v_prefix"), F.lit(0)) == F.col("u_token.token")
+    across = us.join(vs, (F.col("u_token") == F.col("v_token")) & apart & _sizes("u", "v") & _close("u", "v") & once)
     more = confirm(across.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct(), classes, docs)
     links = materialize(links.unionByName(more), "links")
 
     comps = components(links).join(classes.select("node", "first"), "node")
     least = comps.groupBy("root").agg(F.min("first").alias("least"))
-    of_class = classes.select("node", "first").join(comps.select("node", "root"), "node", "left").join(least, "root", "left").select(F.col("node").alias("c"), F.coalesce("least", "first").alias("component"))
-    out = rows.join(of_class, F.col("node") == F.col("c"), "left")
+    of_class = classes.select("node", "first").join(comps.select("node", "root"), "node", "left").join(least, "root", "left").select("node", F.coalesce("least", "first").alias("component"))
+    out = lookup(rows, materialize(of_class, "components"), "node", "rows")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with the columns of docs. Where rows repeat a doc_id, one row of it
-    stays if any is kept; rows without a doc_id stay."""
+    stays if any is kept (the one whose text has the least hash); rows without a doc_id stay. Columns may have any name."""
     found = materialize(near_duplicates(docs), "near-duplicates")
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    kept = ids.where("kept").select(F.col("doc_id").alias("__t_id"))
-    out = docs.join(kept, F.col("doc_id") == F.col("__t_id"), "left_semi")
-    if not ids.where("rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+    kept = ids.where("kept and rows = 1").select("doc_id")
+    out = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    several = materialize(ids.where("kept and rows > 1").select("doc_id"), "repeated")
+    if several.isEmpty():
+        return out
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("id", F.col("row.doc_id")).join(several.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    first = own.groupBy("id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return out.unionByName(first.select(*[F.col(f"row.`{c}`") for c in docs.columns]))
