@@ -1,8 +1,9 @@
 """Chat formatting: heterogeneous layouts into canonical turns, and turns into marked text that can be read back.
 
 A layout is known by its fingerprint, a hash of its sorted nested field paths, which selects a declarative mapping: either which array
-holds the turns and under which names, or which fields are the turns of which role, or that the rows are turns of their own. A DataFrame is
-fingerprinted by its schema when the plan is made, JSON records row by row by the schema of their variant. All of it is DataFrame expressions.
+holds the turns and under which names, or which fields are the turns of which role, or that the rows are turns of their own. Every record is
+fingerprinted for itself, in the plan: its field paths are read from the schema of its variant (a JSON text, or a row that is turned into one), and the hash of them
+chooses among the mappings. All of it is DataFrame expressions.
 
 Template: <|im_start|>ROLE\\nTEXT<|im_end|>\\n for each turn. Inside ROLE and TEXT a backslash becomes two and <| becomes <\\|, so no marker can
 come from a text; a line break in ROLE becomes \\_. All three can be undone from left to right.
@@ -15,7 +16,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
@@ -48,19 +48,28 @@ MAPPINGS = (
 ROLES = {"human": "user", "gpt": ASSISTANT, "bot": ASSISTANT, "model": ASSISTANT}
 
 
-def paths_of(kind: T.DataType, at: str = "") -> list[str]:
-    if isinstance(kind, T.ArrayType):
-        return paths_of(kind.elementType, at + "[]")
-    if isinstance(kind, T.StructType):
-        return sorted(p for f in kind for p in paths_of(f.dataType, f"{at}.{f.name}" if at else f.name))
-    return [at]
-
-
 def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
 REGISTRY = {fingerprint(m.paths): m for m in MAPPINGS}
+_SCALAR = r"(STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|DECIMAL\(\d+,\d+\))"
+
+
+def record_paths(record: Column) -> Column:
+    """The sorted field paths of a JSON record, as fingerprint() takes them: scalars at the top and those of objects within an array. Null if it is no JSON object,
+    or is nested otherwise."""
+    shape = F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), ": " + _SCALAR + "(?=[,>])", "")
+    inner = F.regexp_extract(shape, r"^OBJECT<(.*)>$", 1)
+    # an array of objects: name: ARRAY<OBJECT<a, b>> becomes name[].a, name[].b
+    array, fields = F.regexp_extract(inner, r"^([^,:<>]+): ARRAY<OBJECT<([^<>]*)>>$", 1), F.regexp_extract(inner, r"^([^,:<>]+): ARRAY<OBJECT<([^<>]*)>>$", 2)
+    nested = F.transform(F.split(fields, ", "), lambda f: F.concat(array, F.lit("[]."), f))
+    flat = F.when(~inner.rlike("[<>:]"), F.split(inner, ", "))
+    return F.when(inner != "", F.array_sort(F.when(array != "", nested).otherwise(flat)))
+
+
+def layout_of(record: Column) -> Column:
+    return F.substring(F.sha2(F.array_join(record_paths(record), "\n"), 256), 1, 16)
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -71,48 +80,64 @@ def _turn(role: Column, text: Column) -> Column:
 
 
 def _by_mapping(m: Mapping, record: Column) -> Column:
-    """The canonical turns of a record (struct) in a layout of one row a conversation."""
+    """The canonical turns of a record (struct) of a layout, with the conversation and place of a row that is a turn itself."""
+    if m.rows:
+        own, order, role, text = m.rows
+        return F.struct(record[own].alias("own"), record[order].alias("turn"), F.array(_turn(record[role], record[text])).alias("turns"))
     if m.turns:
         array, role, text = m.turns
-        return F.transform(record[array], lambda t: _turn(t[role], t[text]))
-    return F.array(*[_turn(F.lit(role), F.concat_ws("\n\n", *[F.when(record[f] != "", record[f]) for f in names])) for role, names in m.fields])
+        turns = F.transform(record[array], lambda t: _turn(t[role], t[text]))
+    else:
+        turns = F.array(*[_turn(F.lit(role), F.concat_ws("\n\n", *[F.when(record[f] != "", record[f]) for f in names])) for role, names in m.fields])
+    return F.struct(F.lit(None).cast("bigint").alias("own"), F.lit(None).cast("bigint").alias("turn"), turns.alias("turns"))
 
 
-def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, turns) for a DataFrame in a known layout (beside the key, if that is not part of it); an unknown one raises.
-
-    Rows that are turns are gathered by key, in the order of turn, role and text; a null key is a key of its own.
-    """
-    m = REGISTRY.get(fingerprint(paths_of(df.schema))) or REGISTRY.get(fingerprint(paths_of(df.drop(key).schema)))
-    if m is None:
-        raise ValueError(f"no mapping for the layout {paths_of(df.schema)}")
+def _schema(m: Mapping) -> str:
     if m.rows:
         own, order, role, text = m.rows
-        rows = df.select(F.col(own).alias(key), F.struct(F.col(order).alias("turn"), _turn(F.col(role), F.col(text)).alias("t")).alias("r"))
-        return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]).alias("turns"))
-    return df.select(key, _by_mapping(m, F.struct(*[F.col(c) for c in df.columns if c != key])).alias("turns"))
+        return f"`{own}` bigint, `{order}` bigint, `{role}` string, `{text}` string"
+    if m.turns:
+        array, role, text = m.turns
+        return f"`{array}` array<struct<`{role}`:string,`{text}`:string>>"
+    return ", ".join(f"`{p}` string" for p in m.paths)
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns, each computed once for a row however often it is used: projections would be merged."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
 
 
 def canonical_json(df: DataFrame, record: str = "record", key: str = "conv_id") -> DataFrame:
-    """(key, layout, turns) for rows with a JSON record each. layout is the fingerprint; a record that is null, no JSON or of
-    an unknown layout has null turns (and is kept, for a mapping to be added)."""
-    shape = F.schema_of_variant(F.try_parse_json(F.col(record)))
-    shape = F.regexp_replace(shape, r": (STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|DECIMAL\(\d+,\d+\))(?=[,>])", "")
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    """(key, layout, own, turn, turns) for rows with a JSON record each. layout is the fingerprint of the record, which chooses its mapping; a record that is null, no JSON or of
+    an unknown layout has null turns (and is kept, for a mapping to be added). own and turn are the conversation and place that a row with a single turn names."""
+    d = _once(df, __t_layout=layout_of(F.col(record)))
+    found = F.lit(None).cast(f"struct<own:bigint,turn:bigint,turns:{TURNS}>")
     for name, m in REGISTRY.items():
-        if m.rows:
-            continue
-        if m.turns:
-            array, role, text = m.turns
-            own = f"OBJECT<{array}: ARRAY<OBJECT<{', '.join(sorted((role, text)))}>>>"
-            schema = f"`{array}` array<struct<`{role}`:string,`{text}`:string>>"
-        else:
-            own = f"OBJECT<{', '.join(sorted(m.paths))}>"
-            schema = ", ".join(f"`{p}` string" for p in m.paths)
-        fits = F.col("__t_shape") == own
-        layout = F.when(fits, F.lit(name)).otherwise(layout)
-        turns = F.when(fits, _by_mapping(m, F.from_json(F.col(record), schema))).otherwise(turns)
-    return df.withColumn("__t_shape", shape).select(key, layout.alias("layout"), turns.alias("turns"))
+        found = F.when(F.col("__t_layout") == name, _by_mapping(m, F.from_json(F.col(record), _schema(m)))).otherwise(found)
+    d = _once(d, __t_found=found)
+    known = F.col("__t_layout").isin(*REGISTRY)
+    return d.select(key, F.when(known, F.col("__t_layout")).alias("layout"), "__t_found.own", "__t_found.turn", "__t_found.turns")
+
+
+def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, turns) of a DataFrame of records, each in a layout of its own (the key aside, unless the layout has it): a row is turned into a JSON record without its null fields' values being lost,
+    fingerprinted and mapped.
+
+    Rows that are turns are gathered by the conversation they name, in the order of turn, role and text; a null key is a key of its own. Rows of an unknown layout have null turns.
+    """
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    bare = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != key]), {"ignoreNullFields": "false"})
+    # names of columns are the same in every row: whether the key belongs to the layout is asked of them, the layout itself of each record
+    with_key = any({p.split("[")[0] for p in m.paths} == set(df.columns) for m in MAPPINGS)
+    found = canonical_json(df.select(F.col(f"`{key}`").alias("__t_key"), (whole if with_key else bare).alias("record")), "record", "__t_key")
+    alone = found.where(f"layout is null or not {_in_rows()}").select(F.col("__t_key").alias(key), "turns")
+    parts = found.where(_in_rows()).select("__t_key", F.struct("turn", F.get("turns", F.lit(0)).alias("t")).alias("r"))
+    gathered = parts.groupBy(F.col("__t_key").alias(key)).agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]).alias("turns"))
+    return alone.unionByName(gathered)
+
+
+def _in_rows() -> str:
+    return "layout in (" + ", ".join(f"'{name}'" for name, m in REGISTRY.items() if m.rows) + ")"
 
 
 def escape(text: Column) -> Column:
@@ -135,21 +160,24 @@ def formatted(chats: DataFrame) -> DataFrame:
     """chats (turns, ...) with formatted, the marked text, and loss_mask, its run lengths in code points: for each turn head (marker, role
     and line break), length (the escaped text), loss (whether that length is under the loss); the closing marker and line break follow."""
     marked = F.transform("turns", lambda t: F.struct(escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == ASSISTANT).alias("loss")))
-    d = chats.withColumn("__t_marked", marked)
+    d = _once(chats, __t_marked=marked)
     text = F.array_join(F.transform("__t_marked", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END + "\n"))), "")
     mask = F.transform("__t_marked", lambda t: F.struct((F.length(t["role"]) + len(START) + 1).alias("head"), F.length(t["text"]).alias("length"), t["loss"].alias("loss")))
-    return d.withColumns({"formatted": text, "loss_mask": mask}).drop("__t_marked")
+    return _once(d, formatted=text, loss_mask=mask).drop("__t_marked")
 
 
 def parsed(chats: DataFrame) -> DataFrame:
-    """chats (formatted, loss_mask, ...) with read, the turns read back from the marked text, and loss, the text under the mask, unescaped."""
+    """chats (formatted, loss_mask, ...) with read, the turns read back from the marked text, and loss, the text that the run lengths of the mask cut out of it, unescaped."""
     parts = F.slice(F.split("formatted", r"<\|im_start\|>"), F.lit(2), F.lit(2**31 - 2))
     d = chats.withColumn("__t_parts", F.transform(parts, lambda s: F.struct(F.substring_index(s, "\n", 1).alias("role"), s.alias("s"))))
     rest = len(END) + 2
     read = F.transform("__t_parts", lambda p: F.struct(unescape_role(p["role"]).alias("role"), unescape(F.substring(p["s"], F.length(p["role"]) + 2, F.length(p["s"]) - F.length(p["role"]) - rest)).alias("text")))
-    d = d.withColumn("read", read)
-    under = F.zip_with("read", "loss_mask", lambda t, m: F.when(m["loss"], t["text"]).otherwise(""))
-    return d.withColumn("loss", F.array_join(under, "")).drop("__t_parts")
+    # places of the runs: each begins where the one before it and its closing marker end
+    step = lambda a, m: F.struct((a["at"] + m["head"] + m["length"] + F.lit(len(END) + 1)).alias("at"), F.concat(a["runs"], F.array(F.struct((a["at"] + m["head"]).alias("at"), m["length"].alias("n"), m["loss"].alias("loss")))).alias("runs"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int,loss:boolean>>").alias("runs"))
+    d = _once(d, read=read, __t_runs=F.aggregate("loss_mask", none, step, lambda a: a["runs"]))
+    under = F.transform(F.filter("__t_runs", lambda r: r["loss"]), lambda r: unescape(F.substring(F.col("formatted"), r["at"] + 1, r["n"])))
+    return _once(d, loss=F.array_join(under, "")).drop("__t_parts", "__t_runs")
 
 
 #: A conversation whose texts imitate the markers.
@@ -160,13 +188,14 @@ def digests(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of every conversation and the probe.
 
     Null roles and texts count as empty, rows without a conv_id as one conversation with a null id; equal rows are turns of their own. Columns
-    other than conv_id, turn, role and text are ignored. An empty table gives the probe alone.
+    other than conv_id, turn, role and text are ignored; very long texts are formatted whole. A conversation of the table with the probe's id is a conversation of its own, so that
+    this id comes twice. An empty table gives the probe alone.
     """
     own = conversations.select("conv_id", "turn", "role", "text")
-    probe = conversations.sparkSession.range(2).select(F.lit(PROBE_ID), F.col("id"), F.when(F.col("id") == 0, "user").otherwise(ASSISTANT), F.lit(PROBE))
-    d = parsed(formatted(canonical(own.union(probe))))
+    probe = conversations.sparkSession.range(2).select(F.lit(PROBE_ID).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), F.lit(PROBE).alias("text"))
+    d = parsed(formatted(canonical(own).unionByName(canonical(probe))))
     said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    d = d.withColumn("said", said)
+    d = _once(d, said=said)
     return d.select(
         "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
@@ -175,12 +204,12 @@ def digests(conversations: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+  SELECT 0 AS made, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT 1, -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT 1, -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(12 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id
+FROM t GROUP BY made, conv_id
 """

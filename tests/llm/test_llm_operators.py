@@ -398,5 +398,11 @@ def test_layouts(spark):
     assert all(got[i].turns is None and got[i].layout is None for i in (4, 5, 6))
     df = spark.createDataFrame([(1, "a", "b")], "conv_id bigint, prompt string, completion string")
     assert [tuple(t) for t in chat_format.canonical(df).first().turns] == [("user", "a"), ("assistant", "b")]
-    with pytest.raises(ValueError):
-        chat_format.canonical(df.withColumnRenamed("prompt", "unknown"))
+    assert [tuple(r) for r in chat_format.canonical(df.withColumnRenamed("prompt", "unknown")).collect()] == [(1, None)]
+    # the probe's id in the table is a conversation of its own, and the loss text is what the mask cuts out
+    own = spark.createDataFrame([(-1, 0, "user", "q"), (-1, 1, "assistant", "a\\<|b")], "conv_id bigint, turn bigint, role string, text string")
+    got = {r.loss_sha256 for r in chat_format.digests(own).collect()}
+    assert got == {hashlib.sha256(x.encode()).hexdigest() for x in ("a\\<|b", chat_format.PROBE)}
+    chats = chat_format.formatted(chat_format.canonical(own))
+    moved = chats.withColumn("loss_mask", chat_format.F.transform("loss_mask", lambda m: m.withField("head", m["head"] + 1)))
+    assert chat_format.parsed(moved).first().loss != chat_format.parsed(chats).first().loss
