@@ -43,6 +43,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, or the name with as many underscores as it takes to be none of columns (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: A key that holds more than one in HOT_SHARE of the rows of a lookup is hot, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 

@@ -1,8 +1,8 @@
 """Mixing of sources to target weights by hash-random keys and distributed prefix sums.
 
-Every row gets a key that is a hash of its doc_id. Within a source, rows in the order of that key are dealt to
+Every row gets a key that is a hash of its doc_id, size and text, so that rows with one doc_id (or none) have keys of their own. Within a source, rows in the order of that key are dealt to
 range buckets (key ranges of equal width, as the keys are uniform), bucket totals are summed, and the prefix of a row is
-the total of the buckets before it plus a running sum inside its own bucket. A source of any size is therefore
+the total of the buckets before it plus a running sum inside its own bucket; the totals themselves are summed in two levels, runs of buckets first. A source of any size is therefore
 spread over as many tasks as it has buckets. Each source is cut at its exact budget: whole epochs of every document,
 then the documents at the front of the order, the last of them in part.
 """
@@ -20,6 +20,8 @@ WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 #: Documents aimed at in one range bucket.
 BUCKET_ROWS = 2_000
+#: Buckets in a run.
+RUN = 4_096
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -47,11 +49,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bucket_r
     """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source; more columns are ignored).
 
     A null or empty text has size 0 and takes 0; a null source is a source of its own, the last in order; a null
-    doc_id is ordered like any other value; rows that are equal in doc_id are ordered by size, and equal rows share one
-    place, so that reruns agree. An empty table gives no rows.
+    doc_id is ordered like any other value; rows that are equal in doc_id are ordered by their key and then by size and text, and equal rows stand side by side, so that
+    reruns agree. Texts of any length are counted whole. Columns of any name may follow, as only three are read. An empty table gives no rows.
     """
-    sized = materialize(docs.select("doc_id", "source", (n_words(F.col("text")) if size is None else size).alias("size")), "mix-sizes")
-    sized = sized.withColumn("key", F.xxhash64(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))))
+    sized = materialize(docs.select("doc_id", "source", (n_words(F.col("text")) if size is None else size).alias("size"), F.xxhash64(F.lit("mix"), "text").alias("of_text")), "mix-sizes")
+    sized = sized.withColumn("key", F.xxhash64(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), "size", "of_text"))
     totals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")), weights, max_epochs)
     totals = materialize(totals, "mix-targets").withColumnRenamed("source", "s")
     rows = sized.join(totals, F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -60,8 +62,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bucket_r
     rows = rows.withColumn("bucket", F.least(F.floor(unit * n_buckets), n_buckets - 1)).withColumn("unit", unit)
     source = F.struct(F.col("source"))
     sums = rows.groupBy(source.alias("s"), F.col("bucket").alias("b")).agg(F.sum("size").alias("in_bucket"))
-    sums = sums.withColumn("base", F.coalesce(F.sum("in_bucket").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("in_bucket")
-    inside = Window.partitionBy("source", "bucket").orderBy("unit", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sums = materialize(sums.withColumn("run", F.floor(F.col("b") / RUN)), "mix-buckets")
+    before = lambda *keys: F.coalesce(F.sum("in_bucket").over(Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = sums.groupBy("s", F.col("run").alias("b")).agg(F.sum("in_bucket").alias("in_bucket"))
+    runs = runs.select(F.col("s").alias("of"), F.col("b").alias("run_"), before("s").alias("run_base"))
+    sums = sums.withColumn("inner_base", before("s", "run")).join(runs, F.col("s").eqNullSafe(F.col("of")) & (F.col("run") == F.col("run_")))
+    sums = sums.select("s", "b", (F.col("run_base") + F.col("inner_base")).alias("base"))
+    inside = Window.partitionBy("source", "bucket").orderBy("unit", "doc_id", "size", "of_text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(sums, source.eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     budget = F.floor(F.col("target") + F.lit(1e-6))

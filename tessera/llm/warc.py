@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, materialize
+from tessera.llm.common import fresh, lookup, materialize
 
 #: Payloads of at least so many bytes are written once.
 MIN_REVISIT = 1000
@@ -65,9 +65,10 @@ def write_archives(pages: DataFrame, to: str | None = None) -> DataFrame:
     rows = rows.withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha1("html")})
     repeated = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
     repeated = materialize(repeated.select(F.col("digest").alias("d"), "first"), "warc-repeated")
-    if repeated.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
-    rows = rows.join(repeated, F.col("digest") == F.col("d"), "left").select("page_id", "url", "html", "digest", "size", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    # small payloads revisit nothing: they have no key, so that all the empty ones are not dealt to one task
+    rows = rows.withColumn("d", F.when(F.col("size") >= MIN_REVISIT, F.col("digest")))
+    rows = rows.join(F.broadcast(repeated), "d", "left") if repeated.count() <= BROADCAST_ROWS else lookup(rows, repeated, "d", "warc")
+    rows = rows.select("page_id", "url", "html", "digest", "size", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = _filesystem(to)
@@ -111,14 +112,14 @@ class _Window:
         self.data, self.start = self.data[to - self.start :], to
 
 
-def member(window: _Window, at: int) -> tuple[bytes, int] | None:
-    """What the gzip member at a place decodes to, and where it ends; None if there is none or it is no WARC record."""
+def member(window: _Window, at: int) -> tuple[bytes, int, bool] | None:
+    """What the gzip member at a place decodes to, where it ends, and whether it is whole; None if there is none or it is no WARC record."""
     unpack = zlib.decompressobj(31)
     parts, start, tail, done = [], b"", b"", False
     p = at - window.start
     while True:
         if p >= len(window.data) and not window.more():
-            return None
+            return (b"".join(parts), window.start + p, False) if done else None
         piece = window.data[p : p + STEP]
         try:
             out = unpack.decompress(piece)
@@ -135,24 +136,25 @@ def member(window: _Window, at: int) -> tuple[bytes, int] | None:
             if not done and unpack.eof:
                 return None
         if unpack.eof:
-            return b"".join(parts), window.start + p - len(unpack.unused_data)
+            return b"".join(parts), window.start + p - len(unpack.unused_data), True
 
 
-def parse(record: bytes) -> tuple | None:
-    """The RECORD columns of a decoded record."""
+def parse(record: bytes, whole: bool = True) -> tuple:
+    """The RECORD columns of a decoded record. A record without a valid Content-Length has what follows its header as its block; one whose member ends early (whole is
+    false) has the type truncated and what there is of it. Records of other types than response and revisit have their block as payload."""
     head, _, block = record.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])}
-    if fields.get("warc-type") not in ("response", "revisit"):
-        return None
-    block = block[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    length, kind = fields.get("content-length", ""), fields.get("warc-type") if whole else "truncated"
+    block = block[: int(length)] if length.isascii() and length.isdigit() else block.removesuffix(b"\r\n\r\n")
     number = lambda name: int(m[1]) if (m := re.search(r"<urn:x-page:(-?\d+)>", fields.get(name, ""))) else None
     url = fields.get("warc-target-uri")
     url = None if url is None else re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url)
-    if fields["warc-type"] == "response":
-        return number("warc-record-id"), url, "response", None, len(payload), hashlib.sha1(payload).hexdigest(), payload
-    n = re.search(rb"(?im)^content-length: *(\d+)", http)
-    return number("warc-record-id"), url, "revisit", number("warc-refers-to"), int(n[1]) if n else None, fields["warc-payload-digest"].partition(":")[2], None
+    http, gap, payload = block.partition(b"\r\n\r\n")
+    if kind == "revisit":
+        n = re.search(rb"(?im)^content-length: *(\d+)", http)
+        return number("warc-record-id"), url, kind, number("warc-refers-to"), int(n[1]) if n else None, fields.get("warc-payload-digest", "").partition(":")[2] or None, None
+    payload = payload if gap and kind in ("response", "truncated") else block
+    return number("warc-record-id"), url, kind, None, len(payload), hashlib.sha1(payload).hexdigest(), payload
 
 
 def records_of_range(file, size: int, start: int, end: int) -> Iterator[tuple]:
@@ -174,9 +176,7 @@ def records_of_range(file, size: int, start: int, end: int) -> Iterator[tuple]:
         if got is None:
             at += 1
             continue
-        row = parse(got[0])
-        if row is not None:
-            yield row
+        yield parse(got[0], got[2])
         at = got[1]
         window.drop(min(at, window.start + len(window.data)))
         if at > window.start + len(window.data):
@@ -213,7 +213,8 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
 def round_trip(pages: DataFrame, spark: SparkSession) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from archives of all rows of pages.
 
-    A null url stays null, a null page_id too; null html is an empty payload; equal rows are records of their own. An empty table gives no file and no rows.
+    A null url stays null, a null page_id too; null html is an empty payload; equal rows are records of their own, and so are urls and payloads of any length. Other columns are
+    ignored. An empty table gives no file and no rows.
     """
     read = read_archives(write_archives(pages), with_payload=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -360,6 +360,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0), spark).count() == 0
 
 
+def test_warc_records_that_are_odd(tmp_path):
+    import gzip
+
+    made = lambda head, body: gzip.compress(b"WARC/1.1\r\n" + head + b"\r\n\r\n" + body)
+    whole = made(b"WARC-Type: response\r\nContent-Length: 9", b"H\r\n\r\nabcd\r\n\r\n")
+    data = made(b"WARC-Type: warcinfo\r\nContent-Length: 3", b"a: 1\r\n\r\n") + made(b"WARC-Type: response", b"H\r\n\r\nxyz\r\n\r\n") + made(b"WARC-Type: revisit\r\nContent-Length: x", b"H") + b"junk\x1f\x8b\x08" + whole + whole[:-12]
+    (tmp_path / "odd").write_bytes(data)
+    import pyarrow.fs
+
+    with pyarrow.fs.LocalFileSystem().open_input_file(str(tmp_path / "odd")) as f:
+        rows = list(warc.records_of_range(f, len(data), 0, len(data)))
+    assert [(r[2], r[-1]) for r in rows[:4]] == [("warcinfo", b"a: "), ("response", b"xyz"), ("revisit", None), ("response", b"abcd")]
+    assert [r[2] for r in rows[4:]] in ([], ["truncated"])
+
+
 def test_warc_header_of_any_length(spark, tmp_path):
     url = "data:," + random.Random(4).randbytes(1_500_000).hex()
     df = spark.createDataFrame([(1, url, "a"), (2, "u", "b")], "page_id bigint, url string, html string")
