@@ -7,23 +7,33 @@ share. A passage retrieves all items whose shares add up to MIN_SCORE or more, b
 skipped before: the longest lists are set aside as long as no item has more than half of MIN_SCORE in them, and what an item still needs must come from
 the others, which are short. A retrieved item counts as leaked if the
 passage also holds enough of the word triples of its question and of its answer.
+
+Items of more than ITEM_WORDS tokens are cut into pieces that are items of their own with the same id, so that one long item does not lengthen all passages. The index is dealt into parts of a
+bounded number of pieces by hash. Tasks build them, with document frequencies and mean length of the whole benchmark, and write them to the shared folder; neither items nor index
+pass through the driver. A task holds one part at a time, and further parts take further passes over the texts.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import fresh, materialize, unused
+
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach.
 MIN_SCORE = 0.6
@@ -31,8 +41,8 @@ MIN_SCORE = 0.6
 MIN_QUESTION, MIN_ANSWER = 0.7, 0.5
 #: Where an item has no answer of its own, its last words, this share of them, stand for it.
 ANSWER_SHARE = 0.25
-#: Postings in a block; tokens in half a passage at least; items in one index. More items are dealt with in further passes.
-BLOCK, HALF, INDEX_ITEMS = 64, 64, 100_000
+#: Postings in a block; tokens in half a passage at least; tokens of an item (of a piece of it) at most; pieces in a part of the index at most, about.
+BLOCK, HALF, ITEM_WORDS, PART_ITEMS = 64, 64, 256, 50_000
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -54,7 +64,19 @@ class Item:
     answer: list[str]
 
 
+def pieces(item_id: int | None, words: list[str]) -> list[Item]:
+    """The item, or pieces of about equal length of a long one, each with the last ANSWER_SHARE of its words as its answer."""
+    n = -(-len(words) // ITEM_WORDS)
+    out = []
+    for i in range(n):
+        own = words[len(words) * i // n : len(words) * (i + 1) // n]
+        cut = len(own) - max(1, round(ANSWER_SHARE * len(own)))
+        out.append(Item(item_id, own, own[:cut] or own, own[cut:]))
+    return out
+
+
 def make_item(item_id: int | None, text: str | None) -> Item:
+    """The only piece of a text that is not long."""
     words = tokens(text)
     cut = len(words) - max(1, round(ANSWER_SHARE * len(words)))
     return Item(item_id, words, words[:cut] or words, words[cut:])
@@ -63,12 +85,12 @@ def make_item(item_id: int | None, text: str | None) -> Item:
 class Index:
     """Tokens -> items, ascending, with shares, and the largest share of each block and list."""
 
-    def __init__(self, items: list[Item], all_items: list[Item] | None = None):
-        everything = all_items or items
+    def __init__(self, items: list[Item], held: dict[str, int] | None = None, total: int = 0, mean: float = 0.0):
+        """items: those of this part. held, total and mean: items with each token, items and their mean length in the whole benchmark (by default that of the part)."""
         self.items = items
-        held = Counter(t for x in everything for t in set(x.words))
-        mean = sum(len(x.words) for x in everything) / max(1, len(everything))
-        idf = {t: math.log(1 + (len(everything) - n + 0.5) / (n + 0.5)) for t, n in held.items()}
+        if held is None:
+            held, total, mean = Counter(t for x in items for t in set(x.words)), len(items), sum(len(x.words) for x in items) / max(1, len(items))
+        idf = {t: math.log(1 + (total - n + 0.5) / (n + 0.5)) for t, n in held.items()}
         lists: dict[str, list[tuple[int, float]]] = {}
         for i, x in enumerate(items):
             weight = {t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(x.words) / mean)) for t, n in Counter(x.words).items()}
@@ -210,31 +232,93 @@ def overlap(wanted: set[tuple[str, ...]], have: set[tuple[str, ...]], words: lis
     return len(wanted & have) / len(wanted)
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """Indexes of at most INDEX_ITEMS items each; items without a token are left out."""
-    rows = benchmark.select("item_id", "text").toLocalIterator()
-    items = [x for x in (make_item(r[0], r[1]) for r in rows) if x.words]
-    items.sort(key=lambda x: (x.item_id is None, x.item_id or 0, x.words))
-    return [Index(items[i : i + INDEX_ITEMS], items) for i in range(0, len(items), INDEX_ITEMS)]
+def build_index(benchmark: DataFrame, part_items: int = PART_ITEMS) -> list[str]:
+    """Paths of the index parts in the shared folder; none where no item has a token."""
+    spark = benchmark.sparkSession
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [x for i, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in pieces(i, tokens(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([x.item_id for x in own], pa.int64()), pa.array([x.words for x in own], pa.list_(pa.string()))], ["item_id", "words"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "item_id bigint, words array<string>")
+    rows = materialize(rows, "benchmark-pieces")
+    total, mean = rows.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    if not total:
+        return []
+    n = -(-total // part_items)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "words"), F.lit(n)).cast("int"))
+    held = rows.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    of_part = rows.select("part", F.explode(F.array_distinct("words")).alias("token")).distinct().join(held, "token")
+    facts = rows.select("part", F.lit(0).alias("kind"), "item_id", "words", F.lit(0).cast("long").alias("held"))
+    facts = facts.unionByName(of_part.select("part", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("item_id"), F.array("token").alias("words"), "held"))
+    folder = fresh(spark, "benchmark-index")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pa.fs.FileSystem.from_uri(folder)
+        at, items, held = None, [], {}
+
+        def written() -> pa.RecordBatch:
+            items.sort(key=lambda x: (x.item_id is None, x.item_id or 0, x.words))
+            fs.create_dir(root, recursive=True)
+            name = f"part-{at}-{uuid.uuid4().hex}"
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+                out.write(pickle.dumps(Index(items, held, total, mean), protocol=5))
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([f"{folder}/{name}"], pa.string())], ["part", "path"])
 
-def _searched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (any columns, text among them) with __t_items (leaked item_ids, ascending) and __t_score (the best, or 0)."""
-    shared = docs.sparkSession.sparkContext.broadcast(indexes(benchmark))
-    place = docs.columns.index("text")
+        for b in batches:
+            for part, kind, item_id, words, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part != at and at is not None:
+                    yield written()
+                    items, held = [], {}
+                at = part
+                if kind == 0:
+                    items += pieces(item_id, words)
+                else:
+                    held[words[0]] = n
+        if at is not None:
+            yield written()
+
+    parts = facts.repartition(max(1, min(n, 10_000)), "part").sortWithinPartitions("part").mapInArrow(build, "part int, path string")
+    # only the paths that the finished tasks return count, so that a lost attempt leaves nothing that is read
+    return [r["path"] for r in materialize(parts, "benchmark-parts").orderBy("part").collect()]
+
+
+@lru_cache(1)
+def _loaded(path: str) -> Index:
+    """A part of the index; a worker keeps the last one."""
+    fs, name = pa.fs.FileSystem.from_uri(path)
+    with fs.open_input_stream(name, compression=None) as f:
+        return pickle.loads(f.read())
+
+
+def _pass(docs: DataFrame, path: str, items_column: str, score_column: str) -> DataFrame:
+    """docs (with both columns) after one part of the index: its items and best score added to those that are there."""
+    place, own, best = (docs.columns.index(c) for c in ("text", items_column, score_column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _loaded(path)
         for b in batches:
+            found = (f for texts in slices(b.column(place).to_pylist()) for f in index.leaks(texts))
             ids, scores = [], []
-            for texts in slices(b.column(place).to_pylist()):
-                for each in zip(*([(x, f) for f in x.leaks(texts)] for x in shared.value), strict=True) if shared.value else [()] * len(texts):
-                    found = [(x.items[i].item_id, s) for x, f in each for i, s in f.items()]
-                    ids.append(sorted({i for i, _ in found if i is not None}))
-                    scores.append(max((s for _, s in found), default=0.0))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int64())), pa.array(scores)], [*b.schema.names, "__t_items", "__t_score"])
+            for have, score, f in zip(b.column(own).to_pylist(), b.column(best).to_pylist(), found, strict=True):
+                ids.append(sorted({*have, *(index.items[i].item_id for i in f if index.items[i].item_id is not None)}))
+                scores.append(max([score, *f.values()]))
+            columns = list(b.columns)
+            columns[own], columns[best] = pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.float64())
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
 
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__t_items array<bigint>", "__t_score double"])
-    return docs.mapInArrow(run, out)
+def _searched(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs (any columns, text among them) with two more, whose names are returned: leaked item_ids, ascending, and the best score, or 0."""
+    items, score = unused(docs.columns, "__t_items"), unused(docs.columns, "__t_score")
+    text = docs.withColumn("text", F.col("text").cast("string"))
+    out = text.withColumns({items: F.array().cast("array<bigint>"), score: F.lit(0.0)})
+    for i, path in enumerate(build_index(benchmark)):
+        out = _pass(materialize(out, "benchmark-pass") if i else out, path, items, score)
+    return out, items, score
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -244,10 +328,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     null id count but are not named; equal items are each named. Rows are judged one by one, so repeated rows give repeated results.
     An empty table gives no rows.
     """
-    found = _searched(docs.select("doc_id", "text"), benchmark)
-    return found.select("doc_id", (F.col("__t_score") > 0).alias("contaminated"), F.col("__t_items").alias("item_ids"), F.col("__t_score").alias("score"))
+    found, items, score = _searched(docs.select("doc_id", "text"), benchmark)
+    return found.select("doc_id", (F.col(score) > 0).alias("contaminated"), F.col(items).alias("item_ids"), F.col(score).alias("score"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a leaked item, with the columns of docs."""
-    return _searched(docs, benchmark).filter("__t_score = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs without a leaked item, with the columns of docs, whatever their names. Nulls, empty texts, repeated rows and empty tables as in decontaminate: clean, clean,
+    judged each, and no rows; a very long text is searched whole, passage by passage."""
+    found, _, score = _searched(docs, benchmark)
+    return found.filter(F.col(score) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,9 +108,11 @@ def gram_counts(train: DataFrame) -> DataFrame:
         def out(lang: str, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
         for b in batches:
-            rows = b.to_pandas()
-            for lang, part in rows.groupby("lang"):
-                for _, texts in slices(part["text"].tolist()):
+            by: dict[str, list[str]] = {}
+            for lang, text in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
+                by.setdefault(lang, []).append(text)
+            for lang, part in by.items():
+                for _, texts in slices(part):
                     u, begins = units(texts)
                     g = grams(u) if len(u) >= ORDER else np.zeros(0, np.uint64)
                     keys, n = np.unique(g[inside(begins, len(g))], return_counts=True)
@@ -246,7 +247,7 @@ def train(training: DataFrame) -> Models:
 
 
 def _scored(docs: DataFrame, models: Models, limits: dict[str, float]) -> DataFrame:
-    """docs (any columns, text among them) with __t_lang, __t_score, __t_entropy and __t_accepted, in Arrow batches."""
+    """docs (any columns, text among them) with __t_lang, __t_score, __t_entropy and __t_accepted, in Arrow batches. Columns of docs must not have these names (see keep_identified)."""
     shared = docs.sparkSession.sparkContext.broadcast((models, limits))
     place = docs.columns.index("text")
 
@@ -315,5 +316,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language is determined and accepted, with the columns of docs."""
-    return _scored(docs, *fit(docs)).filter("__t_accepted").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs whose language is determined and accepted, with the columns of docs, whatever their names. Texts that are null or have no letter go; repeated rows
+    are judged alike; a very long text is scored whole; where there is nothing to learn from nothing is kept; an empty table gives no rows."""
+    models, limits = fit(docs)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    return _scored(row, models, limits).filter("__t_accepted").select(*[F.col(f"row.`{c}`") for c in docs.columns])

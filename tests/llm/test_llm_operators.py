@@ -166,8 +166,48 @@ def test_decontamination(spark, docs, empty):
     assert not got[2].contaminated and not got[3].contaminated
     assert decontamination.decontaminate(empty, benchmark).count() == 0
     assert not any(r.contaminated for r in decontamination.decontaminate(docs, benchmark.limit(0)).collect())
-    kept = decontamination.keep_clean(docs, benchmark)
-    assert kept.columns == docs.columns
+    kept = decontamination.keep_clean(docs.withColumn("__t_items", docs["doc_id"]), benchmark)
+    assert kept.columns == [*docs.columns, "__t_items"] and kept.count() == docs.count()
+    # parts of the index give what one index gives, and a long item is found by any of its pieces
+    paths = decontamination.build_index(benchmark, 40)
+    assert len(paths) == 4 and sum(len(decontamination._loaded(p).items) for p in paths) == 152
+    long = prose(rng, 2000)
+    own = spark.createDataFrame([(5, long)], "item_id bigint, text string")
+    piece = " ".join(long.split()[700:1300])
+    got = decontamination.decontaminate(spark.createDataFrame([(1, prose(rng, 100) + " " + piece), (2, prose(rng, 600))], "doc_id bigint, text string"), own).collect()
+    assert {(r.doc_id, tuple(r.item_ids)) for r in got} == {(1, (5,)), (2, ())}
+
+
+def test_decontamination_against_brute_force(spark):
+    """Every passage against every item: BM25 share, then the triples of question and answer."""
+    rng = random.Random(17)
+    items = [(i, prose(rng, rng.randint(5, 40))) for i in range(60)]
+    rows = []
+    for i in range(60):
+        words = prose(rng, rng.randint(0, 400)).split()
+        if i % 2:
+            w = rng.choice(items)[1].split()
+            w = [x if rng.random() > (i % 5) * 0.08 else "changed" for x in w]
+            at = rng.randint(0, len(words))
+            words[at:at] = w
+        rows.append((i, " ".join(words)))
+    index = decontamination.Index([decontamination.make_item(*x) for x in items])
+    want = {}
+    for i, text in rows:
+        w, hits = decontamination.tokens(text), set()
+        for lo in range(0, max(1, len(w) - index.half), index.half):
+            part = w[lo : lo + 2 * index.half]
+            have = set(zip(part, part[1:], part[2:]))
+            for k, x in enumerate(index.items):
+                share = sum(index.shares[t][index.places[t].index(k)] for t in {index.ids[a] for a in set(part) & set(x.words)})
+                enough = lambda run: len(set(zip(run, run[1:], run[2:])) & have) / max(1, len(set(zip(run, run[1:], run[2:]))))
+                short = lambda run: len({tuple(run)} & {tuple(part[j : j + len(run)]) for j in range(len(part))}) if len(run) < 3 else enough(run)
+                if share >= decontamination.MIN_SCORE - 1e-9 and short(x.question) >= decontamination.MIN_QUESTION and short(x.answer) >= decontamination.MIN_ANSWER:
+                    hits.add(x.item_id)
+        want[i] = sorted(hits)
+    got = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {r.doc_id: r.item_ids for r in got} == want and any(want.values())
+    assert all(r.contaminated == bool(want[r.doc_id]) for r in got)
 
 
 def test_search_finds_all_above_the_threshold():
