@@ -1,10 +1,13 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney bigram model of trusted text.
+"""Quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-The vocabulary is closed: the commonest words of the trusted texts as they stand, and for every other word its shape (case, digits, closing
-punctuation, symbols, length), so that odd words are judged by how usual their kind is where they stand. Bigram counts of all trusted texts are a table, dealt
-into shards by hash. What belongs to single words (context totals, back-off weights, continuation probabilities) is a vector of the vocabulary's size and is
-broadcast; it gives each text the log probability it would have if none of its bigrams had been seen. The rest comes from the count joins: every block of texts sends its
-distinct (bigram, text) pairs, sorted and packed, to the shards; a shard streams them past its counts and returns a correction for each text. Corrections are summed by text.
+Every word of the trusted texts is in the model, as a 64-bit hash; nothing is cut. Counts of trigrams, contexts and continuations, discounts (three for each order, from the counts of
+counts of that order) and probabilities are tables made by group-bys and joins. The log probability of a text is a sum over its n-grams of one number for each: with lower(x) what
+shorter n-grams give, a seen n-gram adds log p(x) - log lower(x), and a context its log back-off weight. So the model is one table (key, value) over n-grams of all orders, dealt into
+shards by key, and a text's score is the sum of what the shards return for its n-grams: every block of texts sends its distinct (key, text) pairs, sorted and packed, to the shards,
+and a shard streams them past its keys.
+
+Two bounded broadcasts spare traffic and change no result: the values of the CACHE most frequent n-grams, and a Bloom filter of all keys, of FILTER_BYTES at most; an n-gram that
+it does not know is in no shard and is not sent.
 
 A text is kept if its perplexity is at most a quantile of its language's trusted texts, times a slack. The quantile is taken over the trusted texts
 that the model has not seen, one in HELD_OUT by the hash of the doc_id: seen texts look better than they are.
@@ -14,71 +17,80 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import HOT_SHARE, lookup, materialize
 
-#: Words of the vocabulary, at most (words with equal counts go together).
-VOCABULARY = 16_000
 #: Quantile of the trusted texts of a language, and slack of the limit. A language with fewer such texts takes the limit of all together.
 QUANTILE, SLACK, MIN_TRUSTED, HELD_OUT = 0.995, 1.1, 50, 5
-#: Counts in a shard; texts whose packed pairs one copy of a shard takes; trusted ids that are broadcast.
-SHARD_COUNTS, MIN_SHARDS, COPY_TEXTS, BROADCAST_IDS = 2_000_000, 12, 2_000_000, 2_000_000
-BLOCK_TEXTS, BLOCK_CHARS, MEMO, HELD = 4096, 8_000_000, 800_000, 2_000_000
-SHAPES, EDGE = 512, 512
-FIRST_WORD = 513
+#: Keys in a shard; bytes of texts whose packed pairs one copy of a shard takes (of all its pairs, a shard gets its part); trusted ids that are broadcast.
+SHARD_KEYS, COPY_BYTES, BROADCAST_IDS = 1_000_000, 8 << 30, 2_000_000
+#: N-grams in the cache; bytes of the filter at most, and its bits for a key.
+CACHE, FILTER_BYTES, FILTER_BITS = 500_000, 32 << 20, 8
+SEGMENTS = 64
+BLOCK_TEXTS, BLOCK_CHARS, MEMO, HELD = 4096, 4_000_000, 200_000, 1_500_000
+#: The token that stands twice before a text and once after it.
+EDGE = 1
+
+_SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+#: The primes of xxHash64, and the seed that Spark's xxhash64 starts from.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+SEED = np.uint64(42)
 
-_END = re.compile(r"[^\w]+$")
 
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
-def shape(word: str) -> int:
-    """Number of the word's kind, 0 to 319."""
-    bare = _END.sub("", word)
-    tail = word[len(bare) :]
-    case = 0 if not bare else 1 if bare.islower() else 2 if bare[:1].isupper() and (len(bare) == 1 or bare[1:].islower()) else 3 if bare.isupper() else 4
-    digits = any(map(str.isdigit, bare))
-    end = 0 if not tail else 1 if tail in (".", ",") else 2 if not set(tail) - set(".,!?:;'\"") else 3
-    inner = not bare.isalnum() and bool(bare)
-    size = 0 if len(bare) < 4 else 1 if len(bare) < 9 else 2 if len(bare) < 16 else 3
-    return (((case * 2 + digits) * 4 + end) * 2 + inner) * 4 + size
 
+def hashed(value: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """xxhash64 of 64-bit values, as Spark chains it over columns: the hash so far is the seed of the next."""
+    h = (seed + _P5 + np.uint64(8)) ^ (_turned(value * _P2, 31) * _P1)
+    h = _turned(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
 
-class Ids(dict):
-    """word -> id: a word of the vocabulary from FIRST_WORD on, a shape below; shapes are remembered up to MEMO words."""
 
-    def __init__(self, words: list[str]):
-        super().__init__((w, FIRST_WORD + i) for i, w in enumerate(words))
-        self.words = words
+class Words(dict):
+    """word -> 64-bit hash, remembered up to MEMO words; one to a task."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > MEMO + len(self.words):
+        if len(self) >= MEMO:
             self.clear()
-            self.update((w, FIRST_WORD + i) for i, w in enumerate(self.words))
-        i = self[word] = shape(word)
-        return i
-
-
-_SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
 
 
-def bigrams(texts: list[str | None], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all bigrams (an EDGE opens and closes a text) and the number of each's text. A text without words has none."""
+def runs(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """All texts as one run of tokens, each as EDGE, EDGE, its words, EDGE; and the number of each token's text. A text without words has none."""
     parts = [_SPLIT.findall(t) if t else [] for t in texts]
     n = np.array([len(p) for p in parts], np.int64)
-    flat = np.fromiter(map(ids.__getitem__, (w for p in parts for w in p)), np.int64, int(n.sum()))
-    own = np.repeat(np.arange(len(texts)), n)
-    first = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
-    last = np.concatenate([first[1:], [True]]) if len(own) else first
-    before = np.where(first, EDGE, np.concatenate([[0], flat[:-1]])) if len(own) else flat
-    codes = np.concatenate([(before << 16) | flat, (flat[last] << 16) | EDGE])
-    return codes, np.concatenate([own, own[last]])
+    size = np.where(n > 0, n + 3, 0)
+    own = np.repeat(np.arange(len(texts)), size)
+    tokens = np.full(len(own), EDGE, np.uint64)
+    first = np.cumsum(size) - size
+    inside = np.arange(len(own)) - first[own]
+    tokens[(inside >= 2) & (inside < size[own] - 1)] = np.fromiter(map(words.__getitem__, (w for p in parts for w in p)), np.uint64, int(n.sum()))
+    return tokens, own
+
+
+def keys(tokens: np.ndarray, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the orders 1 to 3 the keys whose values make up the score of each text, and their texts. Of order 2 there is one more than is predicted, the context of the first word."""
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    inside = np.arange(len(own)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(own)]])))
+    one = hashed(tokens, SEED)
+    two = hashed(tokens[1:], one[:-1])
+    three = hashed(tokens[2:], two[:-1])
+    at = np.flatnonzero(inside >= 2)
+    pairs = np.flatnonzero(inside >= 1)
+    return [(one[at], own[at]), (two[pairs - 1], own[pairs]), (three[at - 2], own[at])]
 
 
 def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -92,200 +104,281 @@ def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def vocabulary(trusted: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The commonest words of all trusted texts, size at most, by count and then by code point."""
+def trigram_counts(trusted: DataFrame) -> DataFrame:
+    """(a, b, c, n) over all trusted texts, written. A task sends its distinct trigrams, and does so whenever it holds many."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        words, held, rows = Words(), [], 0
+
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                held.update(_SPLIT.findall(t or ""))
-                if len(held) > HELD:
+            a, b, c = (np.concatenate([x[i] for x in held]) for i in range(3))
+            n = np.concatenate([x[3] for x in held])
+            key = hashed(c, hashed(b, hashed(a, SEED)))
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+            total = np.add.reduceat(n[order], first)
+            return pa.RecordBatch.from_arrays([*[pa.array(x[order[first]].view(np.int64)) for x in (a, b, c)], pa.array(total)], ["a", "b", "c", "n"])
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for i, j in slices(texts):
+                t, own = runs(texts[i:j], words)
+                at = np.flatnonzero(own[2:] == own[:-2]) if len(own) > 2 else np.zeros(0, np.int64)
+                held.append((t[at], t[at + 1], t[at + 2], np.ones(len(at), np.int64)))
+                rows += len(at)
+                if rows > HELD:
                     yield out()
-                    held.clear()
-        if held:
+                    held, rows = [], 0
+        if rows:
             yield out()
 
-    counts = trusted.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
-
-
-def bigram_counts(trusted: DataFrame, vocab: list[str]) -> DataFrame:
-    """(code, n) over all trusted texts."""
-    shared = trusted.sparkSession.sparkContext.broadcast(vocab)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(shared.value)
-        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["code", "n"])
+    found = trusted.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "a bigint, b bigint, c bigint, n bigint")
+    return materialize(found.groupBy("a", "b", "c").agg(F.sum("n").alias("n")), "trigrams")
+
+
+def discounts(counts: DataFrame) -> list[float]:
+    """What modified Kneser-Ney takes from counts of 1, 2 and more, from the counts of counts (clipped where a table is too small to tell)."""
+    of = {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
+    n1, n2, n3, n4 = (of.get(i, 0) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    plain = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.4)
+    return [min(max(d, 0.1), top) for d, top in zip(plain, (0.95, 1.95, 2.95), strict=True)]
+
+
+def _less(n: Column, d: list[float]) -> Column:
+    return F.greatest(F.lit(0.0), n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2]))
+
+
+def _contexts(counts: DataFrame, by: list[str], d: list[float]) -> DataFrame:
+    """by, kinds (rows of counts with that context), total and gamma, the weight that its discounts leave for the shorter context."""
+    n = F.col("n")
+    left = sum(F.count_if(c) * x for c, x in zip((n == 1, n == 2, n > 2), d, strict=True))
+    return counts.groupBy(*by).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"), (left / F.sum("n")).alias("gamma"))
+
+
+def _joined(rows: DataFrame, table: DataFrame, on: list[str], kinds: str, total: int) -> DataFrame:
+    """rows (written) joined with table, which is unique in on and knows in kinds how many rows each of its rows will meet: those of the few that meet very many come by broadcast."""
+    hot = table.where(F.col(kinds) * HOT_SHARE > total)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.where(F.col(kinds) * HOT_SHARE <= total), on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold).drop(kinds)
+
+
+def train(trusted: DataFrame) -> tuple[DataFrame, float]:
+    """(key, value, n) for all n-grams of trusted texts (text), written, and the log probability of an unknown word."""
+    tri = trigram_counts(trusted)
+    n_tri = tri.count()
+    if not n_tri:
+        return tri.select(F.col("a").alias("key"), F.lit(0.0).alias("value"), "n"), 0.0
+    d3 = discounts(tri)
+    over3 = materialize(_contexts(tri, ["a", "b"], d3), "contexts-3")
+    bi = materialize(tri.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")), "bigrams")
+    n_bi, d2 = bi.count(), discounts(bi)
+    over2 = materialize(_contexts(bi, ["b"], d2), "contexts-2")
+    uni = materialize(bi.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "words")
+    d1 = discounts(uni)
+    whole = _contexts(uni.withColumn("all", F.lit(0)), ["all"], d1).first()
+    rest = whole["gamma"] / (whole["kinds"] + 1)  # an unknown word has the share of one
+    unknown = math.log(rest)
+    words = uni.withColumn("p1", _less(F.col("n"), d1) / whole["total"] + rest)
+
+    pairs = _joined(bi, over2.select("b", "kinds", "total", "gamma"), ["b"], "kinds", n_bi)
+    pairs = _joined(materialize(pairs, "pairs"), words.select("c", "p1", F.col("n").alias("kinds")), ["c"], "kinds", n_bi)
+    lower = F.col("gamma") * F.col("p1")
+    pairs = materialize(pairs.select("b", "c", "n", (_less(F.col("n"), d2) / F.col("total") + lower).alias("p2"), lower.alias("lower")), "pairs")
+    three = _joined(tri, over3, ["a", "b"], "kinds", n_tri)
+    three = _joined(materialize(three, "triples"), pairs.select("b", "c", "p2", F.col("n").alias("kinds")), ["b", "c"], "kinds", n_tri)
+
+    of3 = three.select(F.xxhash64("a", "b", "c").alias("key"), F.log1p(_less(F.col("n"), d3) / F.col("total") / (F.col("gamma") * F.col("p2"))).alias("value"), "n")
+    seen = over3.select(F.col("a").alias("b"), F.col("b").alias("c"), F.log("gamma").alias("weight"), F.col("total").alias("times"))
+    of2 = pairs.select("b", "c", F.log(F.col("p2") / F.col("lower")).alias("gain")).join(seen, ["b", "c"], "full")
+    of2 = of2.select(F.xxhash64("b", "c").alias("key"), (F.coalesce("gain", F.lit(0.0)) + F.coalesce("weight", F.lit(0.0))).alias("value"), F.coalesce("times", F.lit(1)).alias("n"))
+    of1 = words.join(over2.select(F.col("b").alias("c"), F.log("gamma").alias("weight"), F.col("total").alias("times")), "c", "left")
+    of1 = of1.select(F.xxhash64("c").alias("key"), (F.log("p1") + F.coalesce("weight", F.lit(0.0)) - unknown).alias("value"), F.coalesce("times", F.lit(1)).alias("n"))
+    return materialize(of3.unionByName(of2).unionByName(of1), "model"), unknown
+
+
+class Known:
+    """What tasks have of the model: the most frequent n-grams with their values, and a filter of all keys."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray, filter_: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.value, self.filter = key[order], value[order], filter_
+
+    def find(self, k: np.ndarray) -> np.ndarray:
+        """Places in the cache, or -1."""
+        if not len(self.key):
+            return np.full(len(k), -1)
+        at = np.minimum(np.searchsorted(self.key, k), len(self.key) - 1)
+        return np.where(self.key[at] == k, at, -1)
+
+    def may(self, k: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(k), bool)
+        for p in places(k, len(self.filter)):
+            ok &= (self.filter[p >> 3] >> (p & 7).astype(np.uint8)) & np.uint8(1) == 1
+        return ok
+
+
+def places(k: np.ndarray, n_bytes: int) -> list[np.ndarray]:
+    """The two bits of each key, both in the segment that its lowest bits name."""
+    bits = np.uint64(n_bytes * 8 // SEGMENTS)
+    segment = (k % np.uint64(SEGMENTS)) * bits
+    return [(segment + ((k >> np.uint64(s)) * _P1 >> np.uint64(20)) % bits).astype(np.int64) for s in (7, 29)]
+
+
+def known(model: DataFrame, n_keys: int) -> Known:
+    """The cache and the filter; the filter is made in segments, each in a task, and comes to the driver as a row for each."""
+    top = model.orderBy(F.desc("n"), "key").limit(CACHE).select("key", "value").toArrow()
+    n_bytes = min(FILTER_BYTES, max(1, -(-n_keys * FILTER_BITS // (8 * SEGMENTS))) * SEGMENTS)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        size = n_bytes // SEGMENTS
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for i, j in slices(texts):
-                more, m = np.unique(bigrams(texts[i:j], ids)[0], return_counts=True)
-                k, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([n, m]), len(k)).astype(np.int64)
-                keys = k
-                if len(keys) > HELD:
-                    yield out()
-                    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield out()
+            for p in places(b.column(0).to_numpy().view(np.uint64), n_bytes):
+                for s in np.unique(p // (8 * size)).tolist():
+                    bits = own.setdefault(s, np.zeros(size, np.uint8))
+                    q = p[p // (8 * size) == s] - 8 * size * s
+                    np.bitwise_or.at(bits, q >> 3, np.left_shift(np.uint8(1), (q & 7).astype(np.uint8)))
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([x.tobytes() for x in own.values()], pa.binary())], ["segment", "bits"])
 
-    counts = trusted.select("text").mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    return materialize(counts, "bigrams")
+    rows = model.select("key").repartitionById(min(SEGMENTS, max(1, n_keys)), F.pmod(F.col("key").bitwiseAND(F.lit(SEGMENTS - 1)), F.lit(min(SEGMENTS, max(1, n_keys)))).cast("int"))
+    filter_ = np.zeros(n_bytes, np.uint8)
+    for r in rows.mapInArrow(fill, "segment int, bits binary").collect():
+        at = r["segment"] * (n_bytes // SEGMENTS)
+        filter_[at : at + n_bytes // SEGMENTS] |= np.frombuffer(r["bits"], np.uint8)
+    return Known(top["key"].to_numpy().view(np.uint64), top["value"].to_numpy(), filter_)
 
 
-class Model:
-    """Vectors over ids: context totals, log back-off weights and log continuation probabilities, with the discounts."""
+def _shard(k: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of keys, so that what is sorted by key is sorted by shard."""
+    return ((k >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
-    def __init__(self, counts: DataFrame, n_ids: int):
-        of = {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
-        n1, n2, n3, n4 = (of.get(i, 0) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.5
-        self.discounts = np.clip([1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.4], 0.1, [0.95, 1.95, 2.95])
-        self.total, kinds = np.zeros(n_ids), np.zeros((n_ids, 3))
-        rows = counts.groupBy(F.shiftright("code", 16).alias("w")).agg(F.sum("n").alias("n"), *[F.count_if(c).alias(f"k{i}") for i, c in enumerate((F.col("n") == 1, F.col("n") == 2, F.col("n") > 2))]).toPandas()
-        self.total[rows["w"]] = rows["n"]
-        for i in range(3):
-            kinds[rows["w"], i] = rows[f"k{i}"]
-        gamma = np.where(self.total > 0, kinds @ self.discounts / np.maximum(self.total, 1), 1.0)
-        self.log_gamma = np.log(np.maximum(gamma, 1e-12))
-        rows = counts.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF)).alias("w")).agg(F.count(F.lit(1)).alias("k")).toPandas()
-        k = np.zeros(n_ids)
-        k[rows["w"]] = rows["k"]
-        every = max(k.sum(), 1)
-        m1, m2 = (k == 1).sum(), (k == 2).sum()
-        d = min(0.95, max(0.1, m1 / (m1 + 2 * m2))) if m1 else 0.5
-        self.log_unigram = np.log(np.maximum(k - d, 0) / every + (d * (k > 0).sum() / every if k.any() else 1.0) / n_ids)
 
-    def unseen(self, codes: np.ndarray) -> np.ndarray:
-        return self.log_gamma[codes >> 16] + self.log_unigram[codes & 0xFFFF]
+def _pack(k: np.ndarray, texts: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs sorted by key and text: differences of keys, numbers of texts and counts as planes of bytes."""
+    plane = lambda a, kind: a.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(plane(np.diff(k, prepend=np.uint64(0)), "<u8") + plane(texts, "<u2") + plane(n, "<u4"))
 
-    def correction(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """What having been seen n times adds to unseen()."""
-        d = self.discounts[np.minimum(n, 3) - 1]
-        return np.log1p(np.maximum(n - d, 0) / self.total[codes >> 16] / np.exp(self.unseen(codes)))
 
-
-def _shard(codes: np.ndarray, shards: int) -> np.ndarray:
-    return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % shards
-
-
-def _pack(codes: np.ndarray, texts: np.ndarray, n: np.ndarray) -> bytes:
-    """Pairs sorted by code and text: differences of codes, numbers of texts and counts as planes of bytes."""
-    steps = np.diff(codes, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(steps + texts.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes() + n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(14, -1)
+    plain = lambda a, kind: np.ascontiguousarray(a.T).view(kind).ravel()
+    return np.cumsum(plain(raw[:8], "<u8"), dtype=np.uint64), plain(raw[8:10], "<u2").astype(np.int64), plain(raw[10:], "<u4").astype(np.int64)
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(10, -1)
-    plain = lambda a, kind: np.ascontiguousarray(a.T).view(kind).ravel().astype(np.int64)
-    return np.cumsum(plain(raw[:4], "<u4")), plain(raw[4:6], "<u2"), plain(raw[6:], "<u4")
+def row_key() -> Column:
+    """Names a row by its doc_id (of any type) and text."""
+    whole = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.col("text"))
+    return F.struct(F.xxhash64(F.lit(1), *whole).alias("x"), F.xxhash64(F.lit(2), *whole).alias("y"))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, vocab_size: int = VOCABULARY) -> DataFrame:
-    """(doc_id, text_hash, rows, n, log_p) for every distinct (doc_id, text) of docs: repeats, events and log probability, both over all repeats."""
+def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(key, rows, n, log_p) for every distinct row of docs (doc_id, text): repeats, events and log probability, both over all repeats."""
     spark = docs.sparkSession
-    vocab = vocabulary(trusted, vocab_size)
-    counts = bigram_counts(trusted, vocab)
-    model = Model(counts, FIRST_WORD + len(vocab))
-    shards = max(MIN_SHARDS, -(-counts.count() // SHARD_COUNTS))
-    copies = 1 + docs.count() // COPY_TEXTS
-    shared = spark.sparkContext.broadcast((vocab, model))
+    model, unknown = train(trusted)
+    n_keys = model.count()
+    own_known = known(model, n_keys)
+    shards = max(1, -(-n_keys // SHARD_KEYS))
+    held = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    copies = 1 + held // (COPY_BYTES * shards)
+    shared = spark.sparkContext.broadcast(own_known)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, model = shared.value
-        ids = Ids(vocab)
+        have, words = shared.value, Words()
         for b in batches:
-            texts, keys, hashes = b.column(2).to_pylist(), b.column(0).to_numpy(False), b.column(1).to_numpy(False)
+            texts, names = b.column(2).to_pylist(), np.stack([b.column(i).to_numpy(False) for i in (0, 1)])
             for i, j in slices(texts):
-                codes, own = bigrams(texts[i:j], ids)
-                size = j - i
-                n = np.bincount(own, minlength=size)
-                base = np.bincount(own, model.unseen(codes), size)
-                pairs, times = np.unique((codes << 12) | own, return_counts=True)
-                shard = _shard(pairs >> 12, shards)
-                order = np.argsort(shard, kind="stable")
-                bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-                salt = int(hashes[i]) % copies
-                block = keys[i:j].astype("<i8").tobytes() + hashes[i:j].astype("<i8").tobytes()
-                # the first shard also carries what does not depend on counts
-                blobs = []
-                for s in range(shards):
-                    at = order[bounds[s] : bounds[s + 1]]
-                    blobs.append(_pack(pairs[at] >> 12, pairs[at] & 4095, times[at]))
-                heads = [block + (n.astype("<i8").tobytes() + base.astype("<f8").tobytes() if s == 0 else b"") for s in range(shards)]
+                tokens, own = runs(texts[i:j], words)
+                size, ks, ts = j - i, [], []
+                orders = keys(tokens, own)
+                n = np.bincount(orders[0][1], minlength=size)
+                base = unknown * n
+                for k, t in orders:
+                    at = have.find(k)
+                    hit = at >= 0
+                    base += np.bincount(t[hit], have.value[at[hit]], size)
+                    k, t = k[~hit], t[~hit]
+                    may = have.may(k) if len(k) else np.zeros(0, bool)
+                    ks.append(k[may])
+                    ts.append(t[may])
+                k, t = np.concatenate(ks), np.concatenate(ts)
+                order = np.lexsort((t, k))
+                k, t = k[order], t[order]
+                first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])])) if len(k) else np.zeros(0, np.int64)
+                times = np.diff(np.concatenate([first, [len(k)]]))
+                k, t = k[first], t[first]
+                bounds = np.searchsorted(_shard(k, shards), np.arange(shards + 1))
+                block = names[:, i:j].astype("<i8").tobytes()
+                copy = int(names[0, i]) % copies
+                # the first shard also carries what does not depend on the others
+                use = [s for s in range(shards) if s == 0 or bounds[s] < bounds[s + 1]]
+                blobs = [_pack(k[bounds[s] : bounds[s + 1]], t[bounds[s] : bounds[s + 1]], times[bounds[s] : bounds[s + 1]]) for s in use]
+                heads = [block + (n.astype("<i8").tobytes() + base.astype("<f8").tobytes() if s == 0 else b"") for s in use]
+                m = len(use)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(range(shards), pa.int32()), pa.array([salt] * shards, pa.int32()), pa.array([1] * shards, pa.int32()), pa.array([size] * shards, pa.int64()),
-                    pa.array([0] * shards, pa.int64()), pa.array(heads, pa.binary()), pa.array(blobs, pa.binary()),
-                ], ["shard", "salt", "kind", "code", "n", "head", "blob"])
+                    pa.array([s * copies + copy for s in use], pa.int32()), pa.array([1] * m, pa.int32()), pa.array([size] * m, pa.int64()), pa.array([0.0] * m, pa.float64()),
+                    pa.array(heads, pa.binary()), pa.array(blobs, pa.binary()),
+                ], ["part", "kind", "key", "value", "head", "blob"])
 
-    layout = "shard int, salt int, kind int, code bigint, n bigint, head binary, blob binary"
-    plain = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    sent = plain.mapInArrow(send, layout)
+    plain = docs.select(row_key().alias("k"), F.col("text").cast("string").alias("text")).select("k.x", "k.y", "text")
+    sent = plain.mapInArrow(send, "part int, kind int, key bigint, value double, head binary, blob binary")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(_shard(codes, shards), pa.int32()), b.column(0), b.column(1)], ["shard", "code", "n"])
+            s = _shard(b.column(0).to_numpy().view(np.uint64), shards) * copies
+            for c in range(copies):
+                yield pa.RecordBatch.from_arrays([pa.array(s + c, pa.int32()), pa.array(np.zeros(len(s), np.int32)), b.column(0), b.column(1)], ["part", "kind", "key", "value"])
 
-    own = counts.mapInArrow(split, "shard int, code bigint, n bigint")
-    own = own.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("salt"), F.lit(0).alias("kind"), "code", "n", F.lit(None).cast("binary").alias("head"), F.lit(None).cast("binary").alias("blob"))
-    both = own.unionByName(sent).repartition(shards * copies, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    none = F.lit(None).cast("binary")
+    dealt = model.select("key", "value").mapInArrow(split, "part int, kind int, key bigint, value double").withColumns({"head": none, "blob": none})
+    both = dealt.unionByName(sent).repartitionById(shards * copies, "part").sortWithinPartitions("part", "kind")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, model = shared.value
-        at, parts, seen, adds = None, [], np.zeros(0, np.int64), np.zeros(0)
+        parts, seen, value = [], np.zeros(0, np.uint64), np.zeros(0)
         for b in batches:
-            shard, salt, kind, code, n = (b.column(i).to_numpy() for i in range(5))
-            edge = np.flatnonzero((np.diff(shard) != 0) | (np.diff(salt) != 0) | (np.diff(kind) != 0)) + 1
-            for i, j in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(kind)]]), strict=True):
-                if i == j:
-                    continue
-                if (shard[i], salt[i]) != at:
-                    at, parts, seen, adds = (shard[i], salt[i]), [], np.zeros(0, np.int64), np.zeros(0)
-                if kind[i] == 0:
-                    parts.append((code[i:j].copy(), n[i:j].copy()))
-                    continue
+            kind = b.column(1).to_numpy()
+            mine = int(np.searchsorted(kind, 1))
+            if mine:
+                parts.append((b.column(2).to_numpy()[:mine].copy().view(np.uint64), b.column(3).to_numpy()[:mine].copy()))
+            for r in range(mine, len(kind)):
                 if parts:
-                    seen, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    seen, value = (np.concatenate(x) for x in zip(*parts, strict=True))
                     order = np.argsort(seen)
-                    seen, adds, parts = seen[order], model.correction(seen[order], times[order]), []
-                for r in range(i, j):
-                    head, blob, size = b.column(5)[r].as_py(), b.column(6)[r].as_py(), int(code[r])
-                    keys, hashes = np.frombuffer(head, "<i8", size), np.frombuffer(head, "<i8", size, 8 * size)
-                    codes, texts, times = _unpack(blob)
-                    p = np.zeros(size)
-                    if len(seen) and len(codes):
-                        place = np.minimum(np.searchsorted(seen, codes), len(seen) - 1)
-                        hit = seen[place] == codes
-                        p += np.bincount(texts[hit], adds[place[hit]] * times[hit], size)
-                    events, repeats = np.zeros(size, np.int64), np.zeros(size, np.int64)
-                    if shard[r] == 0:
-                        events, repeats = np.frombuffer(head, "<i8", size, 16 * size), np.ones(size, np.int64)
-                        p = p + np.frombuffer(head, "<f8", size, 24 * size)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes), pa.array(repeats), pa.array(events), pa.array(p)], ["doc_id", "text_hash", "rows", "n", "log_p"])
-
-    found = both.mapInArrow(join, "doc_id bigint, text_hash bigint, rows bigint, n bigint, log_p double")
-    return found.groupBy("doc_id", "text_hash").agg(*[F.sum(c).alias(c) for c in ("rows", "n", "log_p")])
+                    seen, value, parts = seen[order], value[order], []
+                head, size = b.column(4)[r].as_py(), b.column(2)[r].as_py()
+                x, y = np.frombuffer(head, "<i8", size), np.frombuffer(head, "<i8", size, 8 * size)
+                k, t, times = _unpack(b.column(5)[r].as_py())
+                p = np.zeros(size)
+                if len(seen) and len(k):
+                    place = np.minimum(np.searchsorted(seen, k), len(seen) - 1)
+                    hit = seen[place] == k
+                    p += np.bincount(t[hit], value[place[hit]] * times[hit], size)
+                events, repeats = np.zeros(size, np.int64), np.zeros(size, np.int64)
+                if len(head) > 16 * size:
+                    events, repeats = np.frombuffer(head, "<i8", size, 16 * size), np.ones(size, np.int64)
+                    p = p + np.frombuffer(head, "<f8", size, 24 * size)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(repeats), pa.array(events), pa.array(p)], ["x", "y", "rows", "n", "log_p"])
+
+    found = both.mapInArrow(join, "x bigint, y bigint, rows bigint, n bigint, log_p double")
+    return found.groupBy("x", "y").agg(*[F.sum(c).alias(c) for c in ("rows", "n", "log_p")]).select(F.struct("x", "y").alias("key"), "rows", "n", "log_p")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, n_events, perplexity, kept for every row of docs (doc_id, text, lang; other columns are ignored).
 
     Trusted are the texts whose label has quality 1 and toxic 0. A text that is null or has no word has no perplexity and is not kept; with no trusted
-    text at all everything that has words is kept. A null or rare language takes the limit of all languages together. Repeated rows are judged each; an empty table gives no rows.
+    text at all everything that has words is kept. A null language, or one with fewer than MIN_TRUSTED held-out trusted texts, takes the limit of all languages together. doc_id may be
+    of any type and null. Repeated rows are judged alike; a very long text is scored whole; an empty table gives no rows.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang")
     good = materialize(labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").alias("good")).distinct(), "trusted")
     few = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     trusted = docs.join(few, F.col("doc_id") == F.col("good"), "left_semi").where("text is not null")
     unseen = F.pmod(F.xxhash64(F.lit("held out"), F.col("doc_id").cast("string")), F.lit(HELD_OUT)) == 0
-    found = materialize(perplexities(docs.select("doc_id", "text"), trusted.where(~unseen)), "perplexities")
-    found = found.select(F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("d"), F.col("text_hash").alias("h"), F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n"))).alias("perplexity"), (F.col("n") / F.col("rows")).cast("long").alias("n_events"))
-    rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"))
-    scored = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("doc_id", "lang", "n_events", "perplexity")
-    scored = materialize(scored, "scored")
+    found = materialize(perplexities(docs.select("doc_id", "text"), trusted.where(~unseen).select("text")), "perplexities")
+    found = found.select("key", F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n"))).alias("perplexity"), (F.col("n") / F.col("rows")).cast("long").alias("n_events"))
+    rows = materialize(docs.select("doc_id", "lang", row_key().alias("key")), "perplexity-rows")
+    scored = materialize(lookup(rows, found, "key", "perplexity").select("doc_id", "lang", "n_events", "perplexity"), "scored")
     of_trusted = scored.join(few, F.col("doc_id") == F.col("good"), "left_semi").where(F.col("perplexity").isNotNull() & unseen)
     q = F.percentile_approx("perplexity", quantile, 10_000)
     limits = materialize(of_trusted.groupBy("lang").agg(q.alias("q"), F.count(F.lit(1)).alias("k")), "limits").where(f"lang is not null and k >= {MIN_TRUSTED}").select(F.col("lang").alias("l"), "q")

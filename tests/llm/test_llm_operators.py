@@ -334,33 +334,72 @@ def test_perplexity(spark, docs, empty):
     assert all(r.kept for r in perplexity.classify(docs, labels.limit(0)).where("perplexity is not null").collect())
 
 
-def test_perplexity_is_that_of_the_model(spark):
-    """The sharded joins against the formula on plain dictionaries."""
+def kneser_ney(texts):
+    """Perplexity of a text under the same model on plain dictionaries."""
     import math
 
+    run = lambda t: ["<", "<", *WORD.findall(t or ""), "<"] if WORD.search(t or "") else []
+    tri = collections.Counter(x for t in texts for r in [run(t)] for x in zip(r, r[1:], r[2:]))
+    bi = collections.Counter(x[1:] for x in tri)
+    uni = collections.Counter((x[1],) for x in bi)
+
+    def order(counts):
+        of = collections.Counter(counts.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0.5
+        plain = (1 - 2 * y * of[2] / of[1] if of[1] else 0.5, 2 - 3 * y * of[3] / of[2] if of[2] else 1.0, 3 - 4 * y * of[4] / of[3] if of[3] else 1.4)
+        d = [min(max(v, 0.1), top) for v, top in zip(plain, (0.95, 1.95, 2.95))]
+        total, left = collections.Counter(), collections.Counter()
+        for x, n in counts.items():
+            total[x[:-1]] += n
+            left[x[:-1]] += d[min(n, 3) - 1]
+        return lambda x, lower: lower if not total[x[:-1]] else (max(0, counts[x] - d[min(counts[x], 3) - 1]) if counts[x] else 0) / total[x[:-1]] + left[x[:-1]] / total[x[:-1]] * lower
+
+    p1, p2, p3 = order(uni), order(bi), order(tri)
+    prob = lambda x: p3(x, p2(x[1:], p1(x[2:], 1 / (len(uni) + 1))))
+
+    def perplexity_of(t):
+        r = run(t)
+        return (len(r) - 2, math.exp(-sum(math.log(prob(x)) for x in zip(r, r[1:], r[2:])) / (len(r) - 2))) if r else (0, None)
+
+    return perplexity_of
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_perplexity_is_that_of_the_model(spark, monkeypatch, small):
+    """The sharded joins against the formula on plain dictionaries; with many shards, no cache and a filter that is full."""
+    if small:
+        for name, value in (("SHARD_KEYS", 300), ("CACHE", 5), ("FILTER_BYTES", 64), ("COPY_BYTES", 200)):
+            monkeypatch.setattr(perplexity, name, value)
     rng = random.Random(9)
-    texts = [prose(rng, 40) for _ in range(60)] + ["!!", None, ""]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    vocab = perplexity.vocabulary(docs, 50)
-    got = {r.doc_id: r for r in perplexity.perplexities(docs, docs, 50).collect()}
-    ids = perplexity.Ids(vocab)
-    runs = {i: [perplexity.EDGE, *(ids[w] for w in WORD.findall(t)), perplexity.EDGE] for i, t in enumerate(texts) if t}
-    c = collections.Counter(p for r in runs.values() for p in zip(r, r[1:]))
-    of = collections.Counter(c.values())
-    y = of[1] / (of[1] + 2 * of[2])
-    d = [min(max(v, 0.1), top) for v, top in zip((1 - 2 * y * of[2] / of[1], 2 - 3 * y * of[3] / of[2], 3 - 4 * y * of[4] / of[3]), (0.95, 1.95, 2.95))]
-    total, kinds, left = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), collections.Counter()
-    for (a, b), n in c.items():
-        total[a] += n
-        kinds[a][min(n, 3) - 1] += 1
-        left[b] += 1
-    m = collections.Counter(left.values())
-    dl = min(0.95, max(0.1, m[1] / (m[1] + 2 * m[2]))) if m[1] else 0.5
-    every, size = sum(left.values()), perplexity.FIRST_WORD + len(vocab)
-    uni = lambda w: max(left[w] - dl, 0) / every + dl * len(left) / every / size
-    for i, r in runs.items():
-        log_p = sum(math.log(max(c[p] - d[min(c[p], 3) - 1], 0) / total[p[0]] + sum(x * k for x, k in zip(d, kinds[p[0]])) / total[p[0]] * uni(p[1])) for p in zip(r, r[1:]))
-        assert (got[i].n, got[i].log_p) == (len(r) - 1, pytest.approx(log_p, rel=1e-6))
+    texts = [prose(rng, 40) for _ in range(60)] + ["!!", None, "", "the", "the the the of the the of", "unknown words only"]
+    rows = [(str(i), t) for i, t in enumerate(texts)] + [(None, texts[0]), ("0", texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    brute = kneser_ney(texts[:50])
+    found = perplexity.perplexities(docs, spark.createDataFrame([(t,) for t in texts[:50]], "text string"))
+    got = docs.select("doc_id", "text", perplexity.row_key().alias("key")).distinct().join(found, "key").collect()
+    assert len(got) == len(texts) + 1 and sum(r.rows for r in got) == len(rows)
+    import math
+
+    for r in got:
+        n, value = brute(r.text)
+        assert r.n == n * r.rows
+        assert value is None or math.exp(-r.log_p / r.n) == pytest.approx(value, rel=1e-6)
+
+
+def test_perplexity_limits(spark):
+    """kept against the formula: quantiles of held-out trusted texts by language, or of all together."""
+    rng = random.Random(19)
+    rows = [(i, prose(rng, 30, lang), lang) for i, lang in enumerate(["en"] * 400 + ["fr"] * 30)] + [(1000 + i, "odd " + " ".join(str(rng.random()) for _ in range(20)), lang) for i, lang in enumerate(["en", "fr", None] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(430)], "doc_id bigint, quality int, toxic int")
+    held = {r.doc_id for r in docs.where(perplexity.F.expr(f"pmod(xxhash64('held out', cast(doc_id as string)), {perplexity.HELD_OUT}) = 0")).collect() if r.doc_id < 430}
+    brute = kneser_ney([t for i, t, _ in rows if i < 430 and i not in held])
+    value = {i: brute(t)[1] for i, t, _ in rows}
+    limit = lambda ids: sorted(value[i] for i in ids)[-(-len(ids) * 995 // 1000) - 1] * perplexity.SLACK
+    en = limit([i for i in held if i < 400]) if sum(i < 400 for i in held) >= perplexity.MIN_TRUSTED else limit(held)
+    for r in perplexity.classify(docs, labels).collect():
+        want = value[r.doc_id] <= (en if r.doc_id < 400 or (r.doc_id >= 1000 and rows[430 + r.doc_id - 1000][2] == "en") else limit(held))
+        assert r.perplexity == pytest.approx(value[r.doc_id]) and r.kept == want
 
 
 def test_urls(spark):
