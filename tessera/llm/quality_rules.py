@@ -22,8 +22,6 @@ from tessera.llm.common import NOT_WS, WS, materialize
 
 #: Commonest words of a language that are looked for, and how often a text has to have a word to count for it.
 N_COMMON, REPEATS = 50, 3
-#: Words that are counted in one step of a plan.
-STEP = 5
 SYMBOLS = r"[#*$%&|<>]"
 CLASSES = ("lower", "upper", "digit", "space", "stop", "other")
 #: Words from which the histograms are judged; texts below this are judged by the base rule alone.
@@ -99,7 +97,7 @@ def common_words(docs: DataFrame) -> DataFrame:
     seen = rows.select("lang", F.explode(often).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     best = seen.withColumn("place", F.row_number().over(first)).where(F.col("place") <= N_COMMON)
-    top = best.groupBy(F.col("lang").alias("__t_lang")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("__t_top"))
+    top = best.groupBy(F.col("lang").alias("__t_lang")).agg(F.sort_array(F.collect_list("word")).alias("__t_top"))
     return materialize(top, "common-words")
 
 
@@ -123,17 +121,16 @@ def with_histograms(docs: DataFrame, top: DataFrame) -> DataFrame:
     return then(d, word_chars=n["text"] - by["space"], classes=F.array(*[by[c] for c in CLASSES]))
 
 
-def with_common(d: DataFrame) -> DataFrame:
-    """Add __t_common, how often each of the words of __t_top is among those of __t_hashes; null for languages without common words. A few words at
-    a time, so that the code made for each step stays small enough to be compiled."""
-    names = []
-    for start in range(0, N_COMMON, STEP):
-        left = [F.size(F.array_remove("__t_hashes", F.get("__t_top", F.lit(i)))) for i in range(start, start + STEP)]
-        names.append(f"common_{start}")
-        d = then(d, **{names[-1]: F.array(*[(F.size("__t_hashes") - x).cast("long") for x in left])})
-    # beyond the end of a short list there is no word
-    whole = F.transform(F.concat(*[f"__t_{c}" for c in names]), lambda n, i: F.when(i < F.size("__t_top"), n).otherwise(F.lit(0).cast("long")))
-    return d.withColumn("__t_common", F.when(F.col("__t_top").isNotNull(), whole)).drop(*[f"__t_{c}" for c in names])
+def common_counts(hashes: Column, top: Column) -> Column:
+    """How often each of the hashes of top (ascending) is among hashes; 0 for those that a short list lacks, null for a null list.
+
+    All are sorted together, with two low bits that put a word between a lower and an upper mark of each common word: the distance of the two marks, less one, is the count. So the cost grows with the
+    length of the text, and not with the number of common words.
+    """
+    marked = lambda a, low: F.transform(a, lambda h: h.bitwiseAND(F.lit(~3)).bitwiseOR(F.lit(low).cast("long")))
+    all_ = F.sort_array(F.concat(marked(hashes, 1), marked(top, 0), marked(top, 2)))
+    places = F.filter(F.transform(all_, lambda x, i: F.when(x.bitwiseAND(F.lit(3).cast("long")) == 1, F.lit(-1)).otherwise(i)), lambda i: i >= 0)
+    return let(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(N_COMMON - 1)), lambda k: F.coalesce((F.get(p, 2 * k + 1) - F.get(p, 2 * k) - 1).cast("long"), F.lit(0).cast("long"))))
 
 
 def references(counted: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -176,7 +173,8 @@ def measured(docs: DataFrame, top: DataFrame) -> DataFrame:
     """docs with everything that is counted in a text."""
     lines = F.filter(F.split("__t_text", "\n"), lambda x: x.rlike(NOT_WS))
     d = then(with_histograms(docs, top), n_repeat_words=repeat_words(F.col("__t_hashes")), n_dup_lines=let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    return with_common(d.drop("text", *[f"__t_{c}" for c in ("text", "words", "a", "b", "c", "d", "e", "f")]))
+    d = d.drop("text", *[f"__t_{c}" for c in ("text", "words", "a", "b", "c", "d", "e", "f")])
+    return d.withColumn("__t_common", F.when(F.col("__t_top").isNotNull(), common_counts(F.col("__t_hashes"), F.col("__t_top"))))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common")
