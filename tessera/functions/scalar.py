@@ -107,3 +107,60 @@ def table_precision(bits: Column) -> Column:
 def table_bits(largest: Column, unique: Column) -> Column:
     """Estimated size of such a table: eight bits a symbol used, and as much for each and for every run of 64 unused."""
     return 8 * unique + 8 * (unique + F.floor(F.greatest(F.lit(0), largest - unique) / 64))
+
+
+def reverse_bits32(v: Column) -> Column:
+    """The 32 bits of a natural number in the other order."""
+    return F.conv(F.reverse(F.lpad(F.bin(v), 32, "0")), 2, 10).cast("long")
+
+
+def increment_mod(v: Column, n: int) -> Column:
+    return F.pmod(v + 1, F.lit(n))
+
+
+def int_sqrt(v: Column) -> Column:
+    """The greatest integer whose square is at most v, also where the root of a double is rounded up or down."""
+    r = F.floor(F.sqrt(v.cast("double"))).cast("long")
+    return F.when(r * r > v, r - 1).when((r + 1) * (r + 1) <= v, r + 1).otherwise(r)
+
+
+def narrowed(v: Column, bits: int, signed: bool = True) -> Column:
+    """The lowest bits of an integer as a number of so many bits: values wrap."""
+    low = F.pmod(v, F.lit(1 << bits))
+    return F.when(low >= (1 << (bits - 1)), low - (1 << bits)).otherwise(low) if signed else low
+
+
+def binary_entropy(ones: Column, total: Column) -> Column:
+    """Bits of so many ones among total bits, for one of them; 0 where all are alike."""
+    p = ones.cast("double") / total
+    return F.when((ones == 0) | (ones == total), F.lit(0.0)).otherwise(-p * F.log2(p) - (1 - p) * F.log2(1 - p))
+
+
+def in_diamond(s: Column, t: Column, center: int) -> Column:
+    return F.abs(s) + F.abs(t) <= center
+
+
+def in_bottom_left(s: Column, t: Column) -> Column:
+    return ((s == 0) & (t == 0)) | ((s < 0) & (t <= 0))
+
+
+def inverted_diamond(s: Column, t: Column, center: int) -> tuple[Column, Column]:
+    """The point on the other side of the diamond's edge in the same quarter; applied twice it gives the point back."""
+    both, none = (s >= 0) & (t >= 0), (s <= 0) & (t <= 0)
+    a = F.when(both, 1).when(none, -1).otherwise(F.when(s > 0, 1).otherwise(-1))
+    b = F.when(both, 1).when(none, -1).otherwise(F.when(t > 0, 1).otherwise(-1))
+    x, y = 2 * s - a * center, 2 * t - b * center
+    alike = a * b > 0
+    x, y = F.when(alike, -y).otherwise(y), F.when(alike, -x).otherwise(x)
+    half = lambda v: F.when(v < 0, -F.floor(-v / 2)).otherwise(F.floor(v / 2))
+    return half(x + a * center), half(y + b * center)
+
+
+def canonical_vector(x: Column, y: Column, z: Column, center: int) -> tuple[Column, Column, Column]:
+    """An integer vector scaled so that its absolute values add up to center, divisions toward zero; one of no length becomes (center, 0, 0)."""
+    total = F.abs(x) + F.abs(y) + F.abs(z)
+    part = lambda v: F.when(v < 0, -F.floor(-v * center / total)).otherwise(F.floor(v * center / total))
+    a, b = part(x), part(y)
+    c = center - F.abs(a) - F.abs(b)
+    none = total == 0
+    return F.when(none, center).otherwise(a), F.when(none, 0).otherwise(b), F.when(none, 0).when(z < 0, -c).otherwise(c)

@@ -49,13 +49,48 @@ def entropy(freq: DataFrame) -> DataFrame:
     return t.groupBy("total").agg(F.count(F.lit(1)).alias("distinct_symbols"), F.floor(bits).alias("bits_floor"), F.ceil(bits).alias("bits_ceil"))
 
 
-def coder_table(freq: DataFrame, precision: int) -> DataFrame:
-    """Probabilities of a coder table by rounding (1 at least) and where each symbol begins. The table of symbols is small by nature: one row a symbol."""
-    whole = Window.partitionBy()
-    p = F.greatest(F.lit(1), F.floor(F.col("n").cast("double") / F.sum("n").over(whole) * (1 << precision) + 0.5)).cast("long")
-    d = freq.withColumn("p", p)
-    before = Window.orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
-    return d.withColumns({"starts": F.coalesce(F.sum("p").over(before), F.lit(0)), "surplus": F.sum("p").over(whole) - (1 << precision)})
+def coder_table(freq: DataFrame, precision: int, run: int = 1024) -> DataFrame:
+    """Probabilities of a coder table by rounding (1 at least) and where each symbol begins. Prefix sums in two levels, runs of run symbols first, so that no task sees all symbols."""
+    total = F.broadcast(freq.agg(F.sum("n").cast("double").alias("t")))
+    p = F.greatest(F.lit(1), F.floor(F.col("n").cast("double") / F.col("t") * (1 << precision) + 0.5)).cast("long")
+    d = freq.crossJoin(total).select("symbol", "n", p.alias("p"), F.floor(F.col("symbol") / run).alias("run"))
+    runs = d.groupBy("run").agg(F.sum("p").alias("sum"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumns({"base": F.coalesce(F.sum("sum").over(before(Window.orderBy("run"))), F.lit(0)), "all": F.sum("sum").over(Window.partitionBy())})
+    inner = F.coalesce(F.sum("p").over(before(Window.partitionBy("run").orderBy("symbol"))), F.lit(0))
+    return d.withColumn("inner", inner).join(runs, "run").select("symbol", "n", "p", (F.col("base") + F.col("inner")).alias("starts"), (F.col("all") - (1 << precision)).alias("surplus"))
+
+
+def zero_runs(df: DataFrame, keys: list[str], order: list[str], v: Column, most: int = 64) -> DataFrame:
+    """(keys, run, zeros, tokens): maximal runs of zeros, and the tokens of at most most zeros that they take."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    d = df.select(*keys, *order, (v != 0).cast("int").alias("break"))
+    d = d.withColumn("run", F.sum("break").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("break") == 0)
+    return d.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("zeros")).withColumn("tokens", F.ceil(F.col("zeros") / most).cast("long"))
+
+
+def same_as_last(df: DataFrame, keys: list[str], order: list[str], bit: Column) -> DataFrame:
+    """df with same: whether a bit equals the one before it (true before the first)."""
+    d = df.withColumn("bit", bit)
+    return d.withColumn("same", F.col("bit") == F.coalesce(F.lag("bit").over(Window.partitionBy(*keys).orderBy(*order)), F.lit(True)))
+
+
+def signed_index_decode(df: DataFrame, keys: list[str], order: list[str], u: str = "u") -> DataFrame:
+    """df with back: the running sum of differences whose sign is the lowest bit; a sum below 0 is an error."""
+    step = F.when(F.col(u) % 2 == 1, -F.floor(F.col(u) / 2)).otherwise(F.floor(F.col(u) / 2))
+    total = F.sum(step).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("back", total).withColumn("back", F.when(F.col("back") < 0, F.raise_error(F.lit("an index below 0")).cast("long")).otherwise(F.col("back")))
+
+
+def tracker(df: DataFrame, keys: list[str], order: list[str], symbol: str) -> DataFrame:
+    """df with bits: after each symbol, what an ideal coder of all symbols so far of its key takes. A symbol that has come k times before adds (k + 1) log2(k + 1) - k log2 k to the sum."""
+    own = Window.partitionBy(*keys, symbol).orderBy(*order)
+    all_ = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    xlog = lambda x: F.when(x > 0, x * F.log2(x)).otherwise(0.0)
+    k = (F.row_number().over(own) - 1).cast("double")
+    d = df.withColumn("gain", F.round(xlog(k + 1) - xlog(k), 9).cast("decimal(30,9)"))
+    n = F.count(F.lit(1)).over(all_).cast("double")
+    return d.withColumn("bits", F.ceil(F.round(xlog(n) - F.sum("gain").over(all_).cast("double"), 5))).drop("gain")
 
 
 def coding_choice(df: DataFrame, keys: list[str], symbol: Column) -> DataFrame:

@@ -25,13 +25,38 @@ def corners(faces: DataFrame) -> DataFrame:
     return faces.select("m", "f", F.inline(three)).select("m", (3 * F.col("f") + F.col("k")).alias("corner"), "f", "tip", "src", "snk")
 
 
+_HALF = "struct<corner:int,tip:bigint,forward:boolean,at_src:string,at_snk:string>"
+
+
+def _matched(half: F.Column) -> F.Column:
+    """Pairs of the half-edges of one edge (an array in the order of their corners): each takes the first waiting one of the other direction with another tip, or waits itself. Nearly
+    all edges have one or two."""
+    start = F.struct(F.array().cast(f"array<{_HALF}>").alias("waiting"), F.array().cast(f"array<struct<x:{_HALF},y:{_HALF}>>").alias("pairs"))
+
+    def step(state, h):
+        fits = F.filter(state["waiting"], lambda x: (x["forward"] != h["forward"]) & (x["tip"] != h["tip"]))
+        other = F.get(fits, F.lit(0))
+        waits = F.size(fits) == 0
+        return F.struct(
+            F.when(waits, F.concat(state["waiting"], F.array(h))).otherwise(F.filter(state["waiting"], lambda x: x["corner"] != other["corner"])).alias("waiting"),
+            F.when(waits, state["pairs"]).otherwise(F.concat(state["pairs"], F.array(F.struct(h.alias("x"), other.alias("y"))))).alias("pairs"),
+        )
+
+    return F.aggregate(half, start, step, lambda state: state["pairs"])
+
+
+def edge_pairs(c: DataFrame) -> DataFrame:
+    """c (m, corner, tip, src, snk, and maybe the values at_src and at_snk) -> (m, x, y): the two half-edges of every edge that two faces share. One shuffle, by edge."""
+    value = lambda name: (F.col(name).cast("string") if name in c.columns else F.lit(None).cast("string")).alias(name)
+    half = F.struct(F.col("corner").cast("int").alias("corner"), F.col("tip").cast("long").alias("tip"), (F.col("src") < F.col("snk")).alias("forward"), value("at_src"), value("at_snk"))
+    by_edge = c.groupBy("m", F.least("src", "snk").alias("a"), F.greatest("src", "snk").alias("b")).agg(F.array_sort(F.collect_list(half)).alias("half"))
+    return by_edge.where(F.size("half") > 1).select("m", F.inline(_matched(F.col("half"))))
+
+
 def opposites(faces: DataFrame) -> DataFrame:
-    """(m, corner, opposite) for edges that two faces share in opposite directions; the directed edges that occur once only, faces without area
-    aside. An edge seen more often is no manifold edge and has no opposite."""
-    c = corners(faces.where(~degenerate()))
-    once = c.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("m", "src", "snk"))).where("times = 1")
-    a, b = once.select("m", "corner", "tip", "src", "snk"), once.select(F.col("m").alias("m2"), F.col("corner").alias("opposite"), F.col("tip").alias("tip2"), F.col("src").alias("src2"), F.col("snk").alias("snk2"))
-    return a.join(b, (F.col("m") == F.col("m2")) & (F.col("src") == F.col("snk2")) & (F.col("snk") == F.col("src2")) & (F.col("tip") != F.col("tip2"))).select("m", "corner", "opposite")
+    """(m, corner, opposite) by first match in the order of corners; faces without area take no part. Edges that fold around a vertex are not cut here (see corner_table)."""
+    both = F.array(F.struct(F.col("x.corner").alias("corner"), F.col("y.corner").alias("opposite")), F.struct(F.col("y.corner").alias("corner"), F.col("x.corner").alias("opposite")))
+    return edge_pairs(corners(faces.where(~degenerate()))).select("m", F.inline(both))
 
 
 def edges(faces: DataFrame) -> DataFrame:
@@ -57,12 +82,13 @@ def valence(faces: DataFrame) -> DataFrame:
 
 
 def euler(faces: DataFrame) -> DataFrame:
-    """(m, vertices, edges, faces, euler) of the faces with area."""
+    """(m, vertices, edges, faces, euler) of the faces with area: one shuffle of the distinct vertices and edges, and one of the counts by mesh."""
+    p = [F.col(f"p{i}").cast("long") for i in range(3)]
+    none, side = F.lit(None).cast("long"), lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    parts = F.array(*[F.struct(x.alias("x"), none.alias("y")) for x in p], *[side(p[i], p[(i + 1) % 3]) for i in range(3)])
     sound = faces.where(~degenerate())
-    v = corners(sound).groupBy("m").agg(F.countDistinct("tip").alias("vertices"))
-    e = edges(faces).groupBy("m").agg(F.count(F.lit(1)).alias("edges"))
-    f = sound.groupBy("m").agg(F.count(F.lit(1)).alias("faces"))
-    return v.join(e, "m").join(f, "m").withColumn("euler", F.col("vertices") - F.col("edges") + F.col("faces"))
+    counted = sound.select("m", F.inline(parts)).distinct().groupBy("m").agg(F.count_if(F.col("y").isNull()).alias("vertices"), F.count("y").alias("edges"))
+    return counted.join(sound.groupBy("m").agg(F.count(F.lit(1)).alias("faces")), "m").withColumn("euler", F.col("vertices") - F.col("edges") + F.col("faces"))
 
 
 def renumbered(faces: DataFrame) -> DataFrame:
@@ -71,31 +97,42 @@ def renumbered(faces: DataFrame) -> DataFrame:
     return seen.select("m", "point", (F.row_number().over(Window.partitionBy("m").orderBy("first")) - 1).alias("new"))
 
 
-def face_hash(faces: DataFrame, prime: int = 1_000_003) -> DataFrame:
-    """(m, hash): a sum over faces, so no order counts; each face by its points from the least on, so rotation does not count either."""
+def face_hash(faces: DataFrame) -> DataFrame:
+    """(m, hash): a sum over faces, so no order counts; each face by 60 bits of a digest of its points from the least on, so rotation does not count either."""
     low = F.least("p0", "p1", "p2")
     a, b, c = F.col("p0"), F.col("p1"), F.col("p2")
     turned = F.when(a == low, F.array(a, b, c)).when(b == low, F.array(b, c, a)).otherwise(F.array(c, a, b))
-    each = ((F.get(turned, F.lit(0)) % prime) * 961 + (F.get(turned, F.lit(1)) % prime) * 31 + (F.get(turned, F.lit(2)) % prime)) % prime
-    return faces.groupBy("m").agg((F.sum(each) % prime).alias("hash"))
+    each = F.conv(F.substring(F.md5(F.array_join(turned.cast("array<string>"), ",")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return faces.groupBy("m").agg((F.sum(each) % F.lit(2**61 - 1).cast("decimal(38,0)")).cast("long").alias("hash"))
 
 
-def seams(faces: DataFrame, attribute: DataFrame) -> DataFrame:
-    """(m, seams): edges of two faces across which an attribute (f, value) of the faces' corners differs; edges of one face are seams, too."""
-    c = corners(faces.where(~degenerate())).join(attribute, "tip")
-    per = c.groupBy("m", F.least("src", "snk").alias("a"), F.greatest("src", "snk").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.min("value").alias("low"), F.max("value").alias("high"))
-    return per.groupBy("m").agg(F.count_if((F.col("times") == 1) | (F.col("low") != F.col("high"))).alias("seams"))
+def ordered_hash(faces: DataFrame) -> DataFrame:
+    """(m, hash): a digest of the faces as they stand, in order."""
+    listed = faces.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("f", "p0", "p1", "p2"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: F.concat_ws(",", x["p0"], x["p1"], x["p2"])), ";")
+    return listed.select("m", F.md5(text).alias("hash"))
+
+
+def seams(c: DataFrame) -> DataFrame:
+    """c (m, corner, tip, src, snk, at_src, at_snk: an attribute's value in this face at both ends of the edge) -> (m, borders, inner): edges of one face, and edges at either end of which
+    the two faces differ. Both kinds are seams. Null values are equal to each other."""
+    differ = ~F.col("x.at_src").eqNullSafe(F.col("y.at_snk")) | ~F.col("x.at_snk").eqNullSafe(F.col("y.at_src"))
+    shared = edge_pairs(c).groupBy("m").agg(F.count(F.lit(1)).alias("shared"), F.count_if(differ).alias("inner"))
+    corners_ = c.groupBy("m").agg(F.count(F.lit(1)).alias("corners")).join(shared, "m", "left")
+    zero = lambda n: F.coalesce(n, F.lit(0).cast("long"))
+    return corners_.select("m", (F.col("corners") - 2 * zero("shared")).alias("borders"), zero("inner").alias("inner"))
 
 
 def parallelogram(faces: DataFrame, values: DataFrame) -> DataFrame:
-    """(m, corner, residual): value at a tip minus (src + snk - tip across the edge), for edges with an opposite. values: (tip, value)."""
-    c = corners(faces.where(~degenerate()))
-    pairs = c.join(opposites(faces), ["m", "corner"])
-    across = c.select("m", F.col("corner").alias("opposite"), F.col("tip").alias("far"))
-    d = pairs.join(across, ["m", "opposite"])
-    for name in ("tip", "src", "snk", "far"):
-        d = d.join(values.select(F.col("tip").alias(name), F.col("value").alias(f"x_{name}")), name)
-    return d.select("m", "corner", (F.col("x_tip") - (F.col("x_src") + F.col("x_snk") - F.col("x_far"))).alias("residual"))
+    """(m, corner, residual): value at a tip minus (src + snk - tip across the edge), for edges with an opposite. values: (tip, value). Values are joined once, to the corners."""
+    c = corners(faces.where(~degenerate())).join(values.select("tip", "value"), "tip")
+    at = c.select("m", "corner", "value")
+    o = opposites(faces)
+    follow = lambda x, k: (F.col(x) - F.col(x) % 3 + (F.col(x) + k) % 3).cast("int")
+    four = F.array(*[F.struct(k.alias("corner_"), F.lit(sign).alias("sign")) for k, sign in ((F.col("corner"), 1), (follow("corner", 1), -1), (follow("corner", 2), -1), (F.col("opposite"), 1))])
+    terms = o.select("m", F.col("corner").alias("of"), F.inline(four))
+    found = terms.join(at.select(F.col("m").alias("m_"), F.col("corner").alias("c_"), "value"), (F.col("m") == F.col("m_")) & (F.col("corner_") == F.col("c_")))
+    return found.groupBy("m", F.col("of").alias("corner")).agg(F.sum(F.col("value") * F.col("sign")).alias("residual"))
 
 
 def connected(links: DataFrame, rounds: int = 64) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.operators import attributes as A
-from tessera.operators import codecs, scene
+from tessera.operators import bitcoding, scene
 from tessera.operators import sequences as Q
 from tessera.operators import topology as G
 from tessera.plans import rules as R
@@ -58,13 +58,17 @@ PARAM = COMP + ", b AS (SELECT c, min(v) AS low, max(v) AS high FROM c GROUP BY
 QUANT = PARAM + ", q AS (SELECT vec_id, c, v, low, span, CAST(floor(CAST(CAST(CAST(v - low AS FLOAT) * CAST(CAST(2047 AS FLOAT) / span AS FLOAT) AS FLOAT) + CAST(0.5 AS FLOAT) AS FLOAT)) AS INT) AS q FROM c JOIN p USING (c))"
 QUANT3 = QUANT.replace("range(1, 65)", "range(1, 4)")
 RING = """g AS (SELECT l_orderkey AS m, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ring FROM lineitem GROUP BY l_orderkey),
-f AS (SELECT m, CAST(j - 1 AS INT) AS f, ring[1] AS p0, ring[j + 1] AS p1, ring[j + 2] AS p2 FROM g, range(1, 64) t(j) WHERE j <= len(ring) - 2)"""
+f AS MATERIALIZED (SELECT m, CAST(j - 1 AS INT) AS f, ring[1] AS p0, ring[j + 1] AS p1, ring[j + 2] AS p2 FROM (SELECT m, ring, unnest(range(1, len(ring) - 1)) AS j FROM g))"""
 SOUND = RING + ", n AS (SELECT * FROM f WHERE p0 <> p1 AND p0 <> p2 AND p1 <> p2)"
 CORNER = SOUND + """, k AS (SELECT m, 3 * f AS corner, f, p0 AS tip, p1 AS src, p2 AS snk FROM n UNION ALL SELECT m, 3 * f + 1, f, p1, p2, p0 FROM n UNION ALL SELECT m, 3 * f + 2, f, p2, p0, p1 FROM n)"""
 EDGE = CORNER + ", e AS (SELECT m, least(src, snk) AS a, greatest(src, snk) AS b, count(*) AS times FROM k GROUP BY ALL)"
 BOUND = EDGE + ", bv AS (SELECT DISTINCT m, v FROM (SELECT m, a AS v FROM e WHERE times = 1 UNION ALL SELECT m, b FROM e WHERE times = 1))"
-OPP = CORNER + """, once AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY m, src, snk) AS times FROM k) WHERE times = 1),
-o AS (SELECT a.m, a.corner, b.corner AS opposite FROM once a JOIN once b ON a.m = b.m AND a.src = b.snk AND a.snk = b.src AND a.tip <> b.tip)"""
+OPP = CORNER + """, hs AS MATERIALIZED (SELECT m, least(src, snk) AS a, greatest(src, snk) AS b, list({'corner': corner, 'tip': tip, 'forward': src < snk} ORDER BY corner) AS l FROM k GROUP BY ALL HAVING count(*) > 1),
+steps AS (SELECT m, a, b, l, 0 AS i, l[1:0] AS w, [{'x': l[1].corner, 'y': l[1].corner}][1:0] AS p FROM hs
+UNION ALL SELECT m, a, b, l, i + 1, CASE WHEN o IS NULL THEN list_append(w, h) ELSE list_filter(w, lambda z: z.corner <> o.corner) END, CASE WHEN o IS NULL THEN p ELSE list_append(p, {'x': h.corner, 'y': o.corner}) END
+FROM (SELECT *, l[i + 1] AS h, list_filter(w, lambda z: z.forward <> l[i + 1].forward AND z.tip <> l[i + 1].tip)[1] AS o FROM steps WHERE i < len(l))),
+pr AS MATERIALIZED (SELECT m, q.x AS x, q.y AS y FROM (SELECT m, unnest(p) AS q FROM steps WHERE i = len(l))),
+o AS MATERIALIZED (SELECT m, x AS corner, y AS opposite FROM pr UNION ALL SELECT m, y, x FROM pr)"""
 OCT = """x AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
 n1 AS (SELECT *, abs(x) + abs(y) + abs(z) AS l FROM x),
 n2 AS (SELECT *, CASE WHEN l <= 1e-6 THEN 511 ELSE CAST(floor(x / l * 511 + 0.5) AS INT) END AS a, CASE WHEN l <= 1e-6 THEN 0 ELSE CAST(floor(y / l * 511 + 0.5) AS INT) END AS b FROM n1),
@@ -97,9 +101,9 @@ def dequantize_error(spark, d):
     return A.round_trip_error(values(spark, d), BITS).withColumn("c", F.col("c").cast("long"))
 
 
-@query(f"WITH {QUANT} SELECT q, count(*) AS n FROM q WHERE c = 0 GROUP BY q")
+@query(f"WITH {QUANT} SELECT c, q, count(*) AS n FROM q GROUP BY c, q")
 def quantize_hist(spark, d):
-    return A.quantized(values(spark, d), BITS).where("c = 0").groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+    return A.quantized(values(spark, d), BITS).groupBy(F.col("c").cast("long").alias("c"), "q").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {COMP} SELECT c, bool_or(isnan(v) OR isinf(v)) AS refused, count(*) AS n FROM c GROUP BY c")
@@ -205,18 +209,18 @@ def edge_multiplicity(spark, d):
     return G.edge_multiplicity(faces(spark, d))
 
 
-@query(f"WITH {OPP} SELECT m, corner, opposite FROM o")
+@query(f"WITH RECURSIVE {OPP} SELECT m, corner, opposite FROM o")
 def opposite_corners(spark, d):
     return G.opposites(faces(spark, d))
 
 
-@query(f"WITH {OPP} SELECT m, corner FROM k WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.m = k.m AND o.corner = k.corner)")
+@query(f"WITH RECURSIVE {OPP} SELECT m, corner FROM k WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.m = k.m AND o.corner = k.corner)")
 def boundary_corners(spark, d):
     f = faces(spark, d)
     return G.corners(f.where(~G.degenerate())).join(G.opposites(f), ["m", "corner"], "left_anti").select("m", "corner")
 
 
-@query(f"WITH {OPP} SELECT (SELECT count(*) FROM o) AS matched, (SELECT count(*) FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.m = a.m AND b.corner = a.opposite AND b.opposite = a.corner)) AS broken")
+@query(f"WITH RECURSIVE {OPP} SELECT (SELECT count(*) FROM o) AS matched, (SELECT count(*) FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.m = a.m AND b.corner = a.opposite AND b.opposite = a.corner)) AS broken")
 def opposite_symmetry(spark, d):
     o = G.opposites(faces(spark, d))
     back = o.select("m", F.col("corner").alias("opposite"), F.col("opposite").alias("corner"))
@@ -283,26 +287,29 @@ def mesh_summary(spark, d):
     return f.crossJoin(table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("points")))
 
 
-@query(f"WITH {COMP} SELECT c, min(v) AS low, max(v) AS high, CAST(floor(var_pop(CAST(v AS DOUBLE)) * 10000 + 0.5) AS BIGINT) AS variance FROM c WHERE c < 3 GROUP BY c")
+@query(f"WITH {COMP} SELECT c, min(v) AS low, max(v) AS high, CAST(floor(var_pop(CAST(v AS DOUBLE)) * 10000 + 0.5) AS BIGINT) AS variance FROM c GROUP BY c")
 def bbox(spark, d):
-    v = values(spark, d).where("c < 3").groupBy(F.col("c").cast("long").alias("c"))
+    v = values(spark, d).groupBy(F.col("c").cast("long").alias("c"))
     return v.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.floor(F.var_pop(F.col("v").cast("double")) * 10000 + 0.5).alias("variance"))
 
 
-@query(f"""WITH {RING}, t AS (SELECT m, CASE WHEN p0 = least(p0, p1, p2) THEN [p0, p1, p2] WHEN p1 = least(p0, p1, p2) THEN [p1, p2, p0] ELSE [p2, p0, p1] END AS a FROM f)
-SELECT m, CAST(sum(((a[1] % 1000003) * 961 + (a[2] % 1000003) * 31 + a[3] % 1000003) % 1000003) % 1000003 AS BIGINT) AS hash FROM t GROUP BY m""")
+@query(f"""WITH {RING}, t AS (SELECT m, CASE WHEN p0 = least(p0, p1, p2) THEN p0 || ',' || p1 || ',' || p2 WHEN p1 = least(p0, p1, p2) THEN p1 || ',' || p2 || ',' || p0 ELSE p2 || ',' || p0 || ',' || p1 END AS a FROM f)
+SELECT m, CAST(sum(CAST('0x' || substr(md5(a), 1, 15) AS BIGINT)) % 2305843009213693951 AS BIGINT) AS hash FROM t GROUP BY m""")
 def face_hash(spark, d):
     return G.face_hash(faces(spark, d))
 
 
-@query(f"""WITH {CORNER}, c AS (SELECT k.*, p_brand AS value FROM k JOIN part ON tip = p_partkey), e AS (SELECT m, least(src, snk) AS a, greatest(src, snk) AS b, count(*) AS times, min(value) AS low, max(value) AS high FROM c GROUP BY ALL)
-SELECT m, count(*) FILTER (WHERE times = 1 OR low <> high) AS seams FROM e GROUP BY m""")
+@query(f"""WITH RECURSIVE {OPP}, c AS (SELECT k.m, corner, a.p_brand || f % 2 AS at_src, b.p_brand || f % 2 AS at_snk FROM k JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = snk),
+s AS (SELECT pr.m, count(*) AS shared, count(*) FILTER (WHERE x.at_src <> y.at_snk OR x.at_snk <> y.at_src) AS inner_ FROM pr JOIN c x ON x.m = pr.m AND x.corner = pr.x JOIN c y ON y.m = pr.m AND y.corner = pr.y GROUP BY pr.m)
+SELECT c.m, count(*) - 2 * coalesce(max(shared), 0) AS borders, coalesce(max(inner_), 0) AS "inner" FROM c LEFT JOIN s ON s.m = c.m GROUP BY c.m""")
 def attribute_seams(spark, d):
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("tip"), F.col("p_brand").alias("value"))
-    return G.seams(faces(spark, d), part)
+    part = table(spark, d, "part")
+    of = lambda end: part.select(F.col("p_partkey").alias(end), F.col("p_brand").alias(f"at_{end}"))
+    c = G.corners(faces(spark, d).where(~G.degenerate())).join(of("src"), "src").join(of("snk"), "snk")
+    return G.seams(c.withColumns({x: F.concat(x, (F.col("f") % 2).cast("string")) for x in ("at_src", "at_snk")}))
 
 
-@query(f"""WITH {OPP}, v AS (SELECT p_partkey AS p, CAST(p_size AS BIGINT) AS x FROM part)
+@query(f"""WITH RECURSIVE {OPP}, v AS (SELECT p_partkey AS p, CAST(p_size AS BIGINT) AS x FROM part)
 SELECT k.m, k.corner, a.x - (b.x + c.x - g.x) AS residual FROM k JOIN o ON k.m = o.m AND k.corner = o.corner JOIN k w ON w.m = o.m AND w.corner = o.opposite
 JOIN v a ON a.p = k.tip JOIN v b ON b.p = k.src JOIN v c ON c.p = k.snk JOIN v g ON g.p = w.tip""")
 def parallelogram_residual(spark, d):
@@ -347,9 +354,25 @@ def vertex_normals(spark, d):
     return G.vertex_normals(faces(spark, d), part)
 
 
-@query(f"""WITH {RING}, a AS (SELECT m, p0 AS p FROM f UNION ALL SELECT m, p1 FROM f UNION ALL SELECT m, p2 FROM f) SELECT m, count(DISTINCT p) AS points, count(*) AS bytes FROM a GROUP BY m""")
+WIDE = """g AS (SELECT 1000000 + l_suppkey AS m, list(l_orderkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS ring FROM lineitem GROUP BY l_suppkey
+UNION ALL SELECT CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END, list(l_orderkey * 8 + l_linenumber ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) FROM lineitem GROUP BY l_returnflag),
+f AS MATERIALIZED (SELECT m, CAST(j - 1 AS INT) AS f, ring[1] AS p0, ring[j + 1] AS p1, ring[j + 2] AS p2 FROM (SELECT m, ring, unnest(range(1, len(ring) - 1)) AS j FROM g))"""
+
+
+def wide_faces(spark: SparkSession, d: str) -> DataFrame:
+    """Large meshes: the lines of each supplier, and of each return flag."""
+    line = table(spark, d, "lineitem")
+    by = [(F.col("l_suppkey") + 1000000, F.col("l_orderkey")), (F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3), F.col("l_orderkey") * 8 + F.col("l_linenumber"))]
+    both = [line.select(m.cast("long").alias("m"), p.cast("long").alias("p"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice") for m, p in by]
+    rows = both[0].unionByName(both[1]).groupBy("m").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "p"))).alias("l"))
+    return G.fan(rows.select("m", F.transform("l", lambda x: x["p"]).alias("ring")))
+
+
+@query(f"""WITH {WIDE}, a AS (SELECT m, 3 * f AS c, p0 AS p FROM f UNION ALL SELECT m, 3 * f + 1, p1 FROM f UNION ALL SELECT m, 3 * f + 2, p2 FROM f), b AS (SELECT m, p, min(c) AS c FROM a GROUP BY m, p),
+n AS (SELECT m, p, row_number() OVER (PARTITION BY m ORDER BY c) - 1 AS i, count(*) OVER (PARTITION BY m) AS points FROM b)
+SELECT a.m, points, CAST(sum(CASE WHEN points < 256 THEN 1 WHEN points < 65536 THEN 2 WHEN points < 2097152 THEN CASE WHEN i < 128 THEN 1 WHEN i < 16384 THEN 2 ELSE 3 END ELSE 4 END) AS BIGINT) AS bytes FROM a JOIN n ON n.m = a.m AND n.p = a.p GROUP BY a.m, points""")
 def plain_index_bytes(spark, d):
-    return G.plain_index_bytes(faces(spark, d))
+    return G.plain_index_bytes(wide_faces(spark, d)).withColumn("bytes", F.col("bytes").cast("long"))
 
 
 @query("""SELECT 'r' || r_regionkey AS node, 0 AS level, r_name AS path FROM region UNION ALL SELECT 'n' || n_nationkey, 1, r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -358,7 +381,10 @@ def scene_flatten(spark, d):
     r = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
     n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), "n_name")
     c = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"), "c_name")
-    return scene.flatten(r.union(n).union(c), depth=3)
+    from tessera.sources.session import checkpoint_folder
+
+    checkpoint_folder(spark)
+    return scene.flatten(r.union(n).union(c)).drop("key")
 
 
 @query("""SELECT i AS node, k, CAST(floor(m[k] * 10000 + 0.5) AS BIGINT) AS value FROM (SELECT i, [cos(radians(i)) * 2.0, -sin(radians(i)) * 2.0, 0.0, i::DOUBLE, sin(radians(i)) * 2.0, cos(radians(i)) * 2.0, 0.0, 1.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 0.0, 1.0] AS m FROM range(0, 360) t(i)), range(1, 17) u(k)""")
@@ -392,7 +418,7 @@ def method_rules(spark, d):
 
 @query(f"WITH {QUANT3}, u AS (SELECT vec_id, CAST(sum((q >> 9) * CASE c WHEN 0 THEN 16 WHEN 1 THEN 4 ELSE 1 END) AS BIGINT) AS cell FROM q GROUP BY vec_id) SELECT cell, count(*) AS points FROM u GROUP BY cell")
 def kd_cells(spark, d):
-    return A.cells(values(spark, d), "vec_id", BITS, levels=2, axes=3)
+    return A.cells(table(spark, d, "embeddings"), "embedding", BITS, levels=2, axes=3)
 
 
 def _coded(rows: DataFrame, column: str, key: str, check: Callable[[list], bool]) -> DataFrame:
@@ -402,22 +428,35 @@ def _coded(rows: DataFrame, column: str, key: str, check: Callable[[list], bool]
     def run(batches):
         for b in batches:
             lists = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array([check(x) for x in lists], pa.bool_())], [key, "n", "same"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array([check(x) for x in lists], pa.bool_())], schema=pa.schema([b.schema.field(0).with_name(key), ("n", pa.int64()), ("same", pa.bool_())]))
 
     return rows.select(key, column).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, n bigint, same boolean")
 
 
-@query("SELECT user_id, count(*) AS n, true AS same FROM events GROUP BY user_id")
+BLOCK = 4096
+
+
+@query(f"WITH b AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // {BLOCK} AS block FROM events) SELECT user_id, block, count(*) AS n, true AS same FROM b GROUP BY ALL")
 def symbol_coder_roundtrip(spark, d):
-    rows = residuals(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "u"))), lambda x: x["u"]).alias("symbols"))
-    return _coded(rows, "symbols", "user_id", lambda x: codecs.decode_symbols(codecs.encode_symbols(x)) == x)
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    blocks = residuals(spark, d).withColumn("block", F.floor((F.row_number().over(own) - 1) / BLOCK))
+    rows = blocks.groupBy(F.struct("user_id", "block").alias("at")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "u"))), lambda x: x["u"]).alias("symbols"))
+    same = lambda x: bitcoding.decode_symbols(bitcoding.Reader(bitcoding.encode_symbols(x)), len(x)) == x
+    return _coded(rows, "symbols", "at", same).select("at.user_id", "at.block", "n", "same")
 
 
-@query("SELECT label, count(*) AS n, true AS same FROM embeddings GROUP BY label")
+@query("SELECT label, vec_id // 64 AS block, count(*) AS n, true AS same FROM embeddings GROUP BY ALL")
 def tree_coder_roundtrip(spark, d):
-    q = A.quantized(values(spark, d).where("c < 3"), BITS).groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "q"))), lambda x: x["q"]).alias("p"))
-    rows = table(spark, d, "embeddings").select("vec_id", "label").join(q, "vec_id").groupBy("label").agg(F.collect_list("p").alias("points"))
-    return _coded(rows, "points", "label", lambda x: sorted(codecs.decode_points(codecs.encode_points([tuple(p) for p in x]))) == sorted(map(tuple, x)))
+    import numpy as np
+
+    q = A.quantized_arrays(table(spark, d, "embeddings"), "embedding", BITS)
+    rows = q.groupBy(F.struct("label", F.floor(F.col("vec_id") / 64).alias("block")).alias("at")).agg(F.collect_list("q").alias("points"))
+
+    def same(x: list) -> bool:
+        code = bitcoding.encode_points(np.array(x), 5)
+        return sorted(bitcoding.decode_points(bitcoding.Reader(code, (2, 3)), len(x[0]), 5).tolist()) == sorted(x)
+
+    return _coded(rows, "points", "at", same).select("at.label", "at.block", "n", "same")
 
 
 def order_meshes(spark: SparkSession, d: str) -> DataFrame:
@@ -450,17 +489,3 @@ def _format_query(form: str):
 for _form in ("obj", "ply", "ply_little", "ply_big", "glb", "fbx"):
     query(f"""WITH {RING}, a AS (SELECT m, p0 AS p FROM f UNION SELECT m, p1 FROM f UNION SELECT m, p2 FROM f)
 SELECT x.m, points, triangles, total FROM (SELECT m, count(*) AS points, CAST(sum(p_size) AS BIGINT) AS total FROM a JOIN part ON p = p_partkey GROUP BY m) x JOIN (SELECT m, count(*) AS triangles FROM f GROUP BY m) y ON x.m = y.m""")(_format_query(_form))
-
-
-@query("SELECT i AS id, 'MESH' AS magic, i % 3 AS major, i % 7 AS minor, i % 2 AS geometry, i % 4 AS method, i AS flags, i >= 32768 AS has_metadata FROM range(0, 65536, 97) t(i)")
-def header_parse(spark, d):
-    i = F.col("id")
-    byte = lambda v: F.unhex(F.lpad(F.hex(v), 2, "0"))
-    content = F.concat(F.lit(b"MESH"), byte(i % 3), byte(i % 7), byte(i % 2), byte(i % 4), byte(i % 256), byte(F.floor(i / 256)))
-    number = lambda at: F.conv(F.hex(F.substring("content", at, 1)), 16, 10).cast("long")
-    flags = number(9) + 256 * number(10)
-    return spark.range(0, 65536, 97).withColumn("content", content).select("id", F.substring("content", 1, 4).cast("string").alias("magic"), number(5).alias("major"), number(6).alias("minor"), number(7).alias("geometry"), number(8).alias("method"), flags.alias("flags"), (flags >= 32768).alias("has_metadata"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f, _ in _ENTRIES}
-ORACLES: dict[str, str] = {name: sql for name, _, sql in _ENTRIES if sql}

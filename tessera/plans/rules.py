@@ -44,3 +44,8 @@ def tree_level(speed: Column, components: Column) -> Column:
 
 def tree_number_coder(level: Column) -> Column:
     return F.when(level <= 1, "direct").when(level <= 3, "entropy").otherwise("folded")
+
+
+def at_least(major: Column, minor: Column, a: int, b: int) -> Column:
+    """Whether a stream's version is a.b or later."""
+    return (major > a) | ((major == a) & (minor >= b))

@@ -126,12 +126,62 @@ def connections(top: Record) -> list[tuple[int, int]]:
     return [(c.properties[1], c.properties[2]) for t in top.all("Connections") for c in t.records if len(c.properties) > 2 and c.properties[0] == "OO"]
 
 
+def _numbers(model: Record, name: str, default: float) -> list[float]:
+    """The last three numbers of a property of a model, as P records of its Properties70 have them."""
+    for table in model.all("Properties70"):
+        for p in table.all("P"):
+            if p.properties and p.properties[0] == name and len(p.properties) >= 7:
+                return [float(x) for x in p.properties[-3:]]
+    return [default] * 3
+
+
+def model_matrix(model: Record) -> list[float]:
+    """Sixteen numbers by rows, the translation in the last row: scale, turns about x, y and z in degrees, translation, for row vectors."""
+    x, y, z = np.radians(_numbers(model, "Lcl Rotation", 0.0))
+    cx, sx, cy, sy, cz, sz = np.cos(x), np.sin(x), np.cos(y), np.sin(y), np.cos(z), np.sin(z)
+    r = np.array([[cz * cy, cz * sy * sx - sz * cx, cz * sy * cx + sz * sx], [sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx], [-sy, cy * sx, cy * cx]])
+    out = np.eye(4)
+    out[:3, :3] = (r * np.array(_numbers(model, "Lcl Scaling", 1.0))).T
+    out[3, :3] = _numbers(model, "Lcl Translation", 0.0)
+    return out.ravel().tolist()
+
+
+def read_fbx_scene(data: bytes) -> list[dict]:
+    """The models from those without a model above them down, depth first: node, parent, name, mesh (the place of its geometry among the geometries, or None), matrix. Ids are those of the file; a model that is
+    reached twice is an error."""
+    _, top = parse(data)
+    objects = [r for o in top.all("Objects") for r in o.records if r.properties]
+    models = {r.properties[0]: r for r in objects if r.name == "Model"}
+    shapes = {r.properties[0]: i for i, r in enumerate(x for x in objects if x.name == "Geometry" and x.value("Vertices") is not None)}
+    edges = connections(top)
+    mesh_of = {parent: shapes[child] for child, parent in edges if child in shapes and parent in models}
+    below: dict[int, list[int]] = {}
+    for child, parent in edges:
+        if child in models:
+            below.setdefault(parent if parent in models else 0, []).append(child)
+    linked = {child for child, _ in edges}
+    out, seen = [], set()
+    stack = [(m, None) for m in reversed(below.get(0, []) + [m for m in models if m not in linked])]
+    while stack:
+        m, parent = stack.pop()
+        if m in seen:
+            raise FormatError("a model that is reached twice")
+        seen.add(m)
+        r = models[m]
+        name = str(r.properties[1]).split("\0")[0] if len(r.properties) > 1 else f"model_{m}"
+        out.append({"node": m, "parent": parent, "name": name, "mesh": mesh_of.get(m), "matrix": model_matrix(r)})
+        stack += [(c, m) for c in reversed(below.get(m, []))]
+    return out
+
+
 def _packed(value, compress: bool) -> bytes:
     if isinstance(value, np.ndarray):
         kind, raw = next(k for k, t in ARRAYS.items() if np.dtype(t) == value.dtype), value.tobytes()
         small = zlib.compress(raw) if compress and len(raw) >= COMPRESS_FROM else raw
         body = small if len(small) < len(raw) else raw
         return kind + struct.pack("<III", len(value), int(body is not raw), len(body)) + body
+    if isinstance(value, float):
+        return b"D" + struct.pack("<d", value)
     if isinstance(value, str):
         return b"S" + struct.pack("<I", len(value.encode())) + value.encode()
     return b"L" + struct.pack("<q", value)

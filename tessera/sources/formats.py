@@ -195,34 +195,103 @@ def split_glb(data: bytes) -> tuple[dict, bytes | None]:
     return json.loads(text), binary
 
 
-def read_gltf(data: bytes, fetch: Callable[[str], bytes] | None = None) -> list[dict]:
-    """The meshes of a glTF or GLB file (told apart by the first four bytes), one for each primitive of points or triangles that is not compressed."""
-    doc, binary = split_glb(data) if data[:4] == b"glTF" else (json.loads(data), None)
-    buffers = [_buffer(b, i, binary, fetch) for i, b in enumerate(doc.get("buffers", []))]
+def read_gltf(data: bytes, fetch: Callable[[str], bytes] | None = None, extension: str | None = None, decode: Callable[[bytes], dict] | None = None) -> list[dict]:
+    """The meshes of a glTF or GLB file (told apart by the first four bytes), one for each primitive of points or triangles.
+
+    extension names the compression extension of the files at hand, and decode turns such a primitive's bytes into {unique id: rows of values} with "faces" for the triangles. A primitive
+    that is compressed otherwise is an error, not left out. fetch gives the bytes of an external buffer by its uri.
+    """
+    doc, buffers = _opened(data, fetch)
     out = []
     for i, m in enumerate(doc.get("meshes", [])):
         for j, p in enumerate(m["primitives"]):
-            if compressed(p) is not None:
-                continue
             if p.get("mode", 4) not in (0, 4):
                 raise FormatError(f"mode {p['mode']} of a primitive")
-            get = lambda key, p=p: _accessor(doc, buffers, p["attributes"][key]) if key in p["attributes"] else []
-            at = get("POSITION")
+            name = m.get("name", f"mesh_{i}") + (f"_{j}" if len(m["primitives"]) > 1 else "")
+            packed = compressed(p)
+            if packed is not None:
+                if packed != extension or decode is None:
+                    raise FormatError(f"a primitive compressed by {packed}")
+                own = p["extensions"][packed]
+                shape = decode(_view(doc, buffers, own["bufferView"]))
+                get = lambda key, own=own, shape=shape: shape.get(own["attributes"].get(key), [])
+                at, faces = get("POSITION"), shape["faces"]
+            else:
+                get = lambda key, p=p: _accessor(doc, buffers, p["attributes"][key]) if key in p["attributes"] else []
+                at = get("POSITION")
+                index = _accessor(doc, buffers, p["indices"]).ravel() if "indices" in p else np.arange(len(at))
+                if p.get("mode", 4) == 4 and (len(index) % 3 or (len(index) and index.max() >= len(at))):
+                    raise FormatError("indices")
+                faces = index.reshape(-1, 3) if p.get("mode", 4) == 4 else ()
             if len(at) == 0:
                 raise FormatError("no positions")
-            index = _accessor(doc, buffers, p["indices"]).ravel() if "indices" in p else np.arange(len(at))
-            if p.get("mode", 4) == 4 and (len(index) % 3 or (len(index) and index.max() >= len(at))):
-                raise FormatError("indices")
             colors = np.array(get("COLOR_0"))
             colors = np.round(colors * 255) if colors.dtype.kind == "f" else colors
-            name = m.get("name", f"mesh_{i}") + (f"_{j}" if len(m["primitives"]) > 1 else "")
-            out.append(mesh(at, index.reshape(-1, 3) if p.get("mode", 4) == 4 else (), get("NORMAL"), colors, get("TEXCOORD_0"), name))
+            out.append(mesh(at, faces, get("NORMAL"), colors, _texcoords(doc, p, get("TEXCOORD_0"), packed), name))
     return out
 
 
+def _opened(data: bytes, fetch) -> tuple[dict, list[bytes]]:
+    doc, binary = split_glb(data) if data[:4] == b"glTF" else (json.loads(data), None)
+    return doc, [_buffer(b, i, binary, fetch) for i, b in enumerate(doc.get("buffers", []))]
+
+
+def _texcoords(doc: dict, p: dict, rows, packed: str | None):
+    """Normalized integers stand for 0 to 1."""
+    if packed is None and len(rows) and np.asarray(rows).dtype.kind == "u" and doc["accessors"][p["attributes"]["TEXCOORD_0"]].get("normalized"):
+        return np.asarray(rows, float) / np.iinfo(np.asarray(rows).dtype).max
+    return rows
+
+
 def compressed(primitive: dict) -> str | None:
-    """The compression extension of a primitive, if it has one."""
-    return next((k for k in primitive.get("extensions", {}) if k.endswith("_mesh_compression")), None)
+    """The compression extension of a primitive, if it has one: the one that has a view of its own."""
+    return next((k for k, v in primitive.get("extensions", {}).items() if isinstance(v, dict) and "bufferView" in v), None)
+
+
+def compressed_primitives(data: bytes) -> list[dict]:
+    """Mesh, primitive, extension, view and the attributes' unique ids of each compressed primitive."""
+    doc = split_glb(data)[0] if data[:4] == b"glTF" else json.loads(data)
+    rows = [(i, j, p, compressed(p)) for i, m in enumerate(doc.get("meshes", [])) for j, p in enumerate(m["primitives"])]
+    return [{"mesh": i, "primitive": j, "extension": k, "view": p["extensions"][k]["bufferView"], "attributes": p["extensions"][k].get("attributes", {})} for i, j, p, k in rows if k]
+
+
+def _view(doc: dict, buffers: list[bytes], i: int) -> bytes:
+    view = doc["bufferViews"][i]
+    start = view.get("byteOffset", 0)
+    data = buffers[view["buffer"]][start : start + view["byteLength"]]
+    if len(data) < view["byteLength"]:
+        raise FormatError("a view beyond its buffer")
+    return data
+
+
+def node_matrix(node: dict) -> list[float]:
+    """Sixteen numbers by rows: the matrix (by columns in the file), or translation, rotation and scale."""
+    if "matrix" in node:
+        return np.array(node["matrix"], float).reshape(4, 4).T.ravel().tolist()
+    x, y, z, w = node.get("rotation", (0, 0, 0, 1))
+    r = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
+    out = np.eye(4)
+    out[:3, :3] = r * np.array(node.get("scale", (1, 1, 1)))
+    out[:3, 3] = node.get("translation", (0, 0, 0))
+    return out.ravel().tolist()
+
+
+def read_gltf_scene(data: bytes) -> list[dict]:
+    """The nodes of the default scene (or the first, or the nodes without a parent) depth first: node, parent, name, mesh, matrix by rows. A node that is reached twice is an error."""
+    doc = split_glb(data)[0] if data[:4] == b"glTF" else json.loads(data)
+    nodes, scenes = doc.get("nodes", []), doc.get("scenes", [])
+    children = {c for n in nodes for c in n.get("children", [])}
+    roots = scenes[doc.get("scene", 0)].get("nodes", []) if scenes else [i for i in range(len(nodes)) if i not in children]
+    out, seen, stack = [], set(), [(i, None) for i in reversed(roots)]
+    while stack:
+        i, parent = stack.pop()
+        if i in seen:
+            raise FormatError("a node that is reached twice")
+        seen.add(i)
+        n = nodes[i]
+        out.append({"node": i, "parent": parent, "name": n.get("name", f"node_{i}"), "mesh": n.get("mesh"), "matrix": node_matrix(n)})
+        stack += [(c, i) for c in reversed(n.get("children", []))]
+    return out
 
 
 def _buffer(b: dict, i: int, binary: bytes | None, fetch) -> bytes:
@@ -252,31 +321,63 @@ def _accessor(doc: dict, buffers: list[bytes], i: int) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(np.frombuffer(data, kind, offset=start, count=1) if n else np.zeros(0, kind), (n, width), (step, kind.itemsize)).copy() if n else np.zeros((0, width), kind)
 
 
-def write_glb(meshes: list[dict]) -> bytes:
-    """A GLB file with every mesh as it is, uncompressed; views and chunks start at multiples of four."""
-    blob, views, accessors, out, nodes = bytearray(), [], [], [], []
+def write_gltf(meshes: list[dict], form: str = "glb", extension: str | None = None, encode: Callable[[dict], tuple[bytes, dict[str, int]]] | None = None, scene: list[dict] | None = None) -> bytes | tuple[bytes, bytes]:
+    """Every mesh as one primitive, views and chunks at multiples of four. form: glb, embedded (JSON with the data in it) or separate (JSON, and the bytes of data.bin).
+
+    With extension and encode (a mesh to its stream and the unique ids of its attributes by semantic), meshes with faces are compressed under that name. scene: nodes (node, parent, name, mesh, matrix by
+    rows) as read_gltf_scene gives them; without it every mesh has a node of its own.
+    """
+    blob, views, accessors, out = bytearray(), [], [], []
 
-    def put(rows, kind: str, shape: str, code: int, **more) -> int:
-        a = np.array(rows, kind)
+    def view(data: bytes) -> int:
         blob.extend(b"\0" * (-len(blob) % 4))
-        views.append({"buffer": 0, "byteOffset": len(blob), "byteLength": a.nbytes})
-        blob.extend(a.tobytes())
-        accessors.append({"bufferView": len(views) - 1, "componentType": code, "count": len(rows), "type": shape} | more)
+        views.append({"buffer": 0, "byteOffset": len(blob), "byteLength": len(data)})
+        blob.extend(data)
+        return len(views) - 1
+
+    def put(rows, kind: str, shape: str, code: int, stored: bool, **more) -> int:
+        accessors.append(({"bufferView": view(np.array(rows, kind).tobytes())} if stored else {}) | {"componentType": code, "count": len(rows), "type": shape} | more)
         return len(accessors) - 1
 
     for m in meshes:
+        packed = extension is not None and encode is not None and bool(m["faces"])
         p = np.array(m["positions"], "<f4")
-        attributes = {"POSITION": put(m["positions"], "<f4", "VEC3", 5126, min=p.min(0).tolist(), max=p.max(0).tolist())}
+        attributes = {"POSITION": put(m["positions"], "<f4", "VEC3", 5126, not packed, min=p.min(0).tolist(), max=p.max(0).tolist())}
         for key, name, kind, shape, code in (("normals", "NORMAL", "<f4", "VEC3", 5126), ("uvs", "TEXCOORD_0", "<f4", "VEC2", 5126), ("colors", "COLOR_0", "<u1", "VEC4", 5121)):
             if m[key]:
                 rows = [(tuple(c) + (255,) * 4)[:4] for c in m[key]] if key == "colors" else m[key]
-                attributes[name] = put(rows, kind, shape, code, **({"normalized": True} if key == "colors" else {}))
+                attributes[name] = put(rows, kind, shape, code, not packed, **({"normalized": True} if key == "colors" else {}))
         primitive = {"attributes": attributes, "mode": 4 if m["faces"] else 0}
         if m["faces"]:
-            primitive["indices"] = put(np.array(m["faces"]).ravel(), "<u4", "SCALAR", 5125)
-        nodes.append({"mesh": len(out), "name": m["name"]})
+            primitive["indices"] = put(np.array(m["faces"]).ravel(), "<u4", "SCALAR", 5125, not packed)
+        if packed:
+            stream, ids = encode(m)
+            primitive["extensions"] = {extension: {"bufferView": view(stream), "attributes": ids}}
         out.append({"name": m["name"], "primitives": [primitive]})
-    doc = {"asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": list(range(len(nodes)))}], "nodes": nodes, "meshes": out, "accessors": accessors, "bufferViews": views, "buffers": [{"byteLength": len(blob)}]}
+    if scene is None:
+        nodes, roots = [{"mesh": i, "name": m["name"]} for i, m in enumerate(out)], list(range(len(out)))
+    else:
+        place = {n["node"]: i for i, n in enumerate(scene)}
+        nodes = []
+        for n in scene:
+            own = {"name": n["name"], "matrix": np.array(n["matrix"], float).reshape(4, 4).T.ravel().tolist()} | ({"mesh": n["mesh"]} if n["mesh"] is not None else {})
+            below = [place[c["node"]] for c in scene if c["parent"] == n["node"]]
+            nodes.append(own | ({"children": below} if below else {}))
+        roots = [place[n["node"]] for n in scene if n["parent"] is None]
+    doc = {"asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": roots}], "nodes": nodes, "meshes": out, "accessors": accessors, "bufferViews": views, "buffers": [{"byteLength": len(blob)}]}
+    if any("extensions" in p for m in out for p in m["primitives"]):
+        doc |= {"extensionsUsed": [extension], "extensionsRequired": [extension]}
+    if form == "embedded":
+        doc["buffers"][0]["uri"] = "data:application/octet-stream;base64," + base64.b64encode(blob).decode()
+        return json.dumps(doc).encode()
+    if form == "separate":
+        doc["buffers"][0]["uri"] = "data.bin"
+        return json.dumps(doc).encode(), bytes(blob)
     text = json.dumps(doc).encode()
     text, blob = text + b" " * (-len(text) % 4), bytes(blob) + b"\0" * (-len(blob) % 4)
     return struct.pack("<4sII", b"glTF", 2, 28 + len(text) + len(blob)) + struct.pack("<I4s", len(text), b"JSON") + text + struct.pack("<I4s", len(blob), b"BIN\0") + blob
+
+
+def write_glb(meshes: list[dict]) -> bytes:
+    """A GLB file with every mesh as it is, uncompressed."""
+    return write_gltf(meshes)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
-from tessera.operators import codecs, scene
+from tessera.operators import scene
 from tessera.operators import sequences as Q
 from tessera.operators import topology as G
 from tessera.sources import fbx, formats, meshes
@@ -108,38 +108,24 @@ def test_octahedral_is_near(spark):
         S.octahedral(F.col("x"), F.col("y"), F.col("z"), 1)
 
 
-def test_deeper_scenes_raise(spark):
-    nodes = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}") for i in range(9)], "node int, parent int, name string")
-    assert scene.flatten(nodes, depth=9).count() == 9
-    assert scene.flatten(nodes.where("node < 8")).count() == 8
+def test_scenes_of_any_depth(spark):
+    checkpoint_folder(spark)
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}") for i in range(12)], "node int, parent int, name string")
+    rows = scene.flatten(nodes).orderBy("key").collect()
+    assert [r.level for r in rows] == list(range(12)) and rows[-1].path.endswith("n10/n11")
     with pytest.raises(ValueError):
-        scene.flatten(nodes)
+        scene.flatten(nodes, most=5)
 
 
 def test_scene(spark):
-    nodes = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 1, "d"), (3, 4, "c")], "node int, parent int, name string")
-    flat = scene.flatten(nodes)
-    assert {r.path for r in flat.collect()} == {"a", "a/b", "a/d", "a/b/c", "a/d/c"}
-    assert [r.node for r in scene.shared(flat).collect()] == [3]
-
-
-@pytest.mark.parametrize("symbols_", [[], [5], [0] * 100, [1, 2, 3] * 50, [random.Random(3).randint(0, 100_000) for _ in range(5000)], [int(random.Random(i).expovariate(0.1)) for i in range(3000)]])
-def test_symbol_coder(symbols_):
-    assert codecs.decode_symbols(codecs.encode_symbols(symbols_)) == symbols_
-
-
-def test_symbol_coder_is_near_the_entropy():
-    rng = random.Random(4)
-    s = [min(9, int(rng.expovariate(1))) for _ in range(20_000)]
-    bits = sum(-math.log2(s.count(x) / len(s)) * s.count(x) for x in set(s))
-    assert len(codecs.encode_symbols(s)) * 8 < 1.02 * bits + 200
-
-
-@pytest.mark.parametrize("n", [0, 1, 2, 500])
-def test_tree_coder(n):
-    rng = random.Random(n)
-    points = [tuple(rng.randint(0, 1023) for _ in range(3)) for _ in range(n)] * 2
-    assert sorted(codecs.decode_points(codecs.encode_points(points))) == sorted(points)
+    checkpoint_folder(spark)
+    nodes = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 1, "d"), (5, 4, "c")], "node int, parent int, name string")
+    assert [r.path for r in scene.flatten(nodes).orderBy("key").collect()] == ["a", "a/b", "a/b/c", "a/d", "a/d/c"]
+    with pytest.raises(ValueError):
+        scene.flatten(nodes.union(spark.createDataFrame([(5, 2, "c")], nodes.schema)))
+    row = spark.range(1).select(F.array(*[F.lit(float(i)) for i in range(16)]).alias("m"))
+    assert row.select(scene.column_major(scene.column_major(F.col("m"))) == F.col("m")).first()[0]
+    assert row.select(F.get(scene.times(F.col("m"), F.col("m")), F.lit(1))).first()[0] == 0 * 1 + 1 * 5 + 2 * 9 + 3 * 13
 
 
 SHAPE = formats.mesh([(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0.5)], [(0, 1, 2), (0, 2, 3)], [(0, 0, 1)] * 4, [(1, 2, 3, 4)] * 4, [], "s")
@@ -182,8 +168,57 @@ def test_glb():
 
     doc["buffers"][0]["uri"] = "data:application/octet-stream;base64," + base64.b64encode(binary).decode()
     assert formats.read_gltf(json.dumps(doc).encode()) == [SHAPE, other, cloud]
-    doc["meshes"][0]["primitives"][0]["extensions"] = {"X_mesh_compression": {}}
-    assert len(formats.read_gltf(json.dumps(doc).encode())) == 2
+    doc["meshes"][0]["primitives"][0]["extensions"] = {"X_packed": {"bufferView": 0, "attributes": {"POSITION": 0}}}
+    with pytest.raises(formats.FormatError):
+        formats.read_gltf(json.dumps(doc).encode())
+    assert formats.compressed_primitives(json.dumps(doc).encode()) == [{"mesh": 0, "primitive": 0, "extension": "X_packed", "view": 0, "attributes": {"POSITION": 0}}]
+
+
+def test_gltf_forms_and_scenes(tmp_path):
+    text, binary = formats.write_gltf([SHAPE], "separate")
+    (tmp_path / "data.bin").write_bytes(binary)
+    assert meshes.parse(f"{tmp_path}/s.gltf", text) == [SHAPE] == formats.read_gltf(formats.write_gltf([SHAPE], "embedded"))
+    with pytest.raises(formats.FormatError):
+        formats.read_gltf(text)
+    tree = [{"node": 0, "parent": None, "name": "r", "mesh": None, "matrix": [float(i) for i in range(16)]}, {"node": 1, "parent": 0, "name": "x", "mesh": 0, "matrix": [1.0 * (i % 5 == 0) for i in range(16)]}, {"node": 2, "parent": 0, "name": "y", "mesh": 1, "matrix": [1.0 * (i % 5 == 0) for i in range(16)]}]
+    data = formats.write_gltf([SHAPE, SHAPE], scene=tree)
+    assert formats.read_gltf_scene(data) == tree
+    doc, _ = formats.split_glb(data)
+    doc["nodes"][1]["children"] = [2]
+    import json
+
+    with pytest.raises(formats.FormatError):
+        formats.read_gltf_scene(json.dumps(doc).encode())
+    turned = formats.node_matrix({"rotation": [0, 0, math.sin(math.pi / 4), math.cos(math.pi / 4)], "translation": [1, 2, 3], "scale": [2, 2, 2]})
+    assert turned == pytest.approx([0, -2, 0, 1, 2, 0, 0, 2, 0, 0, 2, 3, 0, 0, 0, 1])
+    for speed in (5, 10):
+        packed = formats.write_gltf([SHAPE], extension="X_packed", encode=meshes.stream_encoder(b"SHAPE", speed=speed))
+        back = formats.read_gltf(packed, extension="X_packed", decode=meshes.stream_decoder(b"SHAPE"))[0]
+        assert len(back["faces"]) == 2 and sorted(back["colors"]) == sorted(SHAPE["colors"])
+        assert sorted(back["positions"])[0] == pytest.approx(sorted(SHAPE["positions"])[0], abs=1e-3)
+
+
+def test_fbx_scene():
+    number = lambda name, *v: fbx.Record("P", [name, name, "", "A", *v])
+    model = lambda i, *p: fbx.Record("Model", [i, f"m{i}\0\1Model", "Mesh"], [fbx.Record("Properties70", [], list(p))])
+    objects = fbx.Record("Objects", [], [model(1, number("Lcl Translation", 1.0, 2.0, 3.0)), model(2, number("Lcl Rotation", 0.0, 0.0, 90.0), number("Lcl Scaling", 2.0, 2.0, 2.0))])
+    links = fbx.Record("Connections", [], [fbx.Record("C", ["OO", 1, 0]), fbx.Record("C", ["OO", 2, 1])])
+    data = fbx.MAGIC + (7500).to_bytes(4, "little")
+    for r in (objects, links):
+        data += fbx._written(r, len(data), False)
+    a, b = fbx.read_fbx_scene(data + b"\0" * 25)
+    assert (a["node"], a["parent"], a["name"], b["node"], b["parent"]) == (1, None, "m1", 2, 1)
+    assert a["matrix"][12:15] == [1, 2, 3] and b["matrix"][:2] == pytest.approx([0, 2])
+
+
+def test_data_source(spark, tmp_path):
+    from tessera.sources import datasource
+
+    datasource.register(spark)
+    rows = [("a", 0, "one", *[SHAPE[k] for k in ("positions", "normals", "colors", "uvs", "faces")], None)]
+    spark.createDataFrame(rows, meshes.MESH).write.format("shapes").option("form", "ply").mode("append").save(f"{tmp_path}/out")
+    back = spark.read.format("shapes").load(f"{tmp_path}/out").collect()
+    assert len(back) == 1 and [tuple(f) for f in back[0].faces] == SHAPE["faces"] and back[0].error is None
 
 
 def test_fbx():
