@@ -70,6 +70,14 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, name: str) -> DataFrame:
     return first.unionByName(rest).unionByName(none)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with table, which is unique in on and knows in count how many of the total rows each of its rows will meet: those of the hot keys, HOT_SHARE at most, come by
+    broadcast, the others by a shuffle. rows is read twice. Rows without a partner are left out; count is dropped."""
+    hot = table.where(F.col(count) * HOT_SHARE > total)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.where(F.col(count) * HOT_SHARE <= total), on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold).drop(count)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null, without building the words."""
     squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), NOT_WS + "+", "w")

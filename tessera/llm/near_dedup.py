@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tessera.llm.common import lookup, materialize
+from tessera.llm.common import join_counted, lookup, materialize
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -133,8 +133,8 @@ def lists(classes: DataFrame) -> DataFrame:
     """(token, node, rank) for the prefix of each class, tokens of at least two classes, and as rank a struct that is greatest for the class with the
     longest lists and then the smallest doc_id; with order, what places the token in a prefix."""
     posts = classes.select("node", "first", F.posexplode("sig").alias("k", "value")).select("node", "first", F.col("k").cast("long").bitwiseOR(F.shiftleft(F.col("value").cast("long"), 8)).alias("token"))
-    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    found = posts.join(shared, "token")
+    shared = materialize(posts.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "tokens")
+    found = join_counted(posts, shared.withColumn("rows", F.col("size")), ["token"], "rows", K * classes.count())
     own = Window.partitionBy("node")
     found = found.withColumns({"q": F.count(F.lit(1)).over(own), "weight": F.sum("size").over(own)})
     found = found.where(F.col("q") >= M).withColumn("place", F.row_number().over(own.orderBy("size", "token"))).where(F.col("place") <= F.col("q") - (M - 1))
@@ -216,8 +216,9 @@ def _open(links: DataFrame, posts: DataFrame) -> DataFrame:
     """posts of the lists that hold several components so far, with root and main (whether root is the largest of the list)."""
     tied = posts.join(components(links).withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
     tied = materialize(tied, "tied")
-    main = tied.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count(F.lit(1)).alias("roots"))
-    return materialize(tied.join(main.where("roots > 1"), "token").select(*posts.columns, "root", (F.col("root") == F.col("largest")).alias("main")), "open")
+    main = tied.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count(F.lit(1)).alias("roots"), F.sum("count").alias("rows"))
+    main = materialize(main.where("roots > 1").drop("roots"), "main")
+    return materialize(join_counted(tied, main, ["token"], "rows", tied.count()).select(*posts.columns, "root", (F.col("root") == F.col("largest")).alias("main")), "open")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -233,12 +234,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "sig", *_BRIEF)]), "classes")
     posts = materialize(lists(classes), "lists")
     heads = posts.groupBy("token").agg(F.max("rank").alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = posts.join(heads, "token").where("node <> h.node").select(F.col("node").alias("u"), F.col("h.node").alias("v")).distinct()
+    stars = join_counted(posts, materialize(heads, "heads"), ["token"], "size", posts.count()).where("node <> h.node").select(F.col("node").alias("u"), F.col("h.node").alias("v")).distinct()
     links = materialize(confirm(stars, classes, docs), "links")
     for _ in range(ROUNDS):
         tied = _open(links, posts)
-        heads = tied.where("not main").groupBy("token").agg(F.max_by(F.struct("node", "root"), "rank").alias("h"))
-        stars = tied.join(heads, "token").where("root <> h.root").select(F.col("node").alias("u"), F.col("h.node").alias("v")).distinct()
+        heads = tied.groupBy("token").agg(F.max_by(F.struct("node", "root"), F.when(~F.col("main"), F.col("rank"))).alias("h"), F.count(F.lit(1)).alias("size")).where("h is not null")
+        stars = join_counted(tied, materialize(heads, "heads"), ["token"], "size", tied.count()).where("root <> h.root").select(F.col("node").alias("u"), F.col("h.node").alias("v")).distinct()
         links = materialize(links.unionByName(confirm(stars, classes, docs)), "links")
 
     tied = _open(links, posts)
@@ -250,8 +251,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     apart = (F.col("u_root") != F.col("v_root")) & (F.col("v_main") | (F.col("u_node") < F.col("v_node")))
     # a long list is cut into blocks, and every pair of blocks is a key of its own
-    sizes = tied.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = tied.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = tied.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))
+    dealt = join_counted(tied, materialize(sizes, "sizes"), ["token"], "size", tied.count()).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     us = side(dealt.where("not main").withColumn("token", F.explode(F.transform(every, lambda j: F.struct("token", F.col("own").alias("i"), j.alias("j"))))), "u")
     vs = side(dealt.withColumn("token", F.explode(F.transform(every, lambda i: F.struct("token", i.alias("i"), F.col("own").alias("j"))))), "v")

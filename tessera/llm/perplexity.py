@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HOT_SHARE, lookup, materialize
+from tessera.llm.common import join_counted, lookup, materialize
 
 #: Quantile of the trusted texts of a language, and slack of the limit. A language with fewer such texts takes the limit of all together.
 QUANTILE, SLACK, MIN_TRUSTED, HELD_OUT = 0.995, 1.1, 50, 5
@@ -155,13 +155,6 @@ def _contexts(counts: DataFrame, by: list[str], d: list[float]) -> DataFrame:
     return counts.groupBy(*by).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"), (left / F.sum("n")).alias("gamma"))
 
 
-def _joined(rows: DataFrame, table: DataFrame, on: list[str], kinds: str, total: int) -> DataFrame:
-    """rows (written) joined with table, which is unique in on and knows in kinds how many rows each of its rows will meet: those of the few that meet very many come by broadcast."""
-    hot = table.where(F.col(kinds) * HOT_SHARE > total)
-    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.where(F.col(kinds) * HOT_SHARE <= total), on)
-    return rows.join(F.broadcast(hot), on).unionByName(cold).drop(kinds)
-
-
 def train(trusted: DataFrame) -> tuple[DataFrame, float]:
     """(key, value, n) for all n-grams of trusted texts (text), written, and the log probability of an unknown word."""
     tri = trigram_counts(trusted)
@@ -180,12 +173,12 @@ def train(trusted: DataFrame) -> tuple[DataFrame, float]:
     unknown = math.log(rest)
     words = uni.withColumn("p1", _less(F.col("n"), d1) / whole["total"] + rest)
 
-    pairs = _joined(bi, over2.select("b", "kinds", "total", "gamma"), ["b"], "kinds", n_bi)
-    pairs = _joined(materialize(pairs, "pairs"), words.select("c", "p1", F.col("n").alias("kinds")), ["c"], "kinds", n_bi)
+    pairs = join_counted(bi, over2.select("b", "kinds", "total", "gamma"), ["b"], "kinds", n_bi)
+    pairs = join_counted(materialize(pairs, "pairs"), words.select("c", "p1", F.col("n").alias("kinds")), ["c"], "kinds", n_bi)
     lower = F.col("gamma") * F.col("p1")
     pairs = materialize(pairs.select("b", "c", "n", (_less(F.col("n"), d2) / F.col("total") + lower).alias("p2"), lower.alias("lower")), "pairs")
-    three = _joined(tri, over3, ["a", "b"], "kinds", n_tri)
-    three = _joined(materialize(three, "triples"), pairs.select("b", "c", "p2", F.col("n").alias("kinds")), ["b", "c"], "kinds", n_tri)
+    three = join_counted(tri, over3, ["a", "b"], "kinds", n_tri)
+    three = join_counted(materialize(three, "triples"), pairs.select("b", "c", "p2", F.col("n").alias("kinds")), ["b", "c"], "kinds", n_tri)
 
     of3 = three.select(F.xxhash64("a", "b", "c").alias("key"), F.log1p(_less(F.col("n"), d3) / F.col("total") / (F.col("gamma") * F.col("p2"))).alias("value"), "n")
     seen = over3.select(F.col("a").alias("b"), F.col("b").alias("c"), F.log("gamma").alias("weight"), F.col("total").alias("times"))
