@@ -22,6 +22,8 @@ from tessera.llm.common import NOT_WS, WS, materialize
 
 #: Commonest words of a language that are looked for, and how often a text has to have a word to count for it.
 N_COMMON, REPEATS = 50, 3
+#: Parts in which a language's words are ranked.
+PARTS = 64
 SYMBOLS = r"[#*$%&|<>]"
 CLASSES = ("lower", "upper", "digit", "space", "stop", "other")
 #: Words from which the histograms are judged; texts below this are judged by the base rule alone.
@@ -95,8 +97,11 @@ def common_words(docs: DataFrame) -> DataFrame:
     rows = docs.where("lang is not null and text is not null")
     often = let(F.sort_array(word_hashes(split_words(F.col("text")))), lambda s: F.filter(s, last(s)))
     seen = rows.select("lang", F.explode(often).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    best = seen.withColumn("place", F.row_number().over(first)).where(F.col("place") <= N_COMMON)
+    # the best of each of many parts of a language's words, and then the best of these
+    best = materialize(seen, "repeated-words").withColumn("part", F.pmod("word", F.lit(PARTS)))
+    for keys in (("lang", "part"), ("lang",)):
+        first = Window.partitionBy(*keys).orderBy(F.desc("n"), "word")
+        best = best.withColumn("place", F.row_number().over(first)).where(F.col("place") <= N_COMMON).drop("place")
     top = best.groupBy(F.col("lang").alias("__t_lang")).agg(F.sort_array(F.collect_list("word")).alias("__t_top"))
     return materialize(top, "common-words")
 
