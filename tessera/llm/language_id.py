@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ QUANTILE, SLACK = 0.995, 1.25
 SHARPNESS = 12.0
 UNDETERMINED = "und"
 SPACE, START = 32, 1
+#: Distinct grams of a language that a counting task holds; bytes of texts that are Python objects at a time; characters that are scored at a time.
+HELD, PART_BYTES, SCORED = 400_000, 4_000_000, 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,13 +104,23 @@ def slices(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, list[
         yield start, texts[start:]
 
 
+def parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """batch in parts of about PART_BYTES of its text column."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).cumsum()
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + PART_BYTES, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def gram_counts(train: DataFrame) -> DataFrame:
     """lang, gram, n over all texts of train (text, lang). A task holds its distinct grams, and passes them on when they are many."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         def out(lang: str, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
-        for b in batches:
+        for b in (x for whole in batches for x in parts(whole, 0)):
             by: dict[str, list[str]] = {}
             for lang, text in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(text)
@@ -119,7 +132,7 @@ def gram_counts(train: DataFrame) -> DataFrame:
                     have = held.pop(lang, None)
                     if have:
                         keys, n = _summed(np.concatenate([have[0], keys]), np.concatenate([have[1], n]))
-                    if len(keys) > 2_000_000:
+                    if len(keys) > HELD:
                         yield out(lang, keys, n)
                     else:
                         held[lang] = [keys, n]
@@ -222,7 +235,7 @@ class Models:
     def cross_entropies(self, texts: list[str]) -> np.ndarray:
         """Nats per unit of each text under each language."""
         out = np.zeros((len(texts), len(self.langs)))
-        for start, part in slices(texts, 400_000):
+        for start, part in slices(texts, SCORED):
             u, begins = units(part)
             g = grams(u)
             logs = self.log_p(g)
@@ -253,7 +266,7 @@ def _scored(docs: DataFrame, models: Models, limits: dict[str, float]) -> DataFr
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, limits = shared.value
-        for b in batches:
+        for b in (x for whole in batches for x in parts(whole, place)):
             texts = [t or "" for t in b.column(place).to_pylist()]
             ok = has_letter(texts)
             lang, value, entropy = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
