@@ -163,7 +163,8 @@ def js_distance(p: Column, q: Column) -> Column:
         return let(F.transform(a, lambda x: F.coalesce(x, F.lit(0)).cast("double")), lambda d: let(F.aggregate(d, F.lit(0.0), lambda s, x: s + x), lambda s: F.when(s > 0, F.transform(d, lambda x: x / s))))
 
     parts = F.zip_with(shares(p), shares(q), lambda x, y: part(x, y) + part(y, x))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2))
+    whole = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2
+    return F.sqrt(F.when(whole < 0, F.lit(0.0)).otherwise(whole))
 
 
 def with_reference(d: DataFrame, refs: DataFrame) -> DataFrame:
