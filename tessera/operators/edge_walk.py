@@ -365,3 +365,55 @@ def visits(t, order: list[int]) -> tuple[list[int], list[int]]:
                 else:
                     c = right if there(right) else left
     return corners, place
+
+
+def visits_by_degree(t, order: list[int]) -> tuple[list[int], list[int]]:
+    """As visits, but faces whose new vertex more faces predict come first: three stacks, for a vertex that is known, one that has been seen from several faces, and one seen from a single face."""
+    seen_face, seen_from = [False] * (len(t.vertex) // 3), [0] * t.n_vertices
+    place, corners = [NONE] * t.n_vertices, []
+    there = lambda c: c != NONE and not seen_face[c // 3]
+
+    def meet(c: int) -> None:
+        if place[t.vertex[c]] == NONE:
+            place[t.vertex[c]] = len(corners)
+            corners.append(c)
+
+    def rank(c: int) -> int:
+        v = t.vertex[c]
+        if place[v] != NONE:
+            return 0
+        seen_from[v] += 1
+        return 1 if seen_from[v] > 1 else 2
+
+    for start in order:
+        if seen_face[start // 3]:
+            continue
+        stacks, best = [[start], [], []], 0
+        for c in (after(start), before(start), start):
+            meet(c)
+        while True:
+            best = next((k for k in range(3) if stacks[k]), None)
+            if best is None:
+                break
+            c = stacks[best].pop()
+            while there(c):
+                seen_face[c // 3] = True
+                meet(c)
+                right, left = t.opposite[after(c)], t.opposite[before(c)]
+                go = NONE
+                if there(left):
+                    k = rank(left)
+                    if not there(right) and k <= best:
+                        go = left
+                    else:
+                        stacks[k].append(left)
+                        best = min(best, k)
+                if go == NONE and there(right):
+                    k = rank(right)
+                    if k <= best:
+                        go = right
+                    else:
+                        stacks[k].append(right)
+                        best = min(best, k)
+                c = go
+    return corners, place

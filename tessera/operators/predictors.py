@@ -166,6 +166,171 @@ class MeshOrder:
         return [p for c in self.ring(self.corners[i]) if (p := self.parallelogram(i, c))]
 
 
+def _toward_zero(a: int, b: int) -> int:
+    return abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)
+
+
+def texcoord_guesses(i: int, order: MeshOrder, uv, positions) -> tuple[tuple[int, int], tuple[int, int] | None]:
+    """Predictions of the texture coordinates i from those of its face's other two corners, with the face's shape kept: two, one on either side of the edge, or one where nothing tells more. All
+    in integers. positions: those of the same places."""
+    c = order.corners[i]
+    a, b = order.place[order.vertex[after(c)]], order.place[order.vertex[before(c)]]
+    get = lambda j: tuple(int(x) for x in uv[j])
+    if 0 <= a < i and 0 <= b < i:
+        ua, ub = get(a), get(b)
+        if ua == ub:
+            return ub, None
+        tip, pa, pb = ([int(x) for x in positions[j]] for j in (i, a, b))
+        edge = [y - x for x, y in zip(pa, pb, strict=True)]
+        length = sum(x * x for x in edge)
+        if length:
+            along = sum(x * (t - y) for x, t, y in zip(edge, tip, pa, strict=True))
+            foot = [y + _toward_zero(x * along, length) for x, y in zip(edge, pa, strict=True)]
+            height = int_sqrt(sum((t - x) ** 2 for t, x in zip(tip, foot, strict=True)) * length)
+            du, dv = ub[0] - ua[0], ub[1] - ua[1]
+            u, v = ua[0] * length + along * du, ua[1] * length + along * dv
+            side = lambda sign: (_toward_zero(u + sign * dv * height, length), _toward_zero(v - sign * du * height, length))
+            return side(1), side(-1)
+    return (get(a) if 0 <= a < i else get(i - 1) if i else (0, 0)), None
+
+
+def texcoord_residuals(uv: np.ndarray, positions: np.ndarray, order: MeshOrder) -> tuple[np.ndarray, list[bool]]:
+    """Wrapped residuals, and for each place with two predictions whether the first was taken, the nearer one."""
+    wrap, guesses, sides = Wrap.of(uv), [], []
+    for i in range(len(uv)):
+        one, other = texcoord_guesses(i, order, uv, positions)
+        if other is not None:
+            far = lambda g, i=i: sum((int(x) - y) ** 2 for x, y in zip(uv[i], g, strict=True))
+            sides.append(far(one) < far(other))
+            one = one if sides[-1] else other
+        guesses.append(one)
+    return wrap.encode(uv.astype(np.int64), np.array(guesses, np.int64).reshape(-1, 2)), sides
+
+
+def texcoords_restored(coded: np.ndarray, positions: np.ndarray, order: MeshOrder, wrap: Wrap, sides: list[bool]) -> np.ndarray:
+    out, left = np.zeros((len(coded), 2), np.int64), iter(sides)
+    for i in range(len(coded)):
+        one, other = texcoord_guesses(i, order, out, positions)
+        guess = one if other is None or next(left) else other
+        out[i] = wrap.decode(coded[i], np.array(guess))
+    return out
+
+
+#: A sum of cross products is scaled down beyond this.
+NORMAL_LIMIT = 1 << 29
+
+
+def face_normal(order: MeshOrder, positions: np.ndarray, i: int) -> tuple[int, int, int]:
+    """Sum of the cross products of the faces around a place, so that larger faces weigh more, scaled to stay within NORMAL_LIMIT."""
+    at = lambda c: positions[order.place[order.vertex[c]]].astype(object)
+    total, middle = [0, 0, 0], positions[i].astype(object)
+    for c in order.ring(order.corners[i]):
+        u, w = at(after(c)) - middle, at(before(c)) - middle
+        for k in range(3):
+            total[k] += int(u[(k + 1) % 3] * w[(k + 2) % 3] - u[(k + 2) % 3] * w[(k + 1) % 3])
+    size = sum(map(abs, total))
+    if size > NORMAL_LIMIT:
+        by = size // NORMAL_LIMIT
+        total = [_toward_zero(x, by) for x in total]
+    return tuple(total)
+
+
+def vector_octahedral(vector: tuple[int, int, int], bits: int) -> tuple[int, int]:
+    """An integer vector as octahedral (s, t), canonical."""
+    center = (1 << (bits - 1)) - 1
+    return tuple(octahedral(np.array([canonical_vector(*vector, center)], float) / center, bits)[0].tolist())
+
+
+def geometric_normal_residuals(st: np.ndarray, positions: np.ndarray, order: MeshOrder, bits: int) -> tuple[np.ndarray, list[bool]]:
+    """Residuals of normals against the surface's own, and whether that was turned around, which it is where the residual gets smaller."""
+    o, out, flips = Octahedron(bits), [], []
+    for i, v in enumerate(st):
+        n = face_normal(order, positions, i)
+        both = [o.encode(v, vector_octahedral(tuple(sign * x for x in n), bits)) for sign in (1, -1)]
+        size = [sum(abs(o.mod_max(x)) for x in r) for r in both]
+        flips.append(size[1] < size[0])
+        out.append(both[flips[-1]])
+    return np.array(out, np.int64).reshape(-1, 2), flips
+
+
+def geometric_normals_restored(coded: np.ndarray, positions: np.ndarray, order: MeshOrder, bits: int, flips: list[bool]) -> np.ndarray:
+    o = Octahedron(bits)
+    guess = lambda i: vector_octahedral(tuple((-1 if flips[i] else 1) * x for x in face_normal(order, positions, i)), bits)
+    return np.array([o.decode(r, guess(i)) for i, r in enumerate(coded)], np.int64).reshape(-1, 2)
+
+
+class Tracker:
+    """Symbols so far, and what an ideal coder takes for them."""
+
+    def __init__(self):
+        self.counts: dict[int, int] = {}
+        self.n, self.sum = 0, 0.0
+
+    def bits(self, more: list[int] = ()) -> int:
+        """With more symbols, which are not kept."""
+        extra: dict[int, int] = {}
+        for x in more:
+            extra[x] = extra.get(x, 0) + 1
+        xlog = lambda k: k * math.log2(k) if k else 0.0
+        total = self.sum + sum(xlog(self.counts.get(x, 0) + k) - xlog(self.counts.get(x, 0)) for x, k in extra.items())
+        return math.ceil(round(xlog(self.n + len(more)) - total, 6))
+
+    def push(self, more: list[int]) -> None:
+        for x in more:
+            k = self.counts.get(x, 0)
+            self.sum += (k + 1) * math.log2(k + 1) - (k * math.log2(k) if k else 0.0)
+            self.counts[x], self.n = k + 1, self.n + 1
+
+
+def constrained_residuals(values: np.ndarray, order: MeshOrder) -> tuple[np.ndarray, list[list[bool]]]:
+    """Residuals against the average of the best choice of up to MAX_PARALLELOGRAMS parallelograms, and for each number of them the flags of those left out, by place. The choice is the one of fewest bits, of
+    residuals as all so far are coded and of its flags; then the one of the least residuals."""
+    values = values.astype(np.int64)
+    wrap, tracker = Wrap.of(values), Tracker()
+    flags: list[list[bool]] = [[] for _ in range(MAX_PARALLELOGRAMS)]
+    left_out, all_flags = [0] * MAX_PARALLELOGRAMS, [0] * MAX_PARALLELOGRAMS
+    out = np.zeros_like(values)
+    for i in range(len(values)):
+        ps = order.parallelograms(i)[:MAX_PARALLELOGRAMS] if i else []
+        tries = [((), values[i - 1] if i else np.zeros_like(values[0]))] if i or not ps else []
+        guesses = [values[a] + values[b] - values[far] for a, b, far in ps]
+        for choice in range(1, 1 << len(ps)):
+            used = tuple(k for k in range(len(ps)) if choice >> k & 1)
+            tries.append((used, _average([guesses[k] for k in used])))
+        scored = []
+        for used, guess in tries:
+            r = wrap.encode(values[i], guess)
+            symbols = [int(2 * x if x >= 0 else -2 * x - 1) for x in r]
+            cost = tracker.bits(symbols)
+            if ps:
+                k, n = left_out[len(ps) - 1] + len(ps) - len(used), all_flags[len(ps) - 1] + len(ps)
+                p = k / n
+                cost += math.ceil(0 if p in (0, 1) else -n * (p * math.log2(p) + (1 - p) * math.log2(1 - p)))
+            scored.append((cost, int(np.abs(r).sum()), used, r, symbols))
+        _, _, used, r, symbols = min(scored, key=lambda x: x[:2])
+        tracker.push(symbols)
+        if ps:
+            flags[len(ps) - 1] += [k not in used for k in range(len(ps))]
+            left_out[len(ps) - 1] += len(ps) - len(used)
+            all_flags[len(ps) - 1] += len(ps)
+        out[i] = r
+    return out, flags
+
+
+def _average(guesses: list) -> np.ndarray:
+    return np.array([_toward_zero(int(x), len(guesses)) for x in sum(guesses)], np.int64)
+
+
+def constrained_restored(coded: np.ndarray, order: MeshOrder, wrap: Wrap, flags: list[list[bool]]) -> np.ndarray:
+    out, left = np.zeros_like(coded.astype(np.int64)), [iter(x) for x in flags]
+    for i in range(len(coded)):
+        ps = order.parallelograms(i)[:MAX_PARALLELOGRAMS] if i else []
+        used = [p for p in ps if not next(left[len(ps) - 1])]
+        guess = _average([out[a] + out[b] - out[far] for a, b, far in used]) if used else out[i - 1] if i else np.zeros_like(out[0])
+        out[i] = wrap.decode(coded[i], guess)
+    return out
+
+
 def _guess(method: int, order: MeshOrder | None, values: np.ndarray, i: int) -> np.ndarray:
     """The prediction of value i from those before it: the fallback is the value before, and 0 for the first."""
     if i and method == PARALLELOGRAM and (p := order.parallelogram(i, order.corners[i])):

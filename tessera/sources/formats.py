@@ -66,14 +66,20 @@ def _corner(text: str, nv: int, nt: int, nn: int) -> tuple:
     return at(parts[0], nv), at(parts[1], nt), at(parts[2], nn)
 
 
-def write_obj(meshes: list[dict]) -> bytes:
-    """All meshes in one file, indices running on."""
+def read_obj_positions(data: bytes) -> list[tuple[float, float, float]]:
+    """The v lines alone."""
+    return read_obj(b"\n".join(x for x in data.splitlines() if x.lstrip()[:2] == b"v "))["positions"]
+
+
+def write_obj(meshes: list[dict], precision: int = 6) -> bytes:
+    """All meshes in one file, indices running on; numbers with so many decimals."""
+    number = f"%.{precision}f"
     out, base = [], 1
     for m in meshes:
         if m["name"]:
             out.append(f"o {m['name']}")
-        out += ["v %.6f %.6f %.6f" % tuple(p) for p in m["positions"]]
-        out += ["vn %.6f %.6f %.6f" % tuple(n) for n in m["normals"]]
+        out += [f"v {number} {number} {number}" % tuple(p) for p in m["positions"]]
+        out += [f"vn {number} {number} {number}" % tuple(n) for n in m["normals"]]
         corner = "{0}//{0}" if m["normals"] else "{0}"
         out += ["f " + " ".join(corner.format(i + base) for i in f) for f in m["faces"]]
         base += len(m["positions"])
@@ -161,7 +167,20 @@ def _ply_binary(body: bytes, elements, order: str) -> dict:
     return rows
 
 
-def write_ply(m: dict, form: str = "ascii") -> bytes:
+def ply_info(data: bytes) -> dict:
+    """The header: form, and the elements with their counts and properties."""
+    lines = [x.split() for x in data[: data.index(b"end_header")].decode("ascii", "replace").splitlines()]
+    out = {"form": next((p[1] for p in lines if p[:1] == ["format"]), None), "elements": []}
+    for p in lines:
+        if p[:1] == ["element"]:
+            out["elements"].append({"name": p[1], "count": int(p[2]), "properties": []})
+        elif p[:1] == ["property"] and out["elements"]:
+            out["elements"][-1]["properties"].append({"name": p[-1], "type": " ".join(p[1:-1])})
+    return out
+
+
+def write_ply(m: dict, form: str = "ascii", precision: int | None = None) -> bytes:
+    """precision: decimals of ASCII numbers; without it as many as single precision needs."""
     order = {"ascii": "", "binary_little_endian": "<", "binary_big_endian": ">"}[form]
     n, columns = len(m["positions"]), [("float x", "f4"), ("float y", "f4"), ("float z", "f4")]
     normals, colors = len(m["normals"]) == n > 0, len(m["colors"]) == n > 0
@@ -170,7 +189,7 @@ def write_ply(m: dict, form: str = "ascii") -> bytes:
     head = ["ply", f"format {form} 1.0", f"element vertex {n}", *(f"property {c}" for c, _ in columns), f"element face {len(m['faces'])}", "property list uchar int vertex_indices", "end_header"]
     head = ("\n".join(head) + "\n").encode()
     if not order:
-        return head + "".join(" ".join(repr(float(np.float32(x))) if columns[j][1] == "f4" else str(int(x)) for j, x in enumerate(r)) + "\n" for r in rows).encode() + "".join(f"3 {a} {b} {c}\n" for a, b, c in m["faces"]).encode()
+        return head + "".join(" ".join((repr(float(np.float32(x))) if precision is None else f"{x:.{precision}f}") if columns[j][1] == "f4" else str(int(x)) for j, x in enumerate(r)) + "\n" for r in rows).encode() + "".join(f"3 {a} {b} {c}\n" for a, b, c in m["faces"]).encode()
     body = np.array(rows, np.dtype([(c, order + k) for c, k in columns])).tobytes() if rows else b""
     return head + body + b"".join(struct.pack(order + "B3i", 3, *f) for f in m["faces"])
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessera.operators import predictors as P
 from tessera.operators.bitcoding import Reader, StreamError, decode_points, decode_symbols, encode_points, encode_symbols, signed_varint, unzigzag, varint
 from tessera.operators.corner_table import CornerTable
-from tessera.operators.edge_walk import Unwalked, visits, walk, walk_bytes
+from tessera.operators.edge_walk import Unwalked, visits, visits_by_degree, walk, walk_bytes
 
 #: Fixed values of the format.
 CLOUD, MESH_GEOMETRY = 0, 1
@@ -293,7 +293,7 @@ def _read_indices(r: Reader, n_faces: int, n_points: int) -> np.ndarray:
 
 
 def write_stream(shape: Shape, word: bytes, bits: dict[int, int] | None = None, speed: int = 7, tree: bool = False) -> bytes:
-    """A mesh (speed 10: sequential; 4 to 9: edge walk) or, without faces, a cloud (sequential, or tree coded). bits: quantization by kind of attribute; 0 or none keeps floats as they are."""
+    """A mesh (speed 10: sequential; 0 to 9: edge walk, at 0 with values by degree; predictors are differences from 8 on and parallelograms below) or, without faces, a cloud (sequential, or tree coded). bits: quantization by kind of attribute; 0 or none keeps floats as they are."""
     bits = bits or {}
     if len(word) != 5:
         raise StreamError("the word has five bytes")
@@ -312,14 +312,14 @@ def write_stream(shape: Shape, word: bytes, bits: dict[int, int] | None = None,
     if speed == 10:
         body = varint(len(faces)) + varint(n) + b"\1" + index_bytes(faces, n)
         return head(MESH_VERSION, MESH_GEOMETRY, SEQUENTIAL) + body + b"\1" + _attributes(shape, np.arange(n), bits, speed, MESH_VERSION, None, False)
-    if not 4 <= speed <= 9:
+    if not 0 <= speed <= 9:
         raise StreamError(f"speed {speed}")
     t = CornerTable(faces.tolist())
     w = walk(t)
-    corners, place = visits(t, w.order())
+    corners, place = (visits_by_degree if speed == 0 else visits)(t, w.order())
     order = P.MeshOrder(t.vertex, t.opposite, corners, place)
     rows = faces.ravel()[corners]
-    kind = struct.pack("<BbBB", 1, -1, 0, 0)  # one coder for all attributes, of the mesh's own connectivity, depth first
+    kind = struct.pack("<BbBB", 1, -1, 0, speed == 0)  # one coder for all attributes, of the mesh's own connectivity, and the order of values
     return head(MESH_VERSION, MESH_GEOMETRY, OTHER) + walk_bytes(t, w) + kind + _attributes(shape, rows, bits, speed, MESH_VERSION, order, False)
 
 
@@ -377,9 +377,9 @@ def _read_mesh(r: Reader, h: Header) -> Shape:
         raise StreamError("an edge walk of an older version")
     t = Unwalked(r)
     kinds = [struct.unpack("<bBB", r.take(3)) for _ in range(r.take(1)[0])]
-    if any(k != (-1, 0, 0) for k in kinds):
-        raise StreamError("values in another order than depth first")
-    corners, place = visits(t, t.order())
+    if any(k[:2] != (-1, 0) or k[2] > 1 for k in kinds) or len(set(kinds)) > 1:
+        raise StreamError("values of another connectivity or order")
+    corners, place = (visits_by_degree if kinds and kinds[0][2] else visits)(t, t.order())
     order = P.MeshOrder(t.vertex, t.opposite, corners, place)
     out = Shape(np.array(t.vertex, np.int64).reshape(-1, 3))
     for _ in kinds:
@@ -432,6 +432,12 @@ def _read_tree(r: Reader, n: int) -> list[Attribute]:
     return out
 
 
+def stats(data: bytes) -> dict:
+    """What a stream is: geometry, method, version, bytes, points, faces and the kinds of its attributes."""
+    h, shape = read_header(data), read_stream(data)
+    return {"geometry": ("cloud", "mesh")[h.geometry], "method": ("sequential", "tree" if h.geometry == CLOUD else "edge_walk")[h.method], "version": f"{h.major}.{h.minor}", "bytes": len(data), "points": shape.n_points, "faces": 0 if shape.faces is None else len(shape.faces), "kinds": [a.kind for a in shape.attributes]}
+
+
 # --- over tables
 
 

@@ -154,6 +154,13 @@ def test_obj():
     assert back["faces"] == SHAPE["faces"] + [tuple(i + 4 for i in f) for f in SHAPE["faces"]]
 
 
+def test_options_of_writers():
+    assert b"v 0.00 1.00 0.50\n" in formats.write_obj([SHAPE], precision=2)
+    assert formats.read_obj_positions(formats.write_obj([SHAPE])) == SHAPE["positions"]
+    info = formats.ply_info(formats.write_ply(SHAPE, precision=1))
+    assert info["form"] == "ascii" and [(e["name"], e["count"]) for e in info["elements"]] == [("vertex", 4), ("face", 2)] and info["elements"][0]["properties"][0] == {"name": "x", "type": "float"}
+
+
 def test_glb():
     other = {**SHAPE, "uvs": [(0.5, 0.25)] * 4, "name": "t", "colors": []}
     cloud = {**SHAPE, "faces": [], "normals": [], "colors": [], "name": "c"}

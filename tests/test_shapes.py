@@ -176,6 +176,48 @@ def test_residuals(method):
         assert (P.residuals(plane, method, P.Wrap.of(plane), order) != 0).sum() <= 4
 
 
+def surface(n=6, seed=3):
+    """A bumpy grid: its order, positions, texture coordinates and normals by place."""
+    t = CornerTable(grid(n))
+    corners, place = W.visits(t, W.walk(t).order())
+    points = [t.faces[c // 3][c % 3] for c in corners]
+    rng = np.random.RandomState(seed)
+    positions = np.array([(40 * (p % (n + 1)), 40 * (p // (n + 1)), rng.randint(0, 9)) for p in points], np.int64)
+    return P.MeshOrder(t.vertex, t.opposite, corners, place), positions, positions[:, :2] * 3 + rng.randint(0, 3, (len(points), 2)), P.octahedral(rng.randn(len(points), 3), 10)
+
+
+def test_texcoords_and_normals_by_shape():
+    order, positions, uv, st = surface()
+    r, sides = P.texcoord_residuals(uv, positions, order)
+    assert (P.texcoords_restored(r, positions, order, P.Wrap.of(uv), sides) == uv).all()
+    flat = positions * np.array([1, 1, 0])
+    exact, _ = P.texcoord_residuals(flat[:, :2] * 2, flat, order)  # a plane keeps its shape, but for its first edge
+    assert (np.abs(exact).max(1) > 1).sum() <= 3
+    r, flips = P.geometric_normal_residuals(st, positions, order, 10)
+    assert (P.geometric_normals_restored(r, positions, order, 10, flips) == st).all()
+    up = P.octahedral(np.array([(0, 0, 1.0)] * len(st)), 10)
+    assert P.geometric_normal_residuals(up, flat, order, 10)[0].max() == 0
+    assert P.int_sqrt(10**30 - 1) == 10**15 - 1 and P.canonical_vector(0, 0, 0, 511) == (511, 0, 0)
+
+
+def test_constrained_parallelograms():
+    order, positions, uv, _ = surface()
+    for v in (uv, positions):
+        r, flags = P.constrained_residuals(v, order)
+        assert (P.constrained_restored(r, order, P.Wrap.of(v), flags) == v).all()
+    tracker = P.Tracker()
+    tracker.push([1, 1, 2, 2])
+    assert tracker.bits() == 4 and tracker.bits([1, 1, 2, 2]) == 8
+
+
+def test_orders_meet_every_vertex():
+    for faces in (torus(), ANNULUS, grid(5, {(2, 2)}), BOW_TIE):
+        t = CornerTable(faces)
+        for order in (W.visits, W.visits_by_degree):
+            corners, place = order(t, W.walk(t).order())
+            assert sorted(place) == list(range(t.n_vertices)) and [t.vertex[c] for c in corners] == sorted(range(t.n_vertices), key=place.__getitem__)
+
+
 WORD = b"SHAPE"
 
 
@@ -188,7 +230,7 @@ def shape(n=6, seed=0):
     return T.Shape(np.array(grid(n)), [T.Attribute(k, v) for k, v in values])
 
 
-@pytest.mark.parametrize("speed", [4, 5, 7, 8, 9, 10])
+@pytest.mark.parametrize("speed", [0, 1, 4, 5, 7, 8, 9, 10])
 def test_mesh_streams(speed):
     a = shape()
     b = T.read_stream(T.write_stream(a, WORD, {T.POSITION: 14, T.NORMAL: 10}, speed), WORD)
@@ -197,6 +239,7 @@ def test_mesh_streams(speed):
     assert x.keys() == y.keys() and len(b.faces) == 72
     for k in x:
         assert x[k][0] == pytest.approx(y[k][0], abs=1e-4) and x[k][1] == pytest.approx(y[k][1], abs=1e-2) and x[k][3] == y[k][3]
+    assert T.stats(T.write_stream(a, WORD, {T.POSITION: 14, T.NORMAL: 10}, speed))["method"] == ("sequential" if speed == 10 else "edge_walk")
     exact = T.read_stream(T.write_stream(a, WORD, {}, 10))
     assert (exact.attributes[0].values == a.attributes[0].values).all() and (exact.faces == a.faces).all()
 
