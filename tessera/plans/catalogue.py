@@ -1,4 +1,8 @@
-"""The queries over the driver's tables, each with the SQL that gives the same rows."""
+"""The queries over the driver's tables, each with the SQL that gives the same rows.
+
+Unless a query says otherwise: an empty table gives no rows (and an aggregate over all rows one row of zeros or nulls); a null component or symbol takes part in no minimum, sum or residual, and its own result is null; rows that
+are equal in all ordering columns are interchangeable, and orders are completed by ids, so that reruns agree; polygons of fewer than three points give no face, and faces with a repeated point (no area) take part in no topology.
+"""
 
 from __future__ import annotations
 

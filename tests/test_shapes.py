@@ -10,7 +10,7 @@ import pytest
 from tessera.operators import bitcoding as B
 from tessera.operators import edge_walk as W
 from tessera.operators import predictors as P
-from tessera.operators.corner_table import NONE, CornerTable, corner_rows, is_flat, points_by_seams
+from tessera.operators.corner_table import NONE, CornerTable, corner_rows, is_flat, points_by_seams, split_by_seams
 from tessera.sources import streams as T
 
 
@@ -110,8 +110,13 @@ def test_seams():
     seams, inner = two.seams([0, 1, 2, 9, 1, 3])
     assert seams.count(True) == 6 and inner
     assert len(set(points_by_seams(two, [seams]))) == 6 and len(set(points_by_seams(two, [two.seams([0, 1, 2, 2, 1, 3])[0]]))) == 4
+    own = split_by_seams(two, seams)
+    assert own.opposite == [NONE] * 6 and own.n_vertices == 6 and not any(own.faults().values())
     t = CornerTable(torus())
-    assert len(set(points_by_seams(t, [[False] * 150]))) == 25
+    assert len(set(points_by_seams(t, [[False] * 150]))) == 25 and split_by_seams(t, [False] * 150).n_vertices == 25
+    # a cut once around the torus: its five vertices are met twice
+    cut = [o // 3 != c // 3 and {t.vertex[c - c % 3 + (c + 1) % 3], t.vertex[c - c % 3 + (c + 2) % 3]} <= set(range(5)) for c, o in enumerate(t.opposite)]
+    assert split_by_seams(t, cut).n_vertices == 30 and len(split_by_seams(t, cut).loops()) == 2 and len(set(points_by_seams(t, [cut]))) == 30
 
 
 def test_corner_rows(spark):
