@@ -386,6 +386,31 @@ def test_perplexity_is_that_of_the_model(spark, monkeypatch, small):
         assert value is None or math.exp(-r.log_p / r.n) == pytest.approx(value, rel=1e-6)
 
 
+def test_perplexity_in_passes_leaves_only_the_model(spark, monkeypatch):
+    """Many passes give the values of the formula, and no shuffle file or table of the training stays on disk."""
+    import glob
+    import math
+    import os
+
+    monkeypatch.setattr(perplexity, "PASS_ROWS", 300)
+    rng = random.Random(10)
+    texts = [prose(rng, 40, lang) for lang in ("en", "fr") for _ in range(40)]
+    brute = kneser_ney(texts[:60])
+    shared = perplexity.materialize(spark.range(1), "here").inputFiles()[0].removeprefix("file://").rpartition("/here-")[0]
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    shuffles = lambda: {x for x in glob.glob(f"{local}/**/shuffle_*", recursive=True) if os.path.getsize(x)}
+    tables, files = set(os.listdir(shared)), shuffles()
+    model, unknown = perplexity.train(spark.createDataFrame([(t,) for t in texts[:60]], "text string"))
+    assert {x.partition("-")[0] for x in set(os.listdir(shared)) - tables} == {"model"}
+    assert not shuffles() - files
+    value = {r.key: r.value for r in model.collect()}
+    assert len(value) == model.count()
+    for t in texts:
+        tokens, own = perplexity.runs([t], perplexity.Words())
+        log_p = unknown * (len(tokens) - 2) + sum(value.get(k, 0.0) for ks, _ in perplexity.keys(tokens, own) for k in ks.view("int64").tolist())
+        assert math.exp(-log_p / (len(tokens) - 2)) == pytest.approx(brute(t)[1], rel=1e-6)
+
+
 def test_perplexity_limits(spark):
     """kept against the formula: quantiles of held-out trusted texts by language, or of all together."""
     rng = random.Random(19)
