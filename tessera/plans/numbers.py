@@ -55,7 +55,8 @@ def diamond(spark, d):
 u AS (SELECT *, CASE WHEN l = 0 THEN 511 ELSE sign(x) * (abs(x) * 511 // l) END AS a, CASE WHEN l = 0 THEN 0 ELSE sign(y) * (abs(y) * 511 // l) END AS b FROM w)
 SELECT vec_id, CAST(a AS BIGINT) AS x, CAST(b AS BIGINT) AS y, CAST(CASE WHEN l = 0 THEN 0 WHEN z < 0 THEN -(511 - abs(a) - abs(b)) ELSE 511 - abs(a) - abs(b) END AS BIGINT) AS z FROM u""")
 def canonical_vectors(spark, d):
-    v = [F.floor(F.get("embedding", F.lit(i)) * 1000).cast("long") for i in range(3)]
+    """Components are scaled in single precision, as they are given."""
+    v = [F.floor(S.f32(F.get("embedding", F.lit(i))) * F.lit(1000.0).cast("float")).cast("long") for i in range(3)]
     return table(spark, d, "embeddings").select("vec_id", *[c.cast("long").alias(n) for c, n in zip(S.canonical_vector(*v, CENTER), "xyz", strict=True)])
 
 
