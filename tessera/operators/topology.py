@@ -198,11 +198,53 @@ def vertex_normals(faces: DataFrame, positions: DataFrame) -> DataFrame:
     return each.groupBy("m", "v").agg(*[F.sum(c).alias(c) for c in "xyz"])
 
 
-def plain_index_bytes(faces: DataFrame) -> DataFrame:
-    """(m, points, bytes): size of face indices as they stand, by the number of points one byte each, two, a varint, or four."""
-    new = renumbered(faces)
-    points = new.groupBy("m").agg(F.count(F.lit(1)).alias("points"))
-    used = corners(faces).join(new.withColumnRenamed("point", "tip"), ["m", "tip"]).join(points, "m")
+#: Keys and corners are counted in runs of so many (a power of two), so that no task counts all of a large mesh.
+RUN = 12
+
+
+def ring_places(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows (m, point, and the columns of order, the first an integer) -> (m, i, n, point): each row's place in its mesh's ring, and the ring's length, nulls last. Rings are not collected: places are
+    counted within runs of the first column and the runs before are added."""
+    cut = rows.withColumn("run", F.coalesce(F.shiftright(F.col(order[0]).cast("long"), RUN), F.lit((1 << 62) - 1)))
+    runs = cut.groupBy("m", "run").agg(F.count(F.lit(1)).alias("own"))
+    whole = Window.partitionBy("m")
+    before = F.sum("own").over(whole.orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("m", "run", F.coalesce(before, F.lit(0)).alias("outer"), F.sum("own").over(whole).alias("n"))
+    inner = F.row_number().over(Window.partitionBy("m", "run").orderBy(*[F.col(c).asc_nulls_last() for c in order])) - 1
+    return cut.select("m", "run", inner.alias("inner"), "point").join(runs, ["m", "run"]).select("m", (F.col("outer") + F.col("inner")).alias("i"), "n", "point")
+
+
+def fan_uses(places: DataFrame) -> DataFrame:
+    """places (m, i, n, point) of rings -> point_uses of their fans."""
+    i, n = F.col("i"), F.col("n")
+    uses = F.when(i == 0, n - 2).when((i == 1) | (i == n - 1), 1).otherwise(2)
+    return places.where("n >= 3").groupBy("m", "point").agg(F.sum(uses).alias("uses"), F.min(F.when(i < 2, i).otherwise(3 * i - 4)).alias("first"))
+
+
+def point_uses(faces: DataFrame) -> DataFrame:
+    """(m, point, uses, first): the number of corners at each point of a mesh, and the first of them."""
+    return corners(faces).groupBy("m", F.col("tip").alias("point")).agg(F.count(F.lit(1)).alias("uses"), F.min("corner").cast("long").alias("first"))
+
+
+def index_bytes(uses: DataFrame) -> DataFrame:
+    """point_uses -> (m, points, bytes): size of face indices as they stand, by the number of points one byte each, two, a varint, or four. Points are numbered by first use; only those of
+    the runs that begin below 2^14 are numbered one by one, as all later ones have three bytes."""
+    own = uses.where("m is not null").withColumn("run", F.shiftright("first", RUN))
+    whole = Window.partitionBy("m")
+    counts = own.groupBy("m", "run").agg(F.count(F.lit(1)).alias("points_"), F.sum(F.when(F.col("point").isNotNull(), F.col("uses"))).alias("uses_"))
+    outer = F.coalesce(F.sum("points_").over(whole.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     n = F.col("points")
-    width = F.when(n < 256, 1).when(n < 65536, 2).when(n < 2**21, S.varint_length(F.col("new"))).otherwise(4)
-    return used.groupBy("m", "points").agg(F.sum(width).alias("bytes"))
+    varints = (n >= 65536) & (n < 2**21)
+    runs = counts.select("m", "run", "uses_", outer.alias("outer"), F.sum("points_").over(whole).alias("points"))
+    width = F.when(n < 256, 1).when(n < 65536, 2).when(n < 2**21, 3).otherwise(4)
+    total = runs.groupBy("m", "points").agg(F.sum(F.col("uses_") * width).alias("all"))
+    early = runs.where(varints & (F.col("outer") < 1 << 14)).select("m", "run", "outer")
+    new = F.col("outer") + F.row_number().over(Window.partitionBy("m", "run").orderBy("first")) - 1
+    short = own.join(early, ["m", "run"]).select("m", "point", "uses", new.alias("new")).where("point is not null")
+    saved = short.groupBy("m").agg(F.sum(F.col("uses") * (3 - S.varint_length(F.col("new")))).alias("saved"))
+    return total.where("all is not null").join(saved, "m", "left").select("m", "points", (F.col("all") - F.coalesce("saved", F.lit(0))).alias("bytes"))
+
+
+def plain_index_bytes(faces: DataFrame) -> DataFrame:
+    """(m, points, bytes) of faces."""
+    return index_bytes(point_uses(faces))
