@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar as S
 
 
+def settled(d: DataFrame, **columns) -> DataFrame:
+    """d with more columns that are evaluated here, once a row. Without this the optimizer writes them into the lambdas that use them, where they are evaluated for every element."""
+    return d.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def fan(polygons: DataFrame) -> DataFrame:
     """(m, ring) -> faces: ring (a0, a1, ...) as (a0, aj, aj+1); rings of fewer than three points give none."""
     faces = F.transform(F.sequence(F.lit(1), F.size("ring") - 2), lambda j: F.struct((j - 1).alias("f"), F.get("ring", F.lit(0)).alias("p0"), F.get("ring", j).alias("p1"), F.get("ring", j + 1).alias("p2")))
