@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +34,11 @@ def corners(faces: DataFrame) -> DataFrame:
     return faces.select("m", "f", F.inline(three)).select("m", (3 * F.col("f") + F.col("k")).alias("corner"), "f", "tip", "src", "snk")
 
 
-_HALF = "struct<corner:int,tip:bigint,forward:boolean,at_src:string,at_snk:string>"
-
-
-def _matched(half: F.Column) -> F.Column:
-    """Pairs of the half-edges of one edge (an array in the order of their corners): each takes the first waiting one of the other direction with another tip, or waits itself. Nearly
-    all edges have one or two."""
-    start = F.struct(F.array().cast(f"array<{_HALF}>").alias("waiting"), F.array().cast(f"array<struct<x:{_HALF},y:{_HALF}>>").alias("pairs"))
+def _matched(half: F.Column, kind: str) -> F.Column:
+    """Pairs of the half-edges of one edge (an array of structs of that kind in the order of their corners): each takes the first waiting one of the other direction with another tip, or waits itself. Nearly
+    all edges have one or two, which need no walk over the list."""
+    none = F.array().cast(f"array<struct<x:{kind},y:{kind}>>")
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("waiting"), none.alias("pairs"))
 
     def step(state, h):
         fits = F.filter(state["waiting"], lambda x: (x["forward"] != h["forward"]) & (x["tip"] != h["tip"]))
@@ -47,15 +49,18 @@ def _matched(half: F.Column) -> F.Column:
             F.when(waits, state["pairs"]).otherwise(F.concat(state["pairs"], F.array(F.struct(h.alias("x"), other.alias("y"))))).alias("pairs"),
         )
 
-    return F.aggregate(half, start, step, lambda state: state["pairs"])
+    first, second = F.get(half, F.lit(0)), F.get(half, F.lit(1))
+    two = F.when((first["forward"] != second["forward"]) & (first["tip"] != second["tip"]), F.array(F.struct(second.alias("x"), first.alias("y")))).otherwise(none)
+    return F.when(F.size(half) == 2, two).otherwise(F.aggregate(half, start, step, lambda state: state["pairs"]))
 
 
 def edge_pairs(c: DataFrame) -> DataFrame:
-    """c (m, corner, tip, src, snk, and maybe the values at_src and at_snk) -> (m, x, y): the two half-edges of every edge that two faces share. One shuffle, by edge."""
-    value = lambda name: (F.col(name).cast("string") if name in c.columns else F.lit(None).cast("string")).alias(name)
-    half = F.struct(F.col("corner").cast("int").alias("corner"), F.col("tip").cast("long").alias("tip"), (F.col("src") < F.col("snk")).alias("forward"), value("at_src"), value("at_snk"))
-    by_edge = c.groupBy("m", F.least("src", "snk").alias("a"), F.greatest("src", "snk").alias("b")).agg(F.array_sort(F.collect_list(half)).alias("half"))
-    return by_edge.where(F.size("half") > 1).select("m", F.inline(_matched(F.col("half"))))
+    """c (m, corner, tip, src, snk, and maybe further values) -> (m, x, y, a, b): the two half-edges of every edge from a to b that two faces share, with the values of their corners. One shuffle, by edge."""
+    more = [x for x in c.columns if x not in ("m", "corner", "f", "tip", "src", "snk")]
+    half = F.struct(F.col("corner").cast("int").alias("corner"), F.col("tip").cast("long").alias("tip"), (F.col("src") < F.col("snk")).alias("forward"), *more)
+    by_edge = c.groupBy("m", F.least("src", "snk").alias("a"), F.greatest("src", "snk").alias("b")).agg(F.array_sort(F.collect_list(half)).alias("half")).where(F.size("half") > 1)
+    kind = by_edge.schema["half"].dataType.elementType.simpleString()
+    return by_edge.select("m", F.inline(_matched(F.col("half"), kind)), "a", "b")
 
 
 def opposites(faces: DataFrame) -> DataFrame:
@@ -64,6 +69,14 @@ def opposites(faces: DataFrame) -> DataFrame:
     return edge_pairs(corners(faces.where(~degenerate()))).select("m", F.inline(both))
 
 
+def unanswered(o: DataFrame) -> DataFrame:
+    """(matched, broken) of opposites, in one row: their number, and that of those whose opposite has another one. Counted by pair within the mesh."""
+    pair = o.groupBy("m", F.least("corner", "opposite").alias("low"), F.greatest("corner", "opposite").alias("high"))
+    sides = pair.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.expr("corner <= opposite")).alias("up"), F.count_if(F.expr("corner >= opposite")).alias("down"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return sides.agg(zero("all").alias("matched"), zero(F.when((F.col("up") == 0) | (F.col("down") == 0), F.col("all")).otherwise(0)).alias("broken"))
+
+
 def edges(faces: DataFrame) -> DataFrame:
     """(m, a, b, times), a < b: undirected edges with the number of faces at each."""
     c = corners(faces.where(~degenerate()))
@@ -81,9 +94,8 @@ def boundary_vertices(faces: DataFrame) -> DataFrame:
 
 def valence(faces: DataFrame) -> DataFrame:
     """(m, v, valence): faces around a vertex, one more if it is on the boundary (the edges that meet there, on a manifold)."""
-    around = corners(faces.where(~degenerate())).groupBy("m", F.col("tip").alias("v")).agg(F.count(F.lit(1)).alias("faces"))
-    edge = boundary_vertices(faces).withColumn("on_boundary", F.lit(1))
-    return around.join(edge, ["m", "v"], "left").select("m", "v", (F.col("faces") + F.coalesce("on_boundary", F.lit(0))).alias("valence"))
+    ends = edges(faces).select("m", F.explode(F.array("a", "b")).alias("v"), "times")  # a face has two edges at each of its vertices
+    return ends.groupBy("m", "v").agg((F.sum("times") / 2 + F.max((F.col("times") == 1).cast("int"))).cast("long").alias("valence"))
 
 
 def euler(faces: DataFrame) -> DataFrame:
@@ -129,19 +141,105 @@ def seams(c: DataFrame) -> DataFrame:
 
 
 def parallelogram(faces: DataFrame, values: DataFrame) -> DataFrame:
-    """(m, corner, residual): value at a tip minus (src + snk - tip across the edge), for edges with an opposite. values: (tip, value). Values are joined once, to the corners."""
-    c = corners(faces.where(~degenerate())).join(values.select("tip", "value"), "tip")
-    at = c.select("m", "corner", "value")
-    o = opposites(faces)
-    follow = lambda x, k: (F.col(x) - F.col(x) % 3 + (F.col(x) + k) % 3).cast("int")
-    four = F.array(*[F.struct(k.alias("corner_"), F.lit(sign).alias("sign")) for k, sign in ((F.col("corner"), 1), (follow("corner", 1), -1), (follow("corner", 2), -1), (F.col("opposite"), 1))])
-    terms = o.select("m", F.col("corner").alias("of"), F.inline(four))
-    found = terms.join(at.select(F.col("m").alias("m_"), F.col("corner").alias("c_"), "value"), (F.col("m") == F.col("m_")) & (F.col("corner_") == F.col("c_")))
-    return found.groupBy("m", F.col("of").alias("corner")).agg(F.sum(F.col("value") * F.col("sign")).alias("residual"))
+    """valued_parallelogram of faces and of values (tip, value) of their points."""
+    for k in range(3):
+        faces = faces.join(values.select(F.col("tip").alias(f"p{k}"), F.struct("value").alias(f"v{k}")), f"p{k}", "left")
+    return valued_parallelogram(faces)
+
+
+def valued_parallelogram(faces: DataFrame) -> DataFrame:
+    """faces (m, f, p0, p1, p2, v0, v1, v2: structs with the value of each point, null where it has none) -> (m, corner, residual): value at a tip minus (src + snk - tip across the edge), for edges
+    with an opposite where all four points have values. Values go with the corners, so that nothing is joined."""
+    at = lambda k: F.col(f"v{k % 3}")["value"].cast("long")
+    known = lambda k: F.col(f"v{k % 3}").isNotNull()
+    three = F.array(*[F.struct((3 * F.col("f") + k).alias("corner"), F.col(f"p{k}").alias("tip"), F.col(f"p{(k + 1) % 3}").alias("src"), F.col(f"p{(k + 2) % 3}").alias("snk"), at(k).alias("value"), (at(k) - at(k + 1) - at(k + 2)).alias("own"), known(k).alias("known"), (known(k) & known(k + 1) & known(k + 2)).alias("whole")) for k in range(3)])
+    pairs = edge_pairs(faces.where(~degenerate()).select("m", F.inline(three)))
+    side = lambda x, y: F.struct(F.col(f"{x}.corner").alias("corner"), (F.col(f"{x}.own") + F.col(f"{y}.value")).alias("residual"))
+    return pairs.where(F.col("x.whole") & F.col("y.known")).select("m", F.inline(F.array(side("x", "y"), side("y", "x"))))
+
+
+#: Links of a mesh that are joined where they are; larger meshes are joined in parts first, and the parts by rounds over all tasks.
+LOCAL_LINKS = 1 << 16
+
+
+def _roots(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes (group, node) of links and the least node that each is connected to within its group."""
+    n = len(a)
+    groups, nodes = np.concatenate([group, group]), np.concatenate([a, b])
+    order = np.lexsort((nodes, groups))
+    g, v = groups[order], nodes[order]
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])])
+    at = np.empty(2 * n, np.int64)
+    at[order] = np.cumsum(new) - 1
+    x, y, label = at[:n], at[n:], np.arange(int(new.sum()))
+    while True:
+        p, q = label[x], label[y]
+        apart = p != q
+        if not apart.any():
+            break
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label != (up := label[label])).any():
+            label = up
+    return g[new], v[new], v[new][label]
+
+
+def contracted(links: DataFrame, keys: list[str], limit: int = LOCAL_LINKS) -> DataFrame:
+    """links (keys, a, b) -> (keys, v, component, whole): components of a mesh where all its links are at hand (whole); of a larger one those of its parts, each with nodes of its own."""
+    kept = [(k, links.schema[k].dataType.simpleString()) for k in keys]
+    rows = links.select(*keys, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.row_number().over(Window.partitionBy(*keys).orderBy("a", "b")).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(t: pa.Table, whole: bool) -> pa.RecordBatch:
+            at = t["at"].to_numpy()
+            group = np.cumsum(at == 1)
+            first = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
+            g, v, c = _roots(group - group[0], t["a"].to_numpy(), t["b"].to_numpy())
+            own = t.select(keys).combine_chunks().take(pa.array(first[g]))
+            return pa.RecordBatch.from_arrays([*[own[k].combine_chunks() if own[k].num_chunks != 1 else own[k].chunk(0) for k in keys], pa.array(v), pa.array(c), pa.array(np.full(len(v), whole))], [*keys, "v", "component", "whole"])
+
+        held, large = None, False  # the last mesh so far, and whether a part of it has left
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            starts = np.flatnonzero(t["at"].to_numpy() == 1)
+            if large:  # up to the next mesh, all is of the large one
+                end = int(starts[0]) if len(starts) else len(t)
+                if end and (len(starts) or end > limit):
+                    yield out(t.slice(0, end), False)
+                    t, starts = t.slice(end), starts - end
+                    large = not len(starts)
+            last = int(starts[-1]) if len(starts) else 0
+            if last and not large:
+                yield out(t.slice(0, last), True)
+                t = t.slice(last)
+            if len(t) > limit:
+                yield out(t, False)
+                t, large = t.slice(len(t)), True
+            held = t if len(t) else None
+        if held is not None:
+            yield out(held, not large)
+
+    return rows.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in kept) + ", v bigint, component bigint, whole boolean")
+
+
+def connected(links: DataFrame, rounds: int = 64, keys: list[str] | None = None, limit: int = LOCAL_LINKS) -> DataFrame:
+    """links (m, a, b), in either direction -> (m, v, component): each node with the least it is connected to within its mesh (or within what keys name, of which m is the first).
+
+    Meshes of up to limit links are joined in one pass where their links are. Where there are larger ones, the components of their parts are linked to each other by connected_by_rounds.
+    """
+    keys = keys or ["m"]
+    own = contracted(links, keys, limit)
+    most = links.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) <= limit:
+        return own.drop("whole")
+    parts = own.where(~F.col("whole")).select(F.struct(*keys).alias("m"), F.col("v").alias("a"), F.col("component").alias("b"))
+    whole = connected_by_rounds(_both(parts), rounds)
+    return own.where("whole").drop("whole").unionByName(whole.select("m.*", "v", "component"))
 
 
-def connected(links: DataFrame, rounds: int = 64) -> DataFrame:
-    """links (m, a, b), in both directions -> (m, v, component): each node with the least it is connected to within its mesh.
+def connected_by_rounds(links: DataFrame, rounds: int = 64) -> DataFrame:
+    """links (m, a, b), in both directions -> (m, v, component), also where a mesh is larger than a task can hold.
 
     Labels fall to the least of the neighbours' labels; with each round the label of the label is taken, too, so that the
     number of rounds grows with the logarithm of the longest path. Every round is written to the checkpoint folder.
@@ -167,29 +265,31 @@ def _both(edges_: DataFrame) -> DataFrame:
 
 def components(faces: DataFrame) -> DataFrame:
     """(m, v, component): each vertex with the least vertex it is connected to within its mesh."""
-    return connected(_both(edges(faces)))
+    return connected(edges(faces).select("m", "a", "b"))
 
 
 def boundary_loops(faces: DataFrame) -> DataFrame:
     """(m, loops): connected runs of border edges; meshes without a border are left out."""
-    return connected(_both(edges(faces).where("times = 1"))).groupBy("m").agg(F.countDistinct("component").alias("loops"))
+    return connected(edges(faces).where("times = 1").select("m", "a", "b")).groupBy("m").agg(F.count_if(F.col("v") == F.col("component")).alias("loops"))
 
 
 def vertex_fans(faces: DataFrame) -> DataFrame:
     """(m, corner, tip, fan): corners at a vertex that follow from each other over shared edges, by the least of them. A vertex with
     several fans is one that a mesh of manifold vertices has to split."""
-    c = corners(faces.where(~degenerate())).select("m", "corner", "tip")
-    step = lambda x: F.col(x) - F.col(x) % 3 + (F.col(x) + 1) % 3
-    o = opposites(faces)  # a corner n and the one across: the corner before n has the same tip as the one after that across
-    links = o.select("m", (F.col("corner") - F.col("corner") % 3 + (F.col("corner") + 2) % 3).alias("a"), step("opposite").alias("b"))
-    own = c.select("m", F.col("corner").alias("a"), F.col("corner").alias("b"))
-    found = connected(_both(links).unionByName(own))
-    return c.join(found.withColumnRenamed("v", "corner"), ["m", "corner"]).withColumnRenamed("component", "fan")
+    c = corners(faces.where(~degenerate()))
+    step = lambda x, k: F.col(x) - F.col(x) % 3 + (F.col(x) + k) % 3
+    end = lambda x: F.when(F.col(f"{x}.forward"), F.col("b")).otherwise(F.col("a"))  # the vertex that a half-edge leads to
+    # a corner n and the one across: the corner before n has the same tip as the one after that across
+    link = lambda x, y: F.struct(end(x).alias("tip"), step(f"{x}.corner", 2).alias("a"), step(f"{y}.corner", 1).alias("b"))
+    links = edge_pairs(c).select("m", F.inline(F.array(link("x", "y"), link("y", "x"))))
+    own = c.select("m", "tip", F.col("corner").alias("a"), F.col("corner").alias("b"))
+    found = connected(links.unionByName(own), keys=["m", "tip"])
+    return found.select("m", F.col("v").cast("int").alias("corner"), "tip", F.col("component").cast("int").alias("fan"))
 
 
 def split_vertices(faces: DataFrame) -> DataFrame:
     """(m, v, fans) of the vertices with more than one fan."""
-    return vertex_fans(faces).groupBy("m", F.col("tip").alias("v")).agg(F.countDistinct("fan").alias("fans")).where("fans > 1")
+    return vertex_fans(faces).groupBy("m", F.col("tip").alias("v")).agg(F.count_if(F.col("corner") == F.col("fan")).alias("fans")).where("fans > 1")
 
 
 def vertex_normals(faces: DataFrame, positions: DataFrame) -> DataFrame:
