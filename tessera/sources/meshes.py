@@ -17,6 +17,7 @@ MESH = "file string, mesh int, name string, positions array<array<double>>, norm
 _ARROW = pa.schema([("file", pa.string()), ("mesh", pa.int32()), ("name", pa.string()), *[(k, pa.list_(pa.list_(t))) for k, t in (("positions", pa.float64()), ("normals", pa.float64()), ("colors", pa.int32()), ("uvs", pa.float64()), ("faces", pa.int32()))], ("error", pa.string())])
 
 
+LISTS = ("positions", "normals", "colors", "uvs", "faces")
 #: Bytes of files whose meshes leave in one batch.
 BATCH_BYTES = 4 << 20
 
@@ -163,9 +164,11 @@ def encoded(meshes: DataFrame, form: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [{k: (v or []) if k in ("positions", "normals", "colors", "uvs", "faces") else v for k, v in r.items()} for r in b.to_pylist()]
-            names = [f"{r['name'] or 'mesh'}-{r['mesh']}.{ending}" for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([write({**r, "name": r["name"] or ""}) for r in rows], pa.binary())], ["path", "content"])
+            # empty and null columns are told apart from others as a whole: most meshes have neither normals nor colors
+            columns = {k: b.column(k).to_pylist() if len(b.column(k).flatten()) else [[]] * len(b) for k in LISTS}
+            names, numbers = b.column("name").to_pylist(), b.column("mesh").to_pylist()
+            rows = [dict(zip(("name", *LISTS), (name or "", *(v or [] for v in lists)), strict=True)) for name, lists in zip(names, zip(*columns.values(), strict=True), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{n or 'mesh'}-{i}.{ending}" for n, i in zip(names, numbers, strict=True)], pa.string()), pa.array([write(r) for r in rows], pa.binary())], ["path", "content"])
 
     return meshes.mapInArrow(run, "path string, content binary")
 
